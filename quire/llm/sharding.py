@@ -13,11 +13,9 @@ from .common import table
 
 
 def score(key: Column, shard: int, weight: float, equal: bool) -> Column:
-    """What a shard bids for a key. With equal weights the hash alone has the same order as -weight / ln(u)."""
-    h = F.xxhash64(key, F.lit(shard))
-    if equal:
-        return h
-    return F.lit(-float(weight)) / F.log((F.shiftrightunsigned(h, 11).cast("double") + 0.5) / F.lit(2.0**53))
+    """What a shard bids for a key: -weight / ln(u), or with equal weights just u, which has the same order."""
+    u = F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 11)
+    return u if equal else F.lit(-float(weight)) / F.log((u.cast("double") + 0.5) / F.lit(2.0**53))
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> tuple[Column, Column]:
@@ -27,7 +25,7 @@ def rendezvous(key: Column, weights: Sequence[float]) -> tuple[Column, Column]:
     return bids["bid"], -bids["shard"]
 
 
-def shard(docs: DataFrame, weights: Sequence[float], grown: float | None = 1.0, id_col: str = "doc_id", text_col: str = "text", rows_per_slot_group: int = 1_000_000) -> DataFrame:
+def shard(docs: DataFrame, weights: Sequence[float], grown: float | None = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's shard, slot and the shard that it would have with one more shard.
 
     The key (id_col as text; null counts as a key of its own) and the weights decide; more shards take rows only into
@@ -43,15 +41,13 @@ def shard(docs: DataFrame, weights: Sequence[float], grown: float | None = 1.0,
     rows = docs.select(F.col(id_col).alias("key"), (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     bid, best = rendezvous(key, weights)
     rows = rows.select("*", bid.alias("bid"), best.cast("int").alias("shard"))
-    new = len(weights)
-    if grown is not None:
-        equal = len({*weights, grown}) == 1
-        first = F.col("bid") if equal == (len(set(weights)) == 1) else rendezvous(key, [*weights, grown])[0]
-        rows = rows.select("*", (F.when(score(key, new, grown, equal) > first, F.lit(new)).otherwise(F.col("shard")) if equal or len(set(weights)) > 1 else rendezvous(key, [*weights, grown])[1]).cast("int").alias("grown_shard"))
-    else:
+    if grown is None:
         rows = rows.withColumn("grown_shard", F.lit(None).cast("int"))
-    n = docs.count()
-    buckets = max(1, min(4096, math.ceil(n / len(weights) / rows_per_slot_group * 4), math.ceil(n / 50_000)))
+    elif len({*weights, grown}) == 1:
+        rows = rows.withColumn("grown_shard", F.when(score(key, len(weights), grown, True) > F.col("bid"), F.lit(len(weights))).otherwise(F.col("shard")))
+    else:
+        rows = rows.withColumn("grown_shard", rendezvous(key, [*weights, grown])[1].cast("int"))
+    buckets = max(1, min(4096, math.ceil(docs.count() / 200_000)))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(key, "text_crc32"), F.lit(buckets)).cast("int"))
     before = rows.groupBy("shard", "bucket").count().select("shard", "bucket", (F.sum("count").over(W.partitionBy("shard").orderBy("bucket")) - F.col("count")).alias("before"))
     number = F.row_number().over(W.partitionBy("shard", "bucket").orderBy("key", "text_crc32", "size"))
