@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("quality", "sharding")
+MODULES = ("quality", "sharding", "url_filter")
 
 
 def queries() -> dict[str, Callable]:
