@@ -38,7 +38,7 @@ RULES = (
     UrlRule("net", "/fr/", "block"),
 )
 
-#: Lexical features of a url; suffix_share is joined from counts of host suffixes.
+#: Lexical features of a url; suffix_share is joined from counts of file suffixes.
 FEATURE_SQL = {
     "length": "cast(char_length(_u) as double)",
     "host_length": "cast(char_length(host) as double)",
@@ -72,7 +72,9 @@ def rule_of(rules: Sequence[UrlRule]) -> tuple[Column, Column]:
 
 
 def suffix() -> Column:
-    return F.substring_index("host", ".", -1)
+    """The file suffix of the path. The host's is what rules test: with it, trees give every url of a host suffix the
+    verdict of the rules that happen to name that suffix."""
+    return F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]{1,8})\z", 1))
 
 
 @dataclass
@@ -112,7 +114,8 @@ class Model:
 
 
 def boost(rows: Sequence[tuple[dict, bool]], rounds: int = 24, depth: int = 3, rate: float = 0.3, cuts: int = 16, ridge: float = 1.0, least: int = 8) -> Model:
-    """Newton boosting of the logistic loss over binned features."""
+    """Newton boosting of the logistic loss over binned features. Both classes get equal weight: how many urls rules
+    allow or block says nothing about the others."""
     n, pos = len(rows), sum(y for _, y in rows)
     if not n or pos in (0, n):
         return Model(-20.0 if not pos else 20.0, [])
@@ -120,7 +123,8 @@ def boost(rows: Sequence[tuple[dict, bool]], rounds: int = 24, depth: int = 3, r
     edges = {f: sorted({(v := sorted(x[f] for x, _ in rows))[n * k // cuts] for k in range(1, cuts)}) for f in names}
     bins = {f: [sum(e < x[f] for e in edges[f]) for x, _ in rows] for f in names}
     y = [1.0 if b else 0.0 for _, b in rows]
-    score = [bias := math.log(pos / (n - pos))] * n
+    weight = [n / (2 * pos) if b else n / (2 * (n - pos)) for _, b in rows]
+    score = [bias := 0.0] * n
     trees = []
 
     def grow(at: list[int], g: list[float], h: list[float], left: int) -> Tree:
@@ -149,7 +153,7 @@ def boost(rows: Sequence[tuple[dict, bool]], rounds: int = 24, depth: int = 3, r
 
     for _ in range(rounds):
         p = [1 / (1 + math.exp(-s)) for s in score]
-        trees.append(tree := grow(list(range(n)), [a - b for a, b in zip(y, p, strict=True)], [b * (1 - b) for b in p], depth))
+        trees.append(tree := grow(list(range(n)), [w * (a - b) for w, a, b in zip(weight, y, p, strict=True)], [w * b * (1 - b) for w, b in zip(weight, p, strict=True)], depth))
         score = [s + tree.of(x) for s, (x, _) in zip(score, rows, strict=True)]
     return Model(bias, trees)
 
@@ -166,7 +170,7 @@ def featured(pages: DataFrame, shares: DataFrame, url_col: str = "url") -> DataF
 
 
 def suffix_shares(pages: DataFrame, most: int = 1024) -> DataFrame:
-    """Shares of the most frequent host suffixes among all rows; at most `most` of them, the others count as 0."""
+    """Shares of the most frequent file suffixes among all rows; at most `most` of them, the others count as 0."""
     counts = pages.groupBy(suffix().alias("_suffix")).count()
     total = counts.agg(F.sum("count").alias("_n"))
     return counts.orderBy(F.desc("count"), "_suffix").limit(most).crossJoin(F.broadcast(total)).select("_suffix", (F.col("count") / F.col("_n")).alias("_share"))
@@ -179,8 +183,8 @@ def fit(labelled: DataFrame, shares: DataFrame, sample: int = 4096, url_col: str
     return boost([({f: r[f"f_{f}"] for f in FEATURE_SQL}, r["_block"]) for r in rows])
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[UrlRule] = RULES, url_col: str = "url") -> DataFrame:
-    """pages with host, path, rule and verdict: the longest fitting rule's, else that of trees trained on the urls which rules label.
+def filter_urls(pages: DataFrame, rules: Sequence[UrlRule] = RULES, url_col: str = "url", odds: float = 4.0) -> DataFrame:
+    """pages with host, path, rule and verdict: the longest fitting rule's, else that of trees trained on the urls which rules label, where block needs the odds given.
 
     Null urls, and those without ://, have an empty host and path, which no rule fits; the trees judge them. Equal urls
     get equal verdicts. Without labelled urls of both kinds the trees say what the one kind is, or allow. An empty
@@ -189,11 +193,11 @@ def filter_urls(pages: DataFrame, rules: Sequence[UrlRule] = RULES, url_col: str
     judged = parts(pages, url_col)
     name, verdict = rule_of(rules)
     judged = judged.withColumn("rule", name).withColumn("verdict", verdict)
-    shares = suffix_shares(judged.select("host"))
+    shares = suffix_shares(judged.select("path"))
     labelled = judged.where("rule is not null").withColumn("_block", F.col("verdict") == "block")
     model = fit(labelled, shares, url_col=url_col)
     out = featured(judged, shares, url_col)
-    return out.withColumn("verdict", F.coalesce("verdict", F.when(model.column() > 0, F.lit("block")).otherwise("allow"))).drop(*(f"f_{n}" for n in FEATURE_SQL))
+    return out.withColumn("verdict", F.coalesce("verdict", F.when(model.column() > math.log(odds), F.lit("block")).otherwise("allow"))).drop(*(f"f_{n}" for n in FEATURE_SQL))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
