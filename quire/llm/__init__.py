@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("byte_bpe", "packing", "quality", "sharding", "token_files", "url_filter")
+MODULES = ("byte_bpe", "ngram_join", "packing", "quality", "sharding", "token_files", "url_filter")
 
 
 def queries() -> dict[str, Callable]:
