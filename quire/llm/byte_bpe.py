@@ -5,15 +5,17 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .word_bpe import pieces
+from .word_bpe import gather, pieces
 
 #: Characters of the Unicode property White_Space, as tiktoken's \s has them. Fixed values.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -109,10 +111,13 @@ class ByteBpe:
     """Encodes as tiktoken does: the pattern's matches one by one, each by ranks."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
+        import gc
         import re
 
         import regex
 
+        gc.disable()  # there are millions of small objects, and no cycles
+
         self.hash, self.tokens = vocabulary.hash, vocabulary.tokens
         self.dtype = np.dtype("<u2" if len(self.tokens) <= 1 << 16 else "<u4")
         self.wide = 16 if len(self.tokens) <= 1 << 16 else 32
@@ -121,6 +126,8 @@ class ByteBpe:
         self.pairs: dict[int, int] = {}
         self.touching = re.compile(f"[{SPACE}] ").search
         self.segments = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
+        self.parts = Memo(self._token)
+        self.code = "H" if self.wide == 16 else "I"
         self.plain, self.spaced = Memo(self._segment), Memo(lambda s: self._segment(" " + s))
         size = np.array([len(t) for t in self.tokens])
         self.size, self.first, self.bytes = size, np.cumsum(size) - size, np.frombuffer(b"".join(self.tokens), np.uint8)
@@ -166,31 +173,41 @@ class ByteBpe:
                 heapq.heappush(heap, s << 32 | h)
         return [x for x in ids if x >= 0]
 
+    def _token(self, text: str) -> bytes:
+        """Ids of one pre-token."""
+        raw = text.encode()
+        i = self.hash.get(raw)
+        return array(self.code, (i,) if i >= 0 else self.merge(raw)).tobytes()
+
     def _segment(self, text: str) -> bytes:
-        out: list[int] = []
-        for t in self.match(text):
-            raw = t.encode()
-            i = self.hash.get(raw)
-            if i >= 0:
-                out.append(i)
-            else:
-                out += self.merge(raw)
-        return np.array(out, self.dtype).tobytes()
+        core = text.rstrip(".,;:!?")
+        if core.isalpha() or core[:1] == " " and core[1:].isalpha():  # letters, then at most one match of punctuation
+            return self.parts[core] + (self.parts[text[len(core) :]] if len(core) < len(text) else b"")
+        return b"".join([self.parts[t] if len(t) < 256 else self._token(t) for t in self.match(text)])
 
     def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a whole text. No match crosses the place between another character and white space, so segments are
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        """Ids of whole texts. No match crosses the place between another character and white space, so segments are
         encoded once and remembered; where no white space stands before a blank, blanks are such places."""
-        if not text:
-            return np.zeros(0, self.dtype)
-        if self.touching(text):
-            raw = b"".join([self.plain[s] if len(s) < 256 else self._segment(s) for s in self.segments(text)])
-        else:
-            first, *rest = text.split(" ")
-            if any(len(s) >= 256 for s in rest):
-                raw = self._segment(first) + b"".join([self.spaced[s] if len(s) < 256 else self._segment(" " + s) for s in rest])
-            else:
-                raw = self._segment(first) + b"".join(map(self.spaced.__getitem__, rest))
-        return np.frombuffer(raw, self.dtype)
+        odd = {i: b"".join([self.plain[s] if len(s) < 256 else self._segment(s) for s in self.segments(t)]) for i, t in enumerate(texts) if t and self.touching(t)}
+        lists = pc.split_pattern(pa.array(["" if i in odd else t or "" for i, t in enumerate(texts)], pa.string()), " ")
+        words = lists.values.dictionary_encode()
+        values = [self.spaced[s] if len(s) < 256 else self._segment(" " + s) for s in words.dictionary.to_pylist()]
+        at, cut = words.indices.to_numpy(), lists.offsets.to_numpy()
+        ids, ends = gather(values, at, self.dtype)
+        out = []
+        for i in range(len(texts)):
+            a, b = int(cut[i]), int(cut[i + 1])
+            if i in odd:
+                out.append(np.frombuffer(odd[i], self.dtype))
+            elif a == b:
+                out.append(np.zeros(0, self.dtype))
+            else:  # the first segment has no blank before it
+                first = np.frombuffer(self._segment(lists.values[a].as_py()), self.dtype)
+                out.append(np.concatenate((first, ids[ends[a + 1] : ends[b]])))
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         size = self.size[ids]
@@ -220,8 +237,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
             texts = batch.column(1).to_pylist()
             for a, b in pieces(texts):
                 n, x, y = [], [], []
-                for t in texts[a:b]:
-                    ids = bpe.encode(t)
+                for ids in bpe.encode_all(texts[a:b]):
                     n.append(len(ids))
                     x.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                     y.append(hashlib.sha256(b"".join(bpe.decode(ids[k : k + 1_000_000]) for k in range(0, len(ids), 1_000_000))).hexdigest())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -94,26 +95,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S31)
 
 
-class WordIds(dict):
-    """Word -> 64-bit hash, remembered for a bounded number of words."""
+_rng = np.random.default_rng(0x5EED)
+_BYTE = _rng.integers(0, 1 << 64, 256, np.uint64)
+_IS_WHITE = np.zeros(256, bool)
+_IS_WHITE[[9, 10, 11, 12, 13, 32]] = True
+_BASE = 0x9E3779B97F4A7C15 | 1
+_STEP = 1 << 16
 
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
 
-    def __missing__(self, word: bytes) -> int:
-        from hashlib import blake2b
+def _powers(base: int) -> np.ndarray:
+    out = np.empty(_STEP, np.uint64)
+    x = 1
+    for i in range(_STEP):
+        out[i] = x
+        x = x * base & (1 << 64) - 1
+    return out
+
+
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
-        if len(self) >= self.most:
-            self.clear()
-        h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        self[word] = h
-        return h
 
-    def of(self, text: str | None) -> np.ndarray:
-        """Hashes of the words of text, A-Z in lower case; bytes.split() cuts at the six ASCII white-space characters."""
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words of text, A-Z in lower case, without a loop over words.
+
+    A word's hash is a polynomial of random numbers for its bytes, from sums over the text up to its ends, mixed; words
+    of over 64 bytes, for which equal values could be made up, are hashed one by one. Texts are taken in stretches.
+    """
+    if not text:
+        return np.zeros(0, np.uint64)
+    raw = text.encode("utf-8", "surrogatepass").lower()
+    white = _IS_WHITE[np.frombuffer(raw, np.uint8)]
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], white, [True])).view(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    out = np.empty(len(starts), np.uint64)
+    data = np.frombuffer(raw, np.uint8)
+    i = 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = len(starts) if len(raw) - a <= _STEP else max(i + 1, int(np.searchsorted(ends, a + _STEP, "right")))
+        b = min(int(ends[j - 1]), a + _STEP)
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(_BYTE[data[a:b]] * _UP[: b - a], out=sums[1:])
+        s, e = starts[i:j] - a, np.minimum(ends[i:j] - a, b - a)
+        out[i:j] = mix((sums[e] - sums[s]) * _DOWN[s] + (e - s).astype(np.uint64))
+        i = j
+    long = np.flatnonzero(ends - starts > 64)
+    for k in long.tolist():
+        out[k] = int.from_bytes(blake2b(raw[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return out
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:

@@ -21,9 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordIds, components, map_runs, mix, shingles, table
+from .common import Scratch, components, map_runs, mix, shingles, table, word_hashes
 
-_words = WordIds()
 
 
 def least_overlap(n: int, m: int, num: int, den: int) -> int:
@@ -150,7 +149,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
 
     def sets_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for t in batch.column(1).to_pylist():
-            yield np.unique(shingles(_words.of(t), words))
+            yield np.unique(shingles(word_hashes(t), words))
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Special tokens are found in raw text, also within chunks; texts with this go to the library whole.
 MARK = "<|"
@@ -38,10 +41,11 @@ class WordBpe:
     are kept as 2 bytes where the vocabulary allows, else as 4.
     """
 
-    TAIL = ".,;:!?"
+    TAIL = b".,;:!?"
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.disable()  # there are millions of small objects, and no cycles
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -63,15 +67,15 @@ class WordBpe:
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _of_letters(self, words: list[str]) -> list[bytes]:
+    def _of_letters(self, words: list[bytes]) -> list[bytes]:
         """Each word, being letters only, is one pre-token, which ends with the only token that ends a word."""
         out: list[bytes] = []
         for a in range(0, len(words), 2000):
             some = words[a : a + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, self.dtype)
             cut = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cut) != len(some) or cut[-1] != len(ids):
-                out += self._raw(some)
+                out += self._raw([w.decode() for w in some])
                 continue
             w, raw = self.dtype.itemsize, ids.tobytes()
             out += [raw[x * w : y * w] for x, y in zip([0, *cut[:-1]], cut, strict=True)]
@@ -79,18 +83,19 @@ class WordBpe:
 
     def _learn(self, need: set[bytes]) -> None:
         """Ids of chunks that aren't known."""
-        cut, words, odd = [], set(), []
+        cut, odd = [], []
         for c in need:
-            t = c.decode()
-            core = t.rstrip(self.TAIL)
+            if not c:
+                self.chunks.young[c] = b""
+                continue
+            core = c.rstrip(self.TAIL)
             if core.isalpha():
-                if core.isascii():
-                    core = core.lower()
-                words.add(core)
-                cut.append((c, core, t[len(t.rstrip(self.TAIL)) :]))
+                cut.append((c, core.lower(), c[len(core) :]))
+            elif not core.isascii() and core.decode().isalpha():
+                cut.append((c, core, c[len(core) :]))
             else:
-                odd.append((c, t))
-        fresh = list(self.letters.missing(words))
+                odd.append(c)
+        fresh = list(self.letters.missing({core for _, core, _ in cut}))
         known = self.letters.young
         known.update(zip(fresh, self._of_letters(fresh), strict=True))
         young, tails = self.chunks.young, self.tails
@@ -100,29 +105,37 @@ class WordBpe:
             else:
                 end = tails.get(tail)
                 if end is None:
-                    end = self._raw([tail])[0]
+                    end = self._raw([tail.decode()])[0]
                     if len(tails) < 10_000:
                         tails[tail] = end
                 young[c] = known[core] + end
-        young.update(zip([c for c, _ in odd], self._raw([t for _, t in odd]), strict=True))
+        young.update(zip(odd, self._raw([c.decode() for c in odd]), strict=True))
 
     def encode(self, texts: Sequence[str | None], end: int | None = None) -> list[np.ndarray]:
         """Ids of each text, null being empty, with the id `end` appended."""
-        last = b"" if end is None else np.array([end], self.dtype).tobytes()
-        split = [t.encode().split() if t else [] for t in texts]
-        need: set[bytes] = set()
-        for w in split:
-            need.update(w)
-        self._learn(self.chunks.missing(need))
-        get = self.chunks.young.__getitem__
-        out = []
-        for t, w in zip(texts, split, strict=True):
-            raw = self._raw([t])[0] if t and MARK in t else b"".join(map(get, w))
-            out.append(np.frombuffer(raw + last, self.dtype))
-        return out
-
-
-def pieces(texts: Sequence[str | None], most: int = 4 << 20):
+        last = np.array([] if end is None else [end], self.dtype)
+        odd = {i: np.frombuffer(self._raw([t])[0], self.dtype) for i, t in enumerate(texts) if t and MARK in t}
+        lists = pc.ascii_split_whitespace(pa.array(["" if i in odd else t or "" for i, t in enumerate(texts)], pa.string()))
+        words = lists.values.dictionary_encode()
+        names = words.dictionary.cast(pa.binary()).to_pylist()
+        self._learn(self.chunks.missing(set(names)))
+        ids, ends = gather([self.chunks.young[n] for n in names], words.indices.to_numpy(), self.dtype)
+        cut = ends[lists.offsets.to_numpy()]
+        return [np.concatenate((odd[i] if i in odd else ids[cut[i] : cut[i + 1]], last)) for i in range(len(texts))]
+
+
+def gather(values: list[bytes], at: np.ndarray, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of values, one after the other for each of `at`, and where those of each begin, and all end."""
+    pool = np.frombuffer(b"".join(values), dtype)
+    size = np.fromiter(map(len, values), np.int64, len(values)) // dtype.itemsize
+    first = np.cumsum(size) - size
+    n = size[at]
+    ends = np.zeros(len(at) + 1, np.int64)
+    np.cumsum(n, out=ends[1:])
+    return pool[np.arange(ends[-1]) + np.repeat(first[at] - ends[:-1], n)], ends
+
+
+def pieces(texts: Sequence[str | None], most: int = 8 << 20):
     """Ranges of texts of about so many characters, to bound what is in memory at once."""
     a = size = 0
     for i, t in enumerate(texts):
