@@ -142,37 +142,50 @@ class ByteBpe:
         if n == 1:
             return ids
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pairs, tokens, wide = self.pairs, self.tokens, self.wide
-
-        def rank(a: int, b: int) -> int:
-            key = a << wide | b
-            r = pairs.get(key)
-            if r is None:
-                if len(pairs) > 500_000:
-                    pairs.clear()
-                r = pairs[key] = self.hash.get(tokens[a] + tokens[b])
-            return r
-
-        heap = [(r << 32 | i) for i in range(n - 1) if (r := rank(ids[i], ids[i + 1])) >= 0]
+        known, learn, wide = self.pairs.get, self._pair, self.wide
+        ranks = []  # of the pair that begins at each place, -1 without one
+        for a, b in zip(ids, ids[1:]):
+            r = known(a << wide | b)
+            ranks.append(learn(a, b) if r is None else r)
+        heap = [r << 32 | i for i, r in enumerate(ranks) if r >= 0]
+        ranks.append(-1)
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            x = heapq.heappop(heap)
+            x = pop(heap)
             r, i = x >> 32, x & 0xFFFFFFFF
-            a = ids[i]
-            j = after[i]
-            if a < 0 or j >= n or rank(a, ids[j]) != r:
+            if ranks[i] != r:
                 continue
-            ids[i], ids[j] = r, -1
+            j = after[i]
             k = after[i] = after[j]
+            ids[i], ids[j], ranks[j], ranks[i] = r, -1, -1, -1
             if k < n:
                 before[k] = i
-                if (s := rank(r, ids[k])) >= 0:
-                    heapq.heappush(heap, s << 32 | i)
+                b = ids[k]
+                s = known(r << wide | b)
+                if s is None:
+                    s = learn(r, b)
+                if s >= 0:
+                    ranks[i] = s
+                    push(heap, s << 32 | i)
             h = before[i]
-            if h >= 0 and (s := rank(ids[h], r)) >= 0:
-                heapq.heappush(heap, s << 32 | h)
+            if h >= 0:
+                a = ids[h]
+                s = known(a << wide | r)
+                if s is None:
+                    s = learn(a, r)
+                ranks[h] = s
+                if s >= 0:
+                    push(heap, s << 32 | h)
         return [x for x in ids if x >= 0]
 
+    def _pair(self, a: int, b: int) -> int:
+        """The rank of two neighbours as one token, or -1; remembered for a bounded number of pairs."""
+        if len(self.pairs) > 500_000:
+            self.pairs.clear()
+        r = self.pairs[a << self.wide | b] = self.hash.get(self.tokens[a] + self.tokens[b])
+        return r
+
     def _token(self, text: str) -> bytes:
         """Ids of one pre-token."""
         raw = text.encode()

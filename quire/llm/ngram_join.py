@@ -90,12 +90,14 @@ def divide_skip(query: np.ndarray, names: np.ndarray, first: np.ndarray, doc: np
     longest = int(size[order[-1]])
     aside = min(t - 1, int(t / (0.0085 * log(longest + 1) + 1)))
     short, long = order[: len(order) - aside], np.sort(tokens[order[len(order) - aside :]])
-    lists = [doc[first[at[k]] : first[at[k] + 1]].tolist() for k in short]
-    merged = heapq.merge(*lists) if len(lists) > 1 else lists[0]
+    lists = [doc[first[at[k]] : first[at[k] + 1]] for k in short]
+    if allowed is not None:
+        lists = [x[allowed[x]] for x in lists]
+    merged = heapq.merge(*(x.tolist() for x in lists if len(x)))
     out = []
     for place, same in groupby(merged):
         count = sum(1 for _ in same)
-        if count < t - aside or allowed is not None and not allowed[place]:
+        if count < t - aside:
             continue
         s = sets[place]
         if num * max(n, len(s)) > den * min(n, len(s)):
@@ -132,7 +134,7 @@ def search(nodes: list[int], roles: list[int], comps: list[int], sets: list[np.n
                     yield nodes[i], nodes[index[k]], o
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", chunk: int = 256) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", chunk: int = 256, most_chunks: int = 64) -> DataFrame:
     """Each document's number of distinct shingles and the smallest id of its component of links.
 
     Two documents link when intersection / union >= num / den. Null texts, empty ones and those of white space have no
@@ -222,29 +224,56 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     need = blocks.select("node").distinct().join(reps, "node").where("id is not null").select("id", "node")
     sets = scratch.keep(rows.join(need, "id").select("id", "text", "node").mapInArrow(fetched, "node long, shingles binary"), "sets")
 
-    # Every node asks the smallest leader among its blocks.
-    pairs = blocks.where("node <> leader").groupBy("node").agg(F.min("leader").alias("leader"))
+    # Blocks that hang together are a cluster; one of up to `chunk` nodes is searched as a whole.
+    hung = scratch.keep(blocks.where("node <> leader").select("node", "leader").distinct(), "hung")
+    clusters = components(spark, hung.select(F.col("node").alias("u"), F.col("leader").alias("v")), scratch, "cluster").select(F.col("id").alias("node"), F.col("component").alias("cluster"))
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
+    clusters = scratch.keep(clusters.join(sizes, "cluster"), "clusters")
+    shape = ["a", "b", "c", "node", "comp", "role"]
+    whole = clusters.where(F.col("size") <= chunk).select(F.col("cluster").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"), "node", F.col("node").alias("comp"), F.lit(2).alias("role"))
+
+    # In a larger one every node first asks the smallest leader among its blocks.
+    large = clusters.where(F.col("size") > chunk)
+    pairs = hung.join(large, "node").groupBy("node").agg(F.min("leader").alias("leader"))
     many = pairs.groupBy("leader").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
     pairs = scratch.keep(pairs.join(many, "leader").select("leader", "node", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk")), "pairs")
-    asked = pairs.join(sets, "node").select("leader", "chunk", "node", F.lit(0).alias("role"), F.col("node").alias("comp"), "shingles")
-    asking = pairs.select("leader", "chunk").distinct().join(sets.withColumnRenamed("node", "leader"), "leader").select("leader", "chunk", F.col("leader").alias("node"), F.lit(1).alias("role"), F.col("leader").alias("comp"), "shingles")
-    links = scratch.keep(map_runs(asked.unionByName(asking), ["leader", "chunk"], ["role"], linked, "u long, v long"), "links")
-    comps = scratch.keep(components(spark, links, scratch, "first"), "comps")
+    asked = pairs.select(F.col("leader").alias("a"), F.col("chunk").alias("b"), F.lit(-1).cast("long").alias("c"), "node", F.col("node").alias("comp"), F.lit(0).alias("role"))
+    asking = pairs.select("leader", "chunk").distinct().select(F.col("leader").alias("a"), F.col("chunk").alias("b"), F.lit(-1).cast("long").alias("c"), F.col("leader").alias("node"), F.col("leader").alias("comp"), F.lit(1).alias("role"))
+
+    def searched(rows: DataFrame) -> DataFrame:
+        return map_runs(rows.select(*shape).join(sets, "node"), ["a", "b", "c"], ["node"], linked, "u long, v long")
 
-    # Blocks that aren't of one component yet; of those with the same nodes, one.
-    in_comps = blocks.select("sig", "node").join(comps, F.col("node") == F.col("id"), "left").select("sig", "node", F.coalesce("component", "node").alias("comp"))
+    links = scratch.keep(searched(whole.union(asked).union(asking)), "links")
+    comps = scratch.keep(components(spark, links, scratch, "first"), "comps")
+    placed = scratch.keep(large.join(comps, F.col("node") == F.col("id"), "left").select("cluster", "size", "node", F.coalesce("component", "node").alias("comp")), "placed")
+
+    # Then chunks against chunks where several components are left: those of one large component don't meet each other.
+    of_comp = placed.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
+    tagged = of_comp.groupBy("cluster").agg(F.count("*").alias("comps")).where("comps > 1").join(of_comp, "cluster").select("cluster", "comp", F.when(F.col("n") > chunk, F.col("comp").cast("string")).otherwise("").alias("tag"), "n")
+    spans = tagged.groupBy("cluster", "tag").agg(F.ceil(F.sum("n") / chunk).alias("chunks"))
+    few = spans.groupBy("cluster").agg(F.sum("chunks").alias("all")).where(F.col("all") <= most_chunks)
+    spans = scratch.keep(spans.join(few.select("cluster"), "cluster"), "spans")
+    named = spans.select("cluster", "tag", "chunks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("own")).withColumn("name", F.xxhash64("tag", "own"))
+    others = named.select("cluster", F.col("tag").alias("tag2"), F.col("name").alias("other"))
+    meet = named.join(others, "cluster").where("tag = '' or tag <> tag2").select("cluster", "tag", "own", "name", "other")
+    members = placed.join(tagged.select("cluster", "comp", "tag"), ["cluster", "comp"]).join(spans, ["cluster", "tag"]).select("cluster", "tag", "node", "comp", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).alias("own"))
+    dealt = members.join(meet, ["cluster", "tag", "own"]).select(F.col("cluster").alias("a"), F.least("name", "other").alias("b"), F.greatest("name", "other").alias("c"), "node", "comp", F.when(F.col("name") == F.col("other"), 2).when(F.col("name") < F.col("other"), 1).otherwise(0).alias("role"))
+
+    # Clusters of very many chunks are searched block by block; of blocks with the same nodes, one.
+    huge = placed.join(tagged.select("cluster").distinct().join(few, "cluster", "left_anti"), "cluster")
+    in_comps = blocks.select("sig", "node").join(huge.select("node", "comp"), "node")
     open_blocks = (
         in_comps.groupBy("sig")
-        .agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("nodes"))
-        .where("a <> b")
+        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("nodes"))
+        .where("lo <> hi")
         .groupBy("size", "nodes")
         .agg(F.min("sig").alias("sig"))
         .select("sig", F.ceil(F.col("size") / chunk).alias("chunks"))
     )
-    members = in_comps.join(open_blocks, "sig").withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")))
-    dealt = members.select("sig", "node", "comp", "own", F.explode(F.expr("sequence(0L, chunks - 1)")).alias("other"))
-    dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 1).otherwise(0).alias("role"))
-    rest = scratch.keep(map_runs(dealt.join(sets, "node"), ["sig", "i", "j"], ["node"], linked, "u long, v long"), "rest")
+    blocked = in_comps.join(open_blocks, "sig").withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")))
+    blocked = blocked.select("sig", "node", "comp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+    blocked = blocked.select(F.col("sig").alias("a"), F.least("own", "other").alias("b"), F.greatest("own", "other").alias("c"), "node", "comp", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 1).otherwise(0).alias("role"))
+    rest = scratch.keep(searched(dealt.union(blocked)), "rest")
     comps = components(spark, links.union(rest), scratch, "last")
 
     named = reps.join(comps.withColumnRenamed("id", "node"), "node").select("node", "id", "component")
