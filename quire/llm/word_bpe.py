@@ -43,7 +43,7 @@ class WordBpe:
 
     TAIL = b".,;:!?"
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         gc.disable()  # there are millions of small objects, and no cycles
         from tokenizers import Tokenizer
@@ -135,7 +135,7 @@ def gather(values: list[bytes], at: np.ndarray, dtype: np.dtype) -> tuple[np.nda
     return pool[np.arange(ends[-1]) + np.repeat(first[at] - ends[:-1], n)], ends
 
 
-def pieces(texts: Sequence[str | None], most: int = 8 << 20):
+def pieces(texts: Sequence[str | None], most: int = 3 << 20):
     """Ranges of texts of about so many characters, to bound what is in memory at once."""
     a = size = 0
     for i, t in enumerate(texts):
