@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("byte_bpe", "ngram_join", "packing", "quality", "sharding", "substring_dedup", "token_files", "url_filter", "voronoi_knn")
+MODULES = ("byte_bpe", "lm_scoring", "ngram_join", "packing", "quality", "sharding", "substring_dedup", "token_files", "url_filter", "voronoi_knn")
 
 
 def queries() -> dict[str, Callable]:
