@@ -59,7 +59,7 @@ class Parts:
                 continue
             if i + 1 < len(self.edges) and self.edges[i + 1] <= low:
                 break
-            parts = int(0.3 * self.edges[i]) + 3
+            parts = 9 * most_difference(int(self.edges[i] * self.step), num, den) // 8 + 3
             part = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             sums = np.add.reduceat(mix(s + np.uint64(0x632BE59BD9B4E019)), starts)
