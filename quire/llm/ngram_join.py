@@ -40,35 +40,56 @@ class Parts:
     """The signatures of sets: equal parts that linked sets must share.
 
     Scheme i is for pairs whose smaller set has at least edge[i] and fewer than edge[i + 1] shingles; a set gives
-    signatures for every scheme in which it can be one of a pair. Where a set has too few parts that aren't empty, and
-    for small sets, the first elements in hash order (prefix filter) are signatures too.
+    signatures for every scheme in which it can be one of a pair. Frequent shingles, any fixed set of them, are left out
+    first: what is left of two linked sets differs by no more. Parts of one shingle are left out too. A set that then has
+    no more parts than it can differ in gives signatures with frequent shingles and small parts as well, and if these are
+    too few, or the set is small, the first shingles of an order with the frequent ones last (prefix filter). Of a linked
+    pair, one set has enough parts, or both give the next kind.
     """
 
-    def __init__(self, num: int, den: int, least: int = 16, step: float = 1.5):
+    def __init__(self, num: int, den: int, frequent: np.ndarray, least: int = 16, step: float = 1.5):
         self.num, self.den, self.least, self.step = num, den, least, step
+        self.frequent = frequent
         self.edges = [least]
 
     def of(self, s: np.ndarray) -> np.ndarray:
         n, num, den = len(s), self.num, self.den
         while self.edges[-1] <= n:
             self.edges.append(int(self.edges[-1] * self.step) + 1)
-        out, prefix = [], False
         low = -(-num * n // den)  # the smallest set that can be linked with this
+        differ = max(most_difference(n, num, den), (den - num) * 2 * n // (num + den))
+        at = np.searchsorted(self.frequent, s)
+        at[at == len(self.frequent)] = 0
+        common = self.frequent[at] == s if len(self.frequent) else np.zeros(n, bool)
+        cold = s[~common] if common.any() else s
+        out, prefix = [], low < self.least
         for i in range(len(self.edges) - 1, -1, -1):
             if self.edges[i] > n:
                 continue
             if i + 1 < len(self.edges) and self.edges[i + 1] <= low:
                 break
-            parts = 9 * most_difference(int(self.edges[i] * self.step), num, den) // 8 + 3
-            part = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            sums = np.add.reduceat(mix(s + np.uint64(0x632BE59BD9B4E019)), starts)
-            out.append(mix(sums + mix(part[starts] + np.uint64((i + 1) << 32))))
-            prefix |= len(starts) <= max(most_difference(n, num, den), (den - num) * 2 * n // (num + den))
-        if prefix or low < self.least:
-            out.append(mix(s[: n - low + 1] ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+            for kind, own, size in ((0, cold, 2), (1, s, 1)):
+                out.append(sigs := self._parts(own, 2 * i + kind, self.edges[i], size))
+                if len(sigs) > differ:
+                    break
+            else:
+                prefix = True
+        if prefix:
+            first = np.concatenate((cold, s[common]))[: n - low + 1]
+            out.append(mix(first ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
         return np.concatenate(out)
 
+    def _parts(self, s: np.ndarray, tag: int, edge: int, size: int) -> np.ndarray:
+        """Signatures of the parts of s that have at least `size` elements."""
+        if not len(s):
+            return s
+        parts = 9 * most_difference(int(edge * self.step), self.num, self.den) // 8 + 3
+        part = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        sums = np.add.reduceat(mix(s + np.uint64(0x632BE59BD9B4E019)), starts)
+        sigs = mix(sums + mix(part[starts] + np.uint64((tag + 1) << 32)))
+        return sigs[np.diff(np.concatenate((starts, [len(s)]))) >= size] if size > 1 else sigs
+
 
 def divide_skip(query: np.ndarray, names: np.ndarray, first: np.ndarray, doc: np.ndarray, sets: list[np.ndarray], num: int, den: int, allowed=None) -> list[tuple[int, int]]:
     """(place, overlap) of each set of an inverted index that is linked with the query.
@@ -134,7 +155,7 @@ def search(nodes: list[int], roles: list[int], comps: list[int], sets: list[np.n
                     yield nodes[i], nodes[index[k]], o
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", chunk: int = 256, most_chunks: int = 64) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", chunk: int = 256, most_frequent: int = 200_000) -> DataFrame:
     """Each document's number of distinct shingles and the smallest id of its component of links.
 
     Two documents link when intersection / union >= num / den. Null texts, empty ones and those of white space have no
@@ -154,15 +175,33 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
             yield np.unique(shingles(word_hashes(t), words))
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a text, and one for each shingle that many of some thousand texts have."""
+        names = ["id", "n", "node", "shingle", "times"]
+        held, docs = [], 0
+
+        def frequent() -> pa.RecordBatch:
+            x, times = np.unique(np.concatenate(held), return_counts=True)
+            many = times >= max(8, docs // 2000)
+            x, times = x[many].view(np.int64), times[many].astype(np.int64)
+            held.clear()
+            return pa.RecordBatch.from_arrays([*[pa.nulls(len(x), pa.int64())] * 3, pa.array(x), pa.array(times)], names=names)
+
         for batch in batches:
             n, node = [], []
             for s in sets_of(batch):
                 n.append(len(s))
                 node.append(digest(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=["id", "n", "node"])
+                held.append(s)
+                docs += 1
+                if docs % 16384 == 0:
+                    yield frequent()
+                    docs = 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *[pa.nulls(len(n), pa.int64())] * 2], names=names)
+        if held:
+            yield frequent()
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = Parts(num, den)
+        parts = Parts(num, den, shared.value)
         for batch in batches:
             seen, sigs, nodes, size = set(), [], [], 0
             for s in sets_of(batch):
@@ -216,7 +255,11 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
             u, v, _ = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    sized_rows = scratch.keep(rows.mapInArrow(sized, "id long, n long, node long"), "rows")
+    both = scratch.keep(rows.mapInArrow(sized, "id long, n long, node long, shingle long, times long"), "rows")
+    sized_rows = both.where("n is not null").select("id", "n", "node")
+    hot = both.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= max(16, sized_rows.count() // 2000))
+    hot = hot.orderBy(F.desc("times"), "shingle").limit(most_frequent).toArrow()["shingle"].to_numpy()
+    shared = spark.sparkContext.broadcast(np.sort(hot.view(np.uint64)))
     reps = sized_rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
     sigs = rows.select("id", "text").mapInArrow(signed, "sig long, node long")
     blocks = scratch.keep(sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(led, "sig long, node long, leader long"), "blocks")
@@ -248,29 +291,32 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     placed = scratch.keep(large.join(comps, F.col("node") == F.col("id"), "left").select("cluster", "size", "node", F.coalesce("component", "node").alias("comp")), "placed")
 
     # Then chunks against chunks where several components are left: those of one large component don't meet each other.
+    # A cluster is searched block by block instead where that takes fewer rows; of blocks with the same nodes, one.
     of_comp = placed.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
     tagged = of_comp.groupBy("cluster").agg(F.count("*").alias("comps")).where("comps > 1").join(of_comp, "cluster").select("cluster", "comp", F.when(F.col("n") > chunk, F.col("comp").cast("string")).otherwise("").alias("tag"), "n")
-    spans = tagged.groupBy("cluster", "tag").agg(F.ceil(F.sum("n") / chunk).alias("chunks"))
-    few = spans.groupBy("cluster").agg(F.sum("chunks").alias("all")).where(F.col("all") <= most_chunks)
-    spans = scratch.keep(spans.join(few.select("cluster"), "cluster"), "spans")
+    spans = tagged.groupBy("cluster", "tag").agg(F.sum("n").alias("size"), F.ceil(F.sum("n") / chunk).alias("chunks"))
+    in_comps = blocks.select("sig", "node").join(placed.select("cluster", "node", "comp"), "node")
+    open_blocks = (
+        in_comps.groupBy("sig", "cluster")
+        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("nodes"))
+        .where("lo <> hi")
+        .groupBy("cluster", "size", "nodes")
+        .agg(F.min("sig").alias("sig"))
+        .select("cluster", "sig", "size", F.ceil(F.col("size") / chunk).alias("chunks"))
+    )
+    open_blocks = scratch.keep(open_blocks, "open_blocks")
+    by_block = open_blocks.groupBy("cluster").agg(F.sum(F.col("size") * F.col("chunks")).alias("block_rows"))
+    by_chunk = spans.groupBy("cluster").agg((F.sum("size") * F.sum("chunks")).alias("chunk_rows"))
+    way = scratch.keep(by_chunk.join(by_block, "cluster", "left").select("cluster", F.coalesce(F.col("block_rows") < F.col("chunk_rows"), F.lit(False)).alias("blockwise")), "way")
+    spans = spans.join(way.where("not blockwise"), "cluster").select("cluster", "tag", "chunks")
     named = spans.select("cluster", "tag", "chunks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("own")).withColumn("name", F.xxhash64("tag", "own"))
     others = named.select("cluster", F.col("tag").alias("tag2"), F.col("name").alias("other"))
     meet = named.join(others, "cluster").where("tag = '' or tag <> tag2").select("cluster", "tag", "own", "name", "other")
     members = placed.join(tagged.select("cluster", "comp", "tag"), ["cluster", "comp"]).join(spans, ["cluster", "tag"]).select("cluster", "tag", "node", "comp", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).alias("own"))
     dealt = members.join(meet, ["cluster", "tag", "own"]).select(F.col("cluster").alias("a"), F.least("name", "other").alias("b"), F.greatest("name", "other").alias("c"), "node", "comp", F.when(F.col("name") == F.col("other"), 2).when(F.col("name") < F.col("other"), 1).otherwise(0).alias("role"))
 
-    # Clusters of very many chunks are searched block by block; of blocks with the same nodes, one.
-    huge = placed.join(tagged.select("cluster").distinct().join(few, "cluster", "left_anti"), "cluster")
-    in_comps = blocks.select("sig", "node").join(huge.select("node", "comp"), "node")
-    open_blocks = (
-        in_comps.groupBy("sig")
-        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("nodes"))
-        .where("lo <> hi")
-        .groupBy("size", "nodes")
-        .agg(F.min("sig").alias("sig"))
-        .select("sig", F.ceil(F.col("size") / chunk).alias("chunks"))
-    )
-    blocked = in_comps.join(open_blocks, "sig").withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")))
+    some = open_blocks.join(way.where("blockwise"), "cluster").select("sig", "chunks")
+    blocked = in_comps.select("sig", "node", "comp").join(some, "sig").withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")))
     blocked = blocked.select("sig", "node", "comp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
     blocked = blocked.select(F.col("sig").alias("a"), F.least("own", "other").alias("b"), F.greatest("own", "other").alias("c"), "node", "comp", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 1).otherwise(0).alias("role"))
     rest = scratch.keep(searched(dealt.union(blocked)), "rest")
