@@ -19,8 +19,12 @@ from quire.llm.substring_dedup import without_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the rules learnt from labels keep; null texts go."""
-    return filter_quality(docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+    """Documents that the base rules and the rules learnt from labels keep; null texts go.
+
+    The verdicts are written first: a filter on them would be pushed below and evaluate the statistics again and again.
+    """
+    judged = filter_quality(docs, table(spark, sf_dir, "labels")).select(*docs.columns, "kept")
+    return Scratch(spark).keep(judged, "judged").where("kept").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

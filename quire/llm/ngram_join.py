@@ -133,7 +133,7 @@ def divide_skip(query: np.ndarray, names: np.ndarray, first: np.ndarray, doc: np
 
 
 def search(nodes: list[int], roles: list[int], comps: list[int], sets: list[np.ndarray], num: int, den: int) -> Iterator[tuple[int, int, int]]:
-    """Links (node, node, overlap) of a block between sets of role 1 or 2 (queries) and those of role 0 or 2 (index), of different components."""
+    """Links (node, node, overlap) of a block between sets of role 1 or 2 (queries) and those of role 0 or 2 (index) that join components."""
     index = [i for i, r in enumerate(roles) if r != 1]
     own = [sets[i] for i in index]
     if not own:
@@ -143,19 +143,23 @@ def search(nodes: list[int], roles: list[int], comps: list[int], sets: list[np.n
     doc = np.repeat(np.arange(len(own)), [len(s) for s in own])[order]
     names, first = np.unique(tokens[order], return_index=True)
     first = np.r_[first, len(tokens)]
-    comp = np.array([comps[i] for i in index])
+    comp = np.array(comps)
+    inner = np.array(index)
     place = {i: k for k, i in enumerate(index)}
     for i, r in enumerate(roles):
         if r:
-            allowed = comp != comps[i]
+            allowed = comp[inner] != comp[i]
             if r == 2:  # each pair within the index is asked for once
                 allowed[: place[i] + 1] = False
             if allowed.any():
                 for k, o in divide_skip(sets[i], names, first, doc, own, num, den, allowed):
-                    yield nodes[i], nodes[index[k]], o
+                    j = index[k]
+                    if comp[j] != comp[i]:
+                        comp[comp == comp[j]] = comp[i]
+                        yield nodes[i], nodes[j], o
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", chunk: int = 256, most_frequent: int = 200_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", chunk: int = 1024, most_frequent: int = 200_000) -> DataFrame:
     """Each document's number of distinct shingles and the smallest id of its component of links.
 
     Two documents link when intersection / union >= num / den. Null texts, empty ones and those of white space have no
@@ -294,8 +298,10 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     # A cluster is searched block by block instead where that takes fewer rows; of blocks with the same nodes, one.
     of_comp = placed.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
     tagged = of_comp.groupBy("cluster").agg(F.count("*").alias("comps")).where("comps > 1").join(of_comp, "cluster").select("cluster", "comp", F.when(F.col("n") > chunk, F.col("comp").cast("string")).otherwise("").alias("tag"), "n")
+    tagged = scratch.keep(tagged, "tagged")
     spans = tagged.groupBy("cluster", "tag").agg(F.sum("n").alias("size"), F.ceil(F.sum("n") / chunk).alias("chunks"))
-    in_comps = blocks.select("sig", "node").join(placed.select("cluster", "node", "comp"), "node")
+    unlinked = placed.join(tagged.select("cluster").distinct(), "cluster", "left_semi")
+    in_comps = blocks.select("sig", "node").join(unlinked.select("cluster", "node", "comp"), "node")
     open_blocks = (
         in_comps.groupBy("sig", "cluster")
         .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("nodes"))
