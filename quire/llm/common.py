@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -32,9 +33,12 @@ class Scratch:
         self.path = f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as a Parquet table and read it back."""
+        """Write df as a Parquet table and read it back. Shuffle files that only the writing needed are let go: Spark
+        deletes them when the driver collects its garbage, which by itself it may not do for half an hour."""
         path = f"{self.path}/{name}"
         df.write.mode("overwrite").parquet(path)
+        gc.collect()
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -246,14 +246,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
         if held is not None and lead != held[1]:
             yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]]), pa.array([lead])], names=["sig", "node", "leader"])
 
-    def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [s.tobytes() for s in sets_of(batch)]
-            for a in range(0, len(raw), 500):
-                yield pa.RecordBatch.from_arrays([batch.column(2).slice(a, 500), pa.array(raw[a : a + 500], pa.binary())], names=["node", "shingles"])
-
     def linked(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        sets = [np.frombuffer(b, np.uint64) for b in group["shingles"].to_pylist()]
+        sets = [np.unique(shingles(word_hashes(t), words)) for t in group["text"].to_pylist()]
         found = list(search(group["node"].to_pylist(), group["role"].to_pylist(), group["comp"].to_pylist(), sets, num, den))
         if found:
             u, v, _ = zip(*found, strict=True)
@@ -268,8 +262,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     sigs = rows.select("id", "text").mapInArrow(signed, "sig long, node long")
     blocks = scratch.keep(sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(led, "sig long, node long, leader long"), "blocks")
 
+    # Searches get texts, which take half the room of their shingles' hashes.
     need = blocks.select("node").distinct().join(reps, "node").where("id is not null").select("id", "node")
-    sets = scratch.keep(rows.join(need, "id").select("id", "text", "node").mapInArrow(fetched, "node long, shingles binary"), "sets")
+    sets = scratch.keep(rows.join(need, "id").select("node", "text"), "sets")
 
     # Blocks that hang together are a cluster; one of up to `chunk` nodes is searched as a whole.
     hung = scratch.keep(blocks.where("node <> leader").select("node", "leader").distinct(), "hung")
