@@ -1,19 +1,446 @@
-"""All queries of the reference's operators, with their SQL."""
+"""All queries of the document operators, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
+from ..functions import text as T
+from ..functions.fixed import BULLETS, EDITORIAL, LANGUAGES, LIGATURES, RARE_QUOTES, SUPERSCRIPTS
+from ..operators import arrow_text as A
+from ..operators import cleaners as C
+from ..operators import figures, quality, select, state, structure
+from ..sources import readers
+from . import dirt
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        QUERIES[name] = fn
+        if sql:
+            SQL[name] = sql
+        return fn
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def documents(spark: SparkSession, sf_dir: str, noise: str = "text") -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.expr(noise).alias("text"), "lang", "source")
+
+
+def cleaned(name: str, op: Callable[[Column], Column], noise: str, sql: str, changes: Callable[[Column], Column] | None = None, changes_sql: str = "") -> None:
+    """Register a cleaner: its text of every document, and its changes. {t} in sql is the text with noise."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = documents(spark, sf_dir, noise).select("doc_id", op(F.col("text")).alias("clean_text"), *([changes(F.col("text")).cast("long").alias("changes")] if changes else []))
+        return out
+
+    extra = f", CAST({changes_sql} AS BIGINT) AS changes" if changes else ""
+    query(name, f"WITH d AS (SELECT doc_id, {duck(noise)} AS t FROM documents) SELECT doc_id, {sql} AS clean_text{extra} FROM d")(run)
+
+
+def duck(noise: str) -> str:
+    return noise.replace("AS STRING", "AS VARCHAR")
+
+
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def replaces(sql: str, table: dict[str, str]) -> str:
+    for k, v in table.items():
+        sql = f"replace({sql}, {quoted(k)}, {quoted(v)})"
+    return sql
+
+
+def hits(sql: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({sql}, {quoted(pattern)}))"
+
+
+# Cleaners on whole texts
+
+ENDS = r"regexp_replace(t, '\r\n?', chr(10), 'g')"
+TRAILED = rf"regexp_replace({ENDS}, '[ \t]+(\n|$)', '\1', 'g')"
+SPACED = replaces(rf"regexp_replace({TRAILED}, '\n{{3,}}', chr(10) || chr(10), 'g')", {**LIGATURES, **RARE_QUOTES})
+cleaned("clean_whitespace", T.whitespace, dirt.SPACES, SPACED, T.whitespace_changes, f"{hits(ENDS, r'[ \t]+(?:\n|$)')} + {hits(TRAILED, r'\n{3,}')} + {hits(TRAILED, '[' + ''.join([*LIGATURES, *RARE_QUOTES]).replace(chr(39), '') + ']')}")
+cleaned("clean_kerning", T.kerning, dirt.KERNED, r"array_to_string(list_transform(string_split(t, chr(10)), lambda x: CASE WHEN regexp_matches(x, '^ *[A-Z0-9]( {1,3}[A-Z0-9])+ *$') THEN array_to_string(list_transform(string_split(x, '   '), lambda g: replace(g, ' ', '')), '   ') ELSE x END), chr(10))")
+PAGE = rf"(?m)^(?:\d+|[—–-][ \t]*\d+[ \t]*[—–-]|\d+[ \t]*\|.+|.+\|[ \t]*\d+|[ \t]*\d{{1,4}}[ \t]{{2,}}(?:{'|'.join(EDITORIAL)})[ \t]+\S.*)$"
+cleaned("clean_page_numbers", T.page_numbers, dirt.NUMBERED, f"regexp_replace(t, {quoted(PAGE)}, '', 'g')", T.page_number_changes, hits("t", PAGE))
+cleaned("clean_bullets", T.bullets, dirt.BULLETED, rf"regexp_replace(t, '(?m)^([ \t]*)[{BULLETS}][ \t]+', '\1- ', 'g')")
+cleaned("clean_footnote_markers", T.footnote_markers, dirt.NOTED, rf"regexp_replace({replaces('t', {c: f'[^{i}]' for i, c in enumerate(SUPERSCRIPTS)})}, '\[(\d+)\]([ \t]*)(\n|$)', '[^\1]\2\3', 'g')")
+LEVEL = r"CASE WHEN trim(x) = '' OR regexp_matches(x, '^\s*#') OR length(x) > 200 THEN 0 WHEN regexp_matches(x, '(?i)^(chapter|cap[ií]tulo|cap\.?)\s+\d+') THEN 1 WHEN regexp_matches(x, '^\d+\.\d+\.\d+\s+\S') THEN 3 WHEN regexp_matches(x, '^\d+\.\d+\s+\S') THEN 2 WHEN regexp_matches(x, '^[A-Z][A-Z\s]{2,80}$') THEN 1 ELSE 0 END"
+HEADS = f"list_transform(string_split(t, chr(10)), lambda x: CASE WHEN {LEVEL} > 0 THEN repeat('#', {LEVEL}) || ' ' || x ELSE x END)"
+cleaned("clean_headings", T.headings, dirt.HEADED, f"array_to_string(list_transform({HEADS}, lambda x, i: CASE WHEN starts_with(x, '#') AND i > 1 AND trim(({HEADS})[i - 1]) <> '' AND NOT starts_with(({HEADS})[i - 1], '#') THEN chr(10) || x ELSE x END), chr(10))", T.heading_changes, f"len(list_filter(string_split(t, chr(10)), lambda x: {LEVEL} > 0))")
+cleaned("clean_single_h1", T.single_h1, dirt.TITLED, "array_to_string(list_transform(string_split(t, chr(10)), lambda x, i: CASE WHEN starts_with(x, '# ') AND i > list_position(list_transform(string_split(t, chr(10)), lambda y: starts_with(y, '# ')), true) THEN '#' || x ELSE x END), chr(10))")
+SKIP = r"'^\s*(#{1,6}\s+\S|([-*+]|\d+[.)])\s+\S|>|```|~~~)'"
+ROWS = "(CASE WHEN ends_with(t, chr(10)) THEN list_slice(string_split(t, chr(10)), 1, -2) ELSE string_split(t, chr(10)) END)"
+
+
+def _joined(i: str) -> str:
+    x, b = f"{ROWS}[{i}]", f"{ROWS}[{i} - 1]"
+    return rf"({i} > 1 AND {i} <= len({ROWS}) AND trim({x}) <> '' AND NOT regexp_matches({x}, {SKIP}) AND NOT regexp_matches({x}, '^\s*\p{{Lu}}') AND trim({b}) <> '' AND NOT regexp_matches({b}, {SKIP}) AND NOT regexp_matches({b}, '[.:;]\s*$'))"
+
+
+cleaned("clean_paragraph_joins", T.paragraph_joins, dirt.WRAPPED, rf"array_to_string(list_transform({ROWS}, lambda x, i: CASE WHEN {_joined('(i + 1)')} THEN regexp_replace(trim(x), '\s+', ' ', 'g') || ' ' WHEN {_joined('i')} THEN ltrim(x) || CASE WHEN i < len({ROWS}) OR ends_with(t, chr(10)) THEN chr(10) ELSE '' END || chr(10) ELSE x || CASE WHEN i < len({ROWS}) OR ends_with(t, chr(10)) THEN chr(10) ELSE '' END END), '')")
+cleaned("front_matter_strip", structure.strip_front_matter, dirt.FRONTED, r"regexp_replace(t, '^\s*---\n(?s:.*?)\n---[ \t]*\n+', '')")
+cleaned("page_markers_strip", lambda c: T.strip_markers(T.insert_markers(T.lines(c))), "text", "t")
+
+
+@query("clean_slice", f"""
+WITH d AS (SELECT doc_id, lang, {duck(dirt.SPACES)} || chr(10) || CAST(doc_id AS VARCHAR) AS t FROM documents),
+c AS (SELECT lang, t AS raw, regexp_replace({SPACED}, {quoted(PAGE)}, '', 'g') AS t FROM d)
+SELECT lang, count(*) AS documents, CAST(sum({hits('t', r'[\p{L}\p{N}_]+')}) AS BIGINT) AS words, CAST(sum(length(raw) - length(t)) AS BIGINT) AS removed FROM c GROUP BY lang""")
+def clean_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, dirt.SPACES + " || chr(10) || CAST(doc_id AS STRING)")
+    clean = docs.withColumn("w", T.whitespace(F.col("text"))).withColumn("c", T.page_numbers(F.col("w")))
+    return clean.groupBy("lang").agg(F.count("*").alias("documents"), F.sum(T.words(F.col("c"))).cast("long").alias("words"), F.sum(F.char_length("text") - F.char_length("c")).cast("long").alias("removed"))
+
+
+flagship = clean_slice
+
+# Pages: three lines each, a head line on most
+
+PAGES_SQL = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
+g AS (SELECT doc_id, n // 3 AS p, string_agg(line, chr(10) ORDER BY n) AS body FROM l GROUP BY 1, 2),
+pages AS (SELECT doc_id, CAST(p + 1 AS INTEGER) AS page_no, CASE WHEN doc_id % 2 = 0 AND p % 4 <> 3 THEN 'Book  ' || CAST(doc_id % 7 AS VARCHAR) || chr(10) ELSE '' END || body || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '- foot -' ELSE '' END AS text FROM g),
+x AS (SELECT doc_id, page_no, trim(regexp_replace(unnest(string_split(text, chr(10))), '\\s+', ' ', 'g')) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM pages),
+y AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY n) AS top, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY n DESC) AS bottom, count(*) OVER (PARTITION BY doc_id, page_no) AS of_page FROM x WHERE line <> ''),
+t AS (SELECT doc_id, count(*) AS n_pages FROM pages GROUP BY 1)"""
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = documents(spark, sf_dir).select("doc_id", F.split("text", "\n").alias("l"))
+    one = lines.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / 3).cast("int")), lambda p: T.join(F.slice(F.col("l"), p * 3 + 1, 3)))).alias("p", "body"))
+    head = F.when((F.col("doc_id") % 2 == 0) & (F.col("p") % 4 != 3), F.concat(F.lit("Book  "), (F.col("doc_id") % 7).cast("string"), F.lit("\n"))).otherwise("")
+    foot = F.when(F.col("doc_id") % 3 == 0, F.lit("\n- foot -")).otherwise("")
+    return one.select("doc_id", (F.col("p") + 1).cast("int").alias("page_no"), F.concat(head, "body", foot).alias("text"))
+
+
+REPEATED = PAGES_SQL + """,
+e AS (SELECT doc_id, page_no, line, min(top) AS top FROM y WHERE top <= 3 OR bottom <= 3 GROUP BY 1, 2, 3),
+r AS (SELECT doc_id, CASE WHEN top <= 3 THEN 'header' ELSE 'footer' END AS side, line, count(*) AS pages_with FROM e GROUP BY 1, 2, 3),
+b AS (SELECT r.* FROM r JOIN t USING (doc_id) WHERE n_pages >= 2 AND pages_with >= ceil(0.6 * n_pages))"""
+
+
+@query("repeated_lines", REPEATED + " SELECT doc_id, side, line, pages_with FROM b")
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.repeated_lines(pages(spark, sf_dir))
+
+
+@query("clean_headers", REPEATED + r""",
+k AS (SELECT doc_id, page_no, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM pages),
+s AS (SELECT k.* FROM k ANTI JOIN b ON b.doc_id = k.doc_id AND b.line = trim(regexp_replace(k.line, '\s+', ' ', 'g')))
+SELECT p.doc_id, p.page_no, coalesce(string_agg(s.line, chr(10) ORDER BY s.n), '') AS text FROM pages p LEFT JOIN s ON s.doc_id = p.doc_id AND s.page_no = p.page_no GROUP BY 1, 2""")
+def clean_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.remove_repeated_lines(pages(spark, sf_dir))
+
+
+@query("repeating_borders", PAGES_SQL + r""",
+o AS (SELECT doc_id, 'header' AS side, line FROM y WHERE top <= 3 UNION ALL SELECT doc_id, 'footer', line FROM y WHERE bottom <= 3 AND of_page > 3),
+c AS (SELECT doc_id, side, line, count(*) AS times FROM o WHERE NOT regexp_matches(line, '^\d+$') GROUP BY 1, 2, 3)
+SELECT c.* FROM c JOIN t USING (doc_id) WHERE times >= greatest(1, CAST(floor(0.6 * n_pages + 0.5) AS BIGINT))""")
+def repeating_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.repeating_borders(pages(spark, sf_dir))
+
+
+@query("inspection", PAGES_SQL + r"""
+SELECT doc_id, count(*) AS pages, round(sum(CASE WHEN page_no <= 20 THEN len(regexp_extract_all(text, '\S+')) ELSE 0 END) / greatest(1, count(*) FILTER (page_no <= 20)), 6) AS words_per_page FROM pages GROUP BY 1""")
+def inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.inspection(pages(spark, sf_dir)).select("doc_id", "pages", F.round("words_per_page", 6).alias("words_per_page"))
+
+
+@query("page_markers", PAGES_SQL + """
+SELECT doc_id, string_agg(CASE WHEN page_no > 1 THEN '<!-- page ' || CAST(page_no AS VARCHAR) || ' -->' || chr(10) ELSE '' END || text, chr(10) ORDER BY page_no) AS text FROM pages GROUP BY 1""")
+def page_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pages(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p"))
+    return rows.select("doc_id", T.insert_markers(F.transform("p", lambda x: x["text"])).alias("text"))
+
+
+@query("split_pages", PAGES_SQL + " SELECT doc_id, page_no, trim(text, chr(10)) AS text FROM pages")
+def split_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = page_markers(spark, sf_dir).select("doc_id", F.posexplode(T.split_markers(F.col("text"))).alias("p", "text"))
+    return rows.select("doc_id", (F.col("p") + 1).cast("int").alias("page_no"), "text")
+
+
+# Statistics
+
+STATS = f"""
+WITH d AS (SELECT doc_id, text AS raw, {duck(dirt.MARKED)} AS t FROM documents),
+s AS (SELECT doc_id, CAST({hits('t', r'[\p{L}\p{N}_]+')} AS BIGINT) AS words, CAST({hits('t', '(?m)^# ')} AS BIGINT) AS h1, CAST({hits('t', '(?m)^## ')} AS BIGINT) AS h2, CAST({hits('t', '(?m)^### ')} AS BIGINT) AS h3, CAST(length(t || raw) AS BIGINT) AS raw_chars, CAST(length(t) AS BIGINT) AS clean_chars FROM d)"""
+
+
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", F.expr(dirt.MARKED).alias("clean_text"), F.expr(f"({dirt.MARKED}) || text").alias("text"))
+    return quality.statistics(docs)
+
+
+@query("statistics", STATS + " SELECT *, round((raw_chars - clean_chars) / raw_chars, 6) AS deletion_ratio FROM s")
+def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, sf_dir).select("doc_id", "words", "h1", "h2", "h3", "raw_chars", "clean_chars", F.round("deletion_ratio", 6).alias("deletion_ratio"))
+
+
+@query("warnings", STATS + """,
+w AS (SELECT doc_id, words, h1 + h2 + h3 AS h, h2, h3, doc_id % 12 AS pages, (raw_chars - clean_chars) / raw_chars AS ratio FROM s),
+v AS (SELECT doc_id, unnest([CASE WHEN pages > 0 AND words = 0 THEN 'empty_output' END, CASE WHEN pages >= 2 AND words < 10 * pages THEN 'scanned_pdf' END, CASE WHEN pages >= 2 AND h = 0 THEN 'no_headings' END, CASE WHEN pages >= 5 THEN 'no_figures' END, CASE WHEN ratio > 0.5 THEN 'over_cleanup' END, CASE WHEN h >= 2 AND (h2 = h OR h3 = h) THEN 'uniform_headings' END]) AS code FROM w)
+SELECT doc_id, code FROM v WHERE code IS NOT NULL""")
+def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = quality.warnings((F.col("doc_id") % 12).cast("int"), F.lit("pdf"), F.lit(0), F.lit(1), F.lit(True))
+    return _stats(spark, sf_dir).withColumn("codes", codes).select("doc_id", F.explode("codes").alias("code"))
+
+
+@query("count_words", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS words FROM documents")
+def count_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", T.words_by_space(F.col("text")).cast("long").alias("words"))
+
+
+@query("count_diff", f"""
+WITH d AS (SELECT doc_id, text AS a, CASE WHEN doc_id % 4 = 0 THEN text WHEN doc_id % 4 = 1 THEN '' WHEN doc_id % 4 = 2 THEN replace(text, 'e', 'E') ELSE text || chr(10) || 'more' END AS b FROM documents),
+l AS (SELECT *, string_split(a, chr(10)) AS x, string_split(b, chr(10)) AS y FROM d)
+SELECT doc_id, CAST(CASE WHEN a = b THEN 0 WHEN b = '' THEN CASE WHEN contains(a, chr(10)) THEN len(x) ELSE 1 END WHEN len(x) = 1 AND len(y) = 1 THEN abs(length(b) - length(a))
+  ELSE len(list_distinct(list_filter(x, lambda v: NOT list_contains(y, v)))) + len(list_distinct(list_filter(y, lambda v: NOT list_contains(x, v)))) END AS BIGINT) AS changes FROM l""")
+def count_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = "CASE WHEN doc_id % 4 = 0 THEN text WHEN doc_id % 4 = 1 THEN '' WHEN doc_id % 4 = 2 THEN replace(text, 'e', 'E') ELSE text || chr(10) || 'more' END"
+    return documents(spark, sf_dir).withColumn("b", F.expr(b)).select("doc_id", T.count_diff(F.col("text"), F.col("b")).cast("long").alias("changes"))
+
+
+def _language_sql() -> str:
+    def one(p: str) -> str:
+        return f"CAST(regexp_matches(t, {quoted(p)}) AS INTEGER)"
+
+    return ", ".join(f"{{'n': {' + '.join(map(one, ps))}, 'l': '{name}'}}" for name, ps in LANGUAGES.items())
+
+
+CODE = "CASE doc_id % 4 WHEN 0 THEN 'def f(self):' || chr(10) || '  pass' WHEN 1 THEN 'SELECT a FROM b' || chr(10) || source WHEN 2 THEN 'fn x() -> y' ELSE source END"
+
+
+@query("infer_language", f"""
+WITH d AS (SELECT doc_id, array_to_string(list_slice(string_split({CODE}, chr(10)), 1, 5), chr(10)) || chr(10) AS t FROM documents),
+s AS (SELECT doc_id, [{_language_sql()}] AS s FROM d), m AS (SELECT doc_id, s, list_max(list_transform(s, lambda x: x.n)) AS top FROM s)
+SELECT doc_id, CASE WHEN top > 0 AND len(list_filter(s, lambda x: x.n = top)) = 1 THEN list_filter(s, lambda x: x.n = top)[1].l ELSE '' END AS language FROM m""")
+def infer_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir, CODE).select("doc_id", T.language(F.col("text")).alias("language"))
+
+
+# Selection: a book for each source, a chapter for each document
+
+CHAPTERS_SQL = "c AS (SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS index, CAST(1 + (doc_id * 7) % 3 AS INTEGER) AS level, 'Title ' || CAST(doc_id AS VARCHAR) AS title, row_number() OVER (PARTITION BY source ORDER BY doc_id) * 2 - 1 AS start_page FROM documents)"
+
+
+def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.row_number().over(W.partitionBy("source").orderBy("doc_id")).cast("long")
+    return documents(spark, sf_dir).select(F.col("source").alias("book"), n.alias("index"), (F.lit(1) + (F.col("doc_id") * 7) % 3).cast("int").alias("level"), F.concat(F.lit("Title "), F.col("doc_id").cast("string")).alias("title"), (n * 2 - 1).alias("start_page"))
+
+
+@query("infer_ranges", f"""WITH {CHAPTERS_SQL}, t AS (SELECT book, max(start_page) + 3 AS total FROM c GROUP BY 1)
+SELECT c.*, coalesce((SELECT min_by(b.start_page, b.index) FROM c b WHERE b.book = c.book AND b.index > c.index AND b.level <= c.level), t.total + 1) AS end_page FROM c JOIN t USING (book)""")
+def infer_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = chapters(spark, sf_dir)
+    return select.infer_ranges(c, c.groupBy("book").agg((F.max("start_page") + 3).alias("total_pages")), "book")
+
+
+@query("outline_parents", f"WITH {CHAPTERS_SQL} SELECT c.*, (SELECT max(b.index) FROM c b WHERE b.book = c.book AND b.index < c.index AND b.level < c.level) AS parent FROM c")
+def outline_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.outline_parents(chapters(spark, sf_dir), "book")
+
+
+@query("resolve_chapter", f"""WITH {CHAPTERS_SQL} SELECT book, CASE count(*) FILTER (contains(lower(title), 'le 77')) WHEN 0 THEN 'not found' WHEN 1 THEN 'ok' ELSE 'ambiguous' END AS status,
+CASE WHEN count(*) FILTER (contains(lower(title), 'le 77')) = 1 THEN min(index) FILTER (contains(lower(title), 'le 77')) END AS index FROM c GROUP BY 1""")
+def resolve_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.resolve_chapter(chapters(spark, sf_dir), "le 77", "book").select("book", "status", F.col("chapter.index").alias("index"))
+
+
+SPEC = "CAST(doc_id % 5 + 1 AS STRING) || '-' || CAST(doc_id % 5 + 3 AS STRING) || ', ' || CAST(doc_id % 9 + 1 AS STRING) || ',,2'"
+
+
+@query("page_list", f"""WITH d AS (SELECT doc_id, doc_id % 5 + 1 AS a, doc_id % 9 + 1 AS b FROM documents)
+SELECT doc_id, CASE WHEN b > 8 THEN NULL ELSE array_to_string(list_sort(list_distinct([a, a + 1, a + 2, b, 2])), ',') END AS pages FROM d""")
+def page_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("spec", F.expr(SPEC))
+    return docs.select("doc_id", F.array_join(select.page_list(F.col("spec"), F.lit(8)).cast("array<string>"), ",").alias("pages"))
+
+
+@query("detect_chapters", PAGES_SQL.replace("'Book  ' || CAST(doc_id % 7 AS VARCHAR)", "'Chapter ' || CAST(p + 1 AS VARCHAR) || ': X'") + r""",
+h AS (SELECT doc_id, page_no, arg_min(line, n) AS title FROM y GROUP BY 1, 2)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) AS index, substr(title, 1, 200) AS title, page_no AS start_page FROM h
+WHERE regexp_matches(title, '(?i)^(chapter|cap[ií]tulo)\s+\d+\b') OR regexp_matches(title, '^\d+\.\s+[A-Z]')""")
+def detect_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pages(spark, sf_dir).withColumn("text", F.regexp_replace("text", r"\ABook  \d+", F.concat(F.lit("Chapter "), F.col("page_no").cast("string"), F.lit(": X"))))
+    return select.detect_chapters(p).withColumn("index", F.col("index").cast("long"))
+
+
+# Structure
+
+
+@query("headings", f"""WITH l AS (SELECT doc_id, unnest(string_split({duck(dirt.MARKED)}, chr(10))) AS line, generate_subscripts(string_split({duck(dirt.MARKED)}, chr(10)), 1) AS n FROM documents),
+h AS (SELECT doc_id, n, CAST(length(regexp_extract(line, '^(#+) ', 1)) AS INTEGER) AS level, regexp_extract(line, '^#+ (.*?)\\s*$', 1) AS title FROM l WHERE regexp_matches(line, '^#{{2,3}} \\S'))
+SELECT doc_id, level, title, trim(replace(lower(title), ' ', '-'), '-_') AS anchor FROM h""")
+def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.headings(documents(spark, sf_dir, dirt.MARKED)).select("doc_id", "level", "title", "anchor")
+
+
+@query("toc", f"""SELECT doc_id, '<!-- toc -->' || chr(10) || '- [Part A](#part-a)' || chr(10) || '  - [Sub part](#sub-part)' || chr(10) || '- [Part B](#part-b)' || chr(10) || '<!-- /toc -->' || chr(10) AS toc FROM documents""")
+def toc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.toc(structure.headings(documents(spark, sf_dir, dirt.MARKED)))
+
+
+@query("sections", f"""WITH l AS (SELECT doc_id, unnest(string_split({duck(dirt.MARKED)}, chr(10))) AS line, generate_subscripts(string_split({duck(dirt.MARKED)}, chr(10)), 1) AS n FROM documents),
+s AS (SELECT *, sum(CASE WHEN starts_with(line, '## ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS index FROM l WHERE n > 1)
+SELECT doc_id, CAST(index AS BIGINT) AS index, max(CASE WHEN starts_with(line, '## ') THEN substr(line, 4) END) AS title, trim(string_agg(CASE WHEN NOT starts_with(line, '## ') THEN line END, chr(10) ORDER BY n), chr(10)) AS body FROM s GROUP BY 1, 2""")
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.sections(documents(spark, sf_dir, dirt.MARKED))
+
+
+SLUG = r"regexp_replace(regexp_replace(lower(strip_accents(substr(text, 1, 70))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+@query("slug", f"SELECT doc_id, CASE WHEN {SLUG} = '' THEN 'untitled' ELSE regexp_replace(substr({SLUG}, 1, 60), '-+$', '') END AS slug FROM documents WHERE NOT contains(text, 'ß')")
+def slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).where(~F.col("text").contains("ß")).select("doc_id", structure.ascii_slug(F.substring("text", 1, 70)).alias("slug"))
+
+
+@query("range_label", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'pages-' || CAST(doc_id AS VARCHAR) || '-' || CAST(doc_id + 2 AS VARCHAR) WHEN doc_id % 3 = 1 THEN 'pages-' || array_to_string(list_transform(range(0, 8), lambda k: doc_id + 2 * k), '-') || '-more' ELSE 'full' END AS label FROM documents""")
+def range_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    p = F.when(d % 3 == 0, F.sequence(d, d + 2)).when(d % 3 == 1, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(8).cast("long")), lambda k: d + 2 * k))
+    return documents(spark, sf_dir).select("doc_id", structure.range_label(p).alias("label"))
+
+
+# Figures, from embeddings: size, page and image by vec_id
+
+CAND = "SELECT label AS doc_id, CAST(vec_id AS INTEGER) AS seq, CAST(vec_id % 6 + 1 AS INTEGER) AS page, CAST(40 + vec_id % 200 AS INTEGER) AS width, CAST(50 + vec_id % 150 AS INTEGER) AS height, 'img' || CAST(vec_id % 5 + (vec_id % 2) * vec_id AS VARCHAR) AS pixel_sha, 0.0 AS x, 0.0 AS y, CAST(CASE WHEN vec_id % 11 = 0 THEN 612 ELSE 100 END AS DOUBLE) AS w, CAST(CASE WHEN vec_id % 13 = 0 THEN 792 ELSE 700 END AS DOUBLE) AS h FROM embeddings"
+
+
+@query("filter_figures", f"""WITH c AS ({CAND}), e AS (SELECT *, CASE WHEN width < 64 OR height < 64 THEN 'too_small' WHEN w * h / (612.0 * 792.0) >= 0.85 THEN 'background' END AS early FROM c),
+i AS (SELECT doc_id, pixel_sha, count(DISTINCT page) AS n, min(seq) AS first_seq FROM e WHERE early IS NULL GROUP BY 1, 2),
+d AS (SELECT e.*, i.first_seq, coalesce(early, CASE WHEN i.n >= greatest(1, CAST(floor(6 * 0.8) AS INTEGER)) AND seq <> i.first_seq THEN 'logo_repeated' ELSE 'kept' END) AS decision FROM e LEFT JOIN i USING (doc_id, pixel_sha))
+SELECT doc_id, seq, decision, CASE WHEN decision = 'kept' THEN row_number() OVER (PARTITION BY doc_id, decision = 'kept' ORDER BY first_seq, seq) END AS position FROM d""")
+def filter_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/embeddings.parquet").createOrReplaceTempView("_embeddings")
+    c = spark.sql(CAND.replace("VARCHAR", "STRING").replace("FROM embeddings", "FROM _embeddings"))
+    areas = c.select("doc_id", "page").distinct().withColumns({"page_width": F.lit(612.0), "page_height": F.lit(792.0)})
+    totals = c.select("doc_id").distinct().withColumn("total_pages", F.lit(6))
+    return figures.filter_candidates(c, areas, totals).select("doc_id", "seq", "decision", F.col("position").cast("long").alias("position"))
+
+
+@query("captions", r"""
+WITH l AS (SELECT doc_id, CAST(1 AS INTEGER) AS page_no, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+k AS (SELECT doc_id, page_no, n AS line_no, CASE WHEN n % 4 = 0 THEN 'Figure ' || CAST(doc_id % 9 AS VARCHAR) || '.' || CAST(n AS VARCHAR) || ' — ' || substr(line, 1, 20) || 'x' ELSE line END AS line FROM l),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS r FROM k WHERE trim(line) <> ''),
+s AS (SELECT doc_id, line_no, (SELECT max(r) FROM f WHERE f.doc_id = k.doc_id AND f.line_no <= k.line_no) AS r FROM k WHERE line_no = 2),
+c AS (SELECT s.doc_id, s.line_no, f.r, f.line FROM s JOIN f ON f.doc_id = s.doc_id AND f.r BETWEEN s.r + 1 AND s.r + 3 WHERE regexp_matches(trim(f.line), '(?i)^(figura|figure|fig\.?)\s+(\d+)\.(\d+)\s*([—\-:])\s*(.+?)\s*$')),
+m AS (SELECT doc_id, line_no, arg_min(line, r) AS line FROM c GROUP BY 1, 2)
+SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(regexp_extract(line, '(\d+)\.(\d+)', 1) AS INTEGER) AS chapter, CAST(regexp_extract(line, '(\d+)\.(\d+)', 2) AS INTEGER) AS figure FROM m""")
+def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = documents(spark, sf_dir).select("doc_id", F.lit(1).alias("page_no"), F.posexplode(F.split("text", "\n")).alias("p", "line")).withColumn("line_no", F.col("p") + 1)
+    made = F.concat(F.lit("Figure "), (F.col("doc_id") % 9).cast("string"), F.lit("."), F.col("line_no").cast("string"), F.lit(" — "), F.substring("line", 1, 20), F.lit("x"))
+    lines = lines.select("doc_id", "page_no", "line_no", F.when(F.col("line_no") % 4 == 0, made).otherwise(F.col("line")).alias("line"))
+    starts = lines.where("line_no = 2").select("doc_id", "page_no", "line_no")
+    return figures.captions_after(starts, lines).select("doc_id", "line_no", "chapter", "figure")
+
+
+# State
+
+KEYED = "sha256(sha256(text) || '|' || sha256('1-3') || '|' || sha256('{\"disabled\":[],\"enabled\":[\"a\",\"b\"],\"pipeline\":[]}') || '|' || sha256('1'))"
+
+
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = state.cache_key(F.col("text"), F.lit("1-3"), F.lit(state.cleaner_snapshot(["b", "a"])), F.lit("1"))
+    return documents(spark, sf_dir).select("doc_id", key.alias("key"))
+
+
+@query("cache_key", f"SELECT doc_id, {KEYED} AS key FROM documents")
+def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _keyed(spark, sf_dir)
+
+
+@query("work_list", f"WITH k AS (SELECT doc_id, {KEYED} AS key FROM documents) SELECT * FROM k WHERE key NOT IN (SELECT key FROM k WHERE doc_id % 4 = 0)")
+def work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = _keyed(spark, sf_dir)
+    return state.work_list(keyed, keyed.where("doc_id % 4 in (0, 1)").select("key", F.when(F.col("doc_id") % 4 == 0, "1").otherwise("0").alias("version")), "1")
+
+
+@query("registry_upsert", """WITH s AS (SELECT sha256(text) AS sha256, 'T' || CAST(doc_id AS VARCHAR) AS title, 'd' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS seen_at FROM documents)
+SELECT sha256, min(seen_at) AS registered_at, max(seen_at) AS last_seen_at, count(*) AS run_count, max_by(title, seen_at) AS title FROM s GROUP BY 1""")
+def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0"))
+    seen = documents(spark, sf_dir).select(F.sha2("text", 256).alias("sha256"), F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"), at.alias("registered_at"), at.alias("last_seen_at"), F.lit(1).cast("long").alias("run_count"), "doc_id")
+    return state.upsert(seen.where("doc_id % 2 = 0").drop("doc_id"), seen.where("doc_id % 2 = 1").drop("doc_id")).select("sha256", "registered_at", "last_seen_at", "run_count", "title")
+
+
+@query("batch_summary", "SELECT CASE WHEN length(text) > 2000 THEN 'failed' ELSE 'ok' END AS status, count(*) AS n FROM documents GROUP BY 1")
+def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.summary(documents(spark, sf_dir).withColumn("status", F.when(F.char_length("text") > 2000, "failed").otherwise("ok")))
+
+
+@query("format_status", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'ok' WHEN page_id % 3 = 1 THEN 'unsupported format; known are docx, epub, html, pdf, pptx, xlsx' ELSE CASE WHEN length(html) > 3000 THEN 'input too large' ELSE 'ok' END END AS status FROM pages")
+def format_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    path = F.when(F.col("page_id") % 3 == 0, "a.PDF").when(F.col("page_id") % 3 == 1, "a.xyz").otherwise("b.html")
+    size = F.when(F.col("page_id") % 3 == 2, F.char_length("html")).otherwise(1)
+    return p.select("page_id", readers.status(path, size, readers.Limits(max_bytes=3000)).alias("status"))
+
+
+# Without SQL: tested by literals
+
+
+@query("clean_hyphens")
+def clean_hyphens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """' the ' broken by a hyphen; the dictionary has the word."""
+    docs = documents(spark, sf_dir, "replace(text, ' the ', ' th-' || chr(10) || 'e ')")
+    return C.clean(docs, [C.Cleaner("hyphens", rewrite=A.dehyphenator(["the"]))]).select("doc_id", "clean_text", F.col("stats")[0]["changes"].alias("changes"))
+
+
+@query("clean_code_blocks")
+def clean_code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = T.lines(F.col("text"))
+    return documents(spark, sf_dir, dirt.CODED).select("doc_id", T.let(rows, lambda r: T.code_blocks(r, T.code_kinds(r))).alias("clean_text"))
+
+
+@query("clean_tables")
+def clean_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, f"text || {dirt.NL} || '| a | b |' || {dirt.NL} || '| 1 | ' || CAST(doc_id AS STRING) || ' |'")
+    return C.clean(docs, [C.Cleaner("tables", rewrite=A.tables)]).select("doc_id", "clean_text")
+
+
+@query("clean_pipeline")
+def clean_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.clean(documents(spark, sf_dir, dirt.HEADED), C.default_cleaners(["the"])).select("doc_id", "clean_text", F.transform("stats", lambda s: s["changes"]).alias("changes"))
+
+
+@query("changes_by_cleaner")
+def changes_by_cleaner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.changes_by_cleaner(C.clean(documents(spark, sf_dir, dirt.NUMBERED), C.choose(C.default_cleaners(), skip=["code_blocks"])))
+
+
+@query("html_pages")
+def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", readers.html_column(F.col("html")).alias("text"))
+
+
+@query("slug_unicode")
+def slug_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", A.slugs(F.substring("text", 1, 70)).alias("slug"))
+
+
+@query("anchor_figures")
+def anchor_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pages(spark, sf_dir)
+    f = p.where("page_no = 1").select("doc_id", "page_no", ((F.col("doc_id") % 5) / 4).alias("y_frac"), figures.placeholder(F.lit(1), F.lit(1)).alias("markup"), F.lit(None).cast("string").alias("caption"))
+    return figures.anchor_figures(p, f)

@@ -1,0 +1 @@
+"""Readers of documents: binary files in, pages with a status out."""

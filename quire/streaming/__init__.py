@@ -1,0 +1 @@
+"""Folders watched as streams."""
