@@ -45,6 +45,8 @@ class Parts:
     no more parts than it can differ in gives signatures with frequent shingles and small parts as well, and if these are
     too few, or the set is small, the first shingles of an order with the frequent ones last (prefix filter). Of a linked
     pair, one set has enough parts, or both give the next kind.
+
+    With each kind goes the number of signatures that a linked set shares at least: the parts beyond the difference.
     """
 
     def __init__(self, num: int, den: int, frequent: np.ndarray, least: int = 16, step: float = 1.5):
@@ -52,7 +54,8 @@ class Parts:
         self.frequent = frequent
         self.edges = [least]
 
-    def of(self, s: np.ndarray) -> np.ndarray:
+    def of(self, s: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """Signatures of a set by kind, with the kind's number << 32 | least number shared."""
         n, num, den = len(s), self.num, self.den
         while self.edges[-1] <= n:
             self.edges.append(int(self.edges[-1] * self.step) + 1)
@@ -69,15 +72,16 @@ class Parts:
             if i + 1 < len(self.edges) and self.edges[i + 1] <= low:
                 break
             for kind, own, size in ((0, cold, 2), (1, s, 1)):
-                out.append(sigs := self._parts(own, 2 * i + kind, self.edges[i], size))
+                sigs = self._parts(own, 2 * i + kind, self.edges[i], size)
+                out.append((sigs, (2 * i + kind + 2) << 32 | max(1, len(sigs) - differ)))
                 if len(sigs) > differ:
                     break
             else:
                 prefix = True
         if prefix:
             first = np.concatenate((cold, s[common]))[: n - low + 1]
-            out.append(mix(first ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-        return np.concatenate(out)
+            out.append((mix(first ^ np.uint64(0xA5A5A5A5A5A5A5A5)), 1 << 32 | 1))
+        return out
 
     def _parts(self, s: np.ndarray, tag: int, edge: int, size: int) -> np.ndarray:
         """Signatures of the parts of s that have at least `size` elements."""
@@ -179,13 +183,13 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
             yield np.unique(shingles(word_hashes(t), words))
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row a text, and one for each shingle that many of some thousand texts have."""
+        """A row a text, and one for each shingle that several of some thousand texts have."""
         names = ["id", "n", "node", "shingle", "times"]
         held, docs = [], 0
 
         def frequent() -> pa.RecordBatch:
             x, times = np.unique(np.concatenate(held), return_counts=True)
-            many = times >= max(8, docs // 2000)
+            many = times >= 3
             x, times = x[many].view(np.int64), times[many].astype(np.int64)
             held.clear()
             return pa.RecordBatch.from_arrays([*[pa.nulls(len(x), pa.int64())] * 3, pa.array(x), pa.array(times)], names=names)
@@ -197,7 +201,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
                 node.append(digest(s) if len(s) else None)
                 held.append(s)
                 docs += 1
-                if docs % 16384 == 0:
+                if docs % 4096 == 0:
                     yield frequent()
                     docs = 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *[pa.nulls(len(n), pa.int64())] * 2], names=names)
@@ -206,45 +210,49 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = Parts(num, den, shared.value)
+        names = ["sig", "node", "kind"]
         for batch in batches:
-            seen, sigs, nodes, size = set(), [], [], 0
+            seen, rows, size = set(), ([], [], []), 0
             for s in sets_of(batch):
                 if not len(s) or (node := digest(s)) in seen:
                     continue
                 seen.add(node)
-                sigs.append(parts.of(s))
-                nodes.append(np.full(len(sigs[-1]), node, np.int64))
-                size += len(sigs[-1])
+                for sigs, kind in parts.of(s):
+                    for r, v in zip(rows, (sigs.view(np.int64), np.full(len(sigs), node), np.full(len(sigs), kind)), strict=True):
+                        r.append(v)
+                    size += len(sigs)
                 if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
-                    sigs, nodes, size = [], [], 0
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
-
-    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of signatures that several nodes have, with the smallest of these; a row is held back to know the next."""
-        held = lead = None
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(r)) for r in rows], names=names)
+                    rows, size = ([], [], []), 0
+            if size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(r)) for r in rows], names=names)
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of signatures that more than one node has; a row is held back to know the next."""
+        held, follows = None, False  # the last row, and whether one of its signature came before it
+        names = ["sig", "node", "kind"]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            keep = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
-            sig, node = sig[keep], node[keep]
+            sig, node, kind = (batch.column(k).to_numpy() for k in range(3))
             if held is not None:
-                if held == (sig[0], node[0]):
-                    sig, node = sig[1:], node[1:]
-                sig, node = np.r_[held[0], sig], np.r_[held[1], node]
-            starts = np.r_[True, sig[1:] != sig[:-1]]
-            leader = node[np.maximum.accumulate(np.where(starts, np.arange(len(sig)), 0))]
-            if held is not None and lead is not None:
-                leader[: (np.flatnonzero(starts)[1] if starts.sum() > 1 else len(sig))] = lead
-            several = ~(starts & np.r_[starts[1:], False]) | (leader != node)
-            a = len(sig) - 1
-            lead, held = leader[a], (sig[a], node[a])
-            several = several[:a]
-            yield pa.RecordBatch.from_arrays([pa.array(sig[:a][several]), pa.array(node[:a][several]), pa.array(leader[:a][several])], names=["sig", "node", "leader"])
-        if held is not None and lead != held[1]:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]]), pa.array([lead])], names=["sig", "node", "leader"])
+                sig, node, kind = (np.concatenate(([h], x)) for h, x in zip(held, (sig, node, kind), strict=True))
+            keep = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])))
+            sig, node, kind = sig[keep], node[keep], kind[keep]
+            same = np.concatenate(([follows], sig[1:] == sig[:-1]))  # as the row before
+            use = same | np.concatenate((same[1:], [False]))
+            held, follows = (sig[-1], node[-1], kind[-1]), bool(same[-1])
+            use[-1] = False
+            yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (sig, node, kind)], names=names)
+        if follows:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in held], names=names)
+
+    def shared_enough(rows: DataFrame) -> DataFrame:
+        """Rows of nodes that share as many signatures of a kind as any link takes, then with the smallest such node."""
+        enough = rows.groupBy("node", "kind").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("kind").bitwiseAND(F.lit((1 << 32) - 1)))
+        rows = rows.join(enough.select("node", "kind"), ["node", "kind"])
+        led = rows.groupBy("sig").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
+        return rows.select("sig", "node", "kind").join(led.select("sig", "leader"), "sig")
 
     def linked(group: pa.Table) -> Iterator[pa.RecordBatch]:
         sets = [np.unique(shingles(word_hashes(t), words)) for t in group["text"].to_pylist()]
@@ -259,8 +267,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     hot = hot.orderBy(F.desc("times"), "shingle").limit(most_frequent).toArrow()["shingle"].to_numpy()
     shared = spark.sparkContext.broadcast(np.sort(hot.view(np.uint64)))
     reps = sized_rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
-    sigs = rows.select("id", "text").mapInArrow(signed, "sig long, node long")
-    blocks = scratch.keep(sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(led, "sig long, node long, leader long"), "blocks")
+    sigs = rows.select("id", "text").mapInArrow(signed, "sig long, node long, kind long")
+    found = scratch.keep(sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(several, "sig long, node long, kind long"), "found")
+    blocks = scratch.keep(shared_enough(scratch.keep(shared_enough(found), "once").drop("leader")).drop("kind"), "blocks")
 
     # Searches get texts, which take half the room of their shingles' hashes.
     need = blocks.select("node").distinct().join(reps, "node").where("id is not null").select("id", "node")
