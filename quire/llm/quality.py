@@ -32,30 +32,30 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     equal windows, and the words that those cover are counted once each. Everything stays within the row.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
-    windows = "transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2]))"
-    placed = "array_sort(transform(_h, (x, i) -> struct(x as h, i as i)))"
-    twice = "filter(transform(_s, (x, j) -> if((j > 0 and _s[if(j > 0, j - 1, 0)].h = x.h) or (j + 1 < size(_s) and _s[if(j + 1 < size(_s), j + 1, j)].h = x.h), x.i, -1)), p -> p >= 0)"
-    covered = "aggregate(array_sort(_p), struct(-3 as last, 0 as n), (a, p) -> struct(p as last, a.n + least(3, p - a.last) as n), a -> a.n)"
+    windows = "transform(sequence(0, size(__q_w) - 3), i -> xxhash64(__q_w[i], __q_w[i + 1], __q_w[i + 2]))"
+    placed = "array_sort(transform(__q_h, (x, i) -> struct(x as h, i as i)))"
+    twice = "filter(transform(__q_s, (x, j) -> if((j > 0 and __q_s[if(j > 0, j - 1, 0)].h = x.h) or (j + 1 < size(__q_s) and __q_s[if(j + 1 < size(__q_s), j + 1, j)].h = x.h), x.i, -1)), p -> p >= 0)"
+    covered = "aggregate(array_sort(__q_p), struct(-3 as last, 0 as n), (a, p) -> struct(p as last, a.n + least(3, p - a.last) as n), a -> a.n)"
     return (
-        docs.withColumn("_t", t)
-        .withColumn("_w", words("_t"))
-        .withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike(rf"[^{WHITE}]")))
-        .withColumn("_h", F.expr(f"if(size(_w) < 3, cast(array() as array<bigint>), {windows})"))
-        .withColumn("_s", F.expr(f"if(size(array_distinct(_h)) = size(_h), null, {placed})"))
-        .withColumn("_p", F.expr(twice))
+        docs.withColumn("__q_t", t)
+        .withColumn("__q_w", words("__q_t"))
+        .withColumn("__q_l", F.filter(F.split("__q_t", "\n"), lambda x: x.rlike(rf"[^{WHITE}]")))
+        .withColumn("__q_h", F.expr(f"if(size(__q_w) < 3, cast(array() as array<bigint>), {windows})"))
+        .withColumn("__q_s", F.expr(f"if(size(array_distinct(__q_h)) = size(__q_h), null, {placed})"))
+        .withColumn("__q_p", F.expr(twice))
         .withColumns(
             {
-                "n_words": F.size("_w").cast("long"),
-                "word_chars": (F.char_length("_t") - F.regexp_count("_t", F.lit(rf"[{WHITE}]"))).cast("long"),
-                "n_symbols": F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long"),
-                "n_lines": F.size("_l").cast("long"),
-                "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
+                "n_words": F.size("__q_w").cast("long"),
+                "word_chars": (F.char_length("__q_t") - F.regexp_count("__q_t", F.lit(rf"[{WHITE}]"))).cast("long"),
+                "n_symbols": F.regexp_count("__q_t", F.lit(r"[#*$%&|<>]")).cast("long"),
+                "n_lines": F.size("__q_l").cast("long"),
+                "n_dup_lines": (F.size("__q_l") - F.size(F.array_distinct("__q_l"))).cast("long"),
                 "n_repeat_words": F.coalesce(F.expr(covered), F.lit(0)).cast("long"),
-                "n_capitals": F.regexp_count("_t", F.lit(r"\p{Lu}")).cast("long"),
-                "n_shouts": F.regexp_count("_t", F.lit("!")).cast("long"),
+                "n_capitals": F.regexp_count("__q_t", F.lit(r"\p{Lu}")).cast("long"),
+                "n_shouts": F.regexp_count("__q_t", F.lit("!")).cast("long"),
             }
         )
-        .drop("_t", "_w", "_l", "_h", "_s", "_p")
+        .drop("__q_t", "__q_w", "__q_l", "__q_h", "__q_s", "__q_p")
     )
 
 

@@ -40,15 +40,15 @@ RULES = (
 
 #: Lexical features of a url; suffix_share is joined from counts of file suffixes.
 FEATURE_SQL = {
-    "length": "cast(char_length(_u) as double)",
+    "length": "cast(char_length(__q_u) as double)",
     "host_length": "cast(char_length(host) as double)",
     "host_labels": "cast(regexp_count(host, '[.]') as double)",
     "hyphens": "cast(regexp_count(host, '-') as double)",
     "depth": "cast(regexp_count(path, '/') as double)",
-    "digits": "if(_u = '', 0d, regexp_count(_u, '[0-9]') / char_length(_u))",
-    "parameters": "if(locate('?', _u) = 0, 0d, 1d + regexp_count(substring_index(substring_index(_u, '#', 1), '?', -1), '[&;]'))",
-    "entropy": "if(_u = '', 0d, aggregate(array_distinct(split(_u, '')), 0d, (a, c) -> if(c = '', a, a - ((char_length(_u) - char_length(replace(_u, c, ''))) / char_length(_u)) * log2(greatest(1, char_length(_u) - char_length(replace(_u, c, ''))) / char_length(_u)))))",
-    "suffix_share": "coalesce(_share, 0d)",
+    "digits": "if(__q_u = '', 0d, regexp_count(__q_u, '[0-9]') / char_length(__q_u))",
+    "parameters": "if(locate('?', __q_u) = 0, 0d, 1d + regexp_count(substring_index(substring_index(__q_u, '#', 1), '?', -1), '[&;]'))",
+    "entropy": "if(__q_u = '', 0d, aggregate(array_distinct(split(__q_u, '')), 0d, (a, c) -> if(c = '', a, a - ((char_length(__q_u) - char_length(replace(__q_u, c, ''))) / char_length(__q_u)) * log2(greatest(1, char_length(__q_u) - char_length(replace(__q_u, c, ''))) / char_length(__q_u)))))",
+    "suffix_share": "coalesce(__q_share, 0d)",
 }
 
 
@@ -56,10 +56,10 @@ def parts(pages: DataFrame, url_col: str = "url") -> DataFrame:
     """pages with host and path. Null, or without ://, both are empty."""
     rest = F.when(F.locate("://", F.col(url_col)) > 0, F.expr(f"substr(`{url_col}`, locate('://', `{url_col}`) + 3)")).otherwise("")
     return (
-        pages.withColumn("_rest", F.coalesce(rest, F.lit("")))
-        .withColumn("host", F.translate(F.regexp_extract("_rest", r"\A([^/?#]*)", 1), UPPER, LOWER))
-        .withColumn("path", F.regexp_extract("_rest", r"\A[^/?#]*([^?#]*)", 1))
-        .drop("_rest")
+        pages.withColumn("__q_rest", F.coalesce(rest, F.lit("")))
+        .withColumn("host", F.translate(F.regexp_extract("__q_rest", r"\A([^/?#]*)", 1), UPPER, LOWER))
+        .withColumn("path", F.regexp_extract("__q_rest", r"\A[^/?#]*([^?#]*)", 1))
+        .drop("__q_rest")
     )
 
 
@@ -159,21 +159,21 @@ def boost(rows: Sequence[tuple[dict, bool]], rounds: int = 24, depth: int = 3, r
 
 
 def featured(pages: DataFrame, shares: DataFrame, url_col: str = "url") -> DataFrame:
-    """pages (with host and path) with the features as f_ columns. shares: (_suffix, _share), a bounded table."""
+    """pages (with host and path) with the features as f_ columns. shares: (__q_suffix, __q_share), a bounded table."""
     return (
-        pages.withColumn("_u", F.coalesce(F.col(url_col), F.lit("")))
-        .withColumn("_suffix", suffix())
-        .join(F.broadcast(shares), "_suffix", "left")
+        pages.withColumn("__q_u", F.coalesce(F.col(url_col), F.lit("")))
+        .withColumn("__q_suffix", suffix())
+        .join(F.broadcast(shares), "__q_suffix", "left")
         .select("*", *(F.expr(x).alias(f"f_{n}") for n, x in FEATURE_SQL.items()))
-        .drop("_u", "_suffix", "_share")
+        .drop("__q_u", "__q_suffix", "__q_share")
     )
 
 
 def suffix_shares(pages: DataFrame, most: int = 1024) -> DataFrame:
     """Shares of the most frequent file suffixes among all rows; at most `most` of them, the others count as 0."""
-    counts = pages.groupBy(suffix().alias("_suffix")).count()
+    counts = pages.groupBy(suffix().alias("__q_suffix")).count()
     total = counts.agg(F.sum("count").alias("_n"))
-    return counts.orderBy(F.desc("count"), "_suffix").limit(most).crossJoin(F.broadcast(total)).select("_suffix", (F.col("count") / F.col("_n")).alias("_share"))
+    return counts.orderBy(F.desc("count"), "__q_suffix").limit(most).crossJoin(F.broadcast(total)).select("__q_suffix", (F.col("count") / F.col("_n")).alias("__q_share"))
 
 
 def fit(labelled: DataFrame, shares: DataFrame, sample: int = 4096, url_col: str = "url") -> Model:
