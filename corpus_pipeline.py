@@ -21,10 +21,11 @@ from quire.llm.substring_dedup import without_repeats
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the rules learnt from labels keep; null texts go.
 
-    The verdicts are written first: a filter on them would be pushed below and evaluate the statistics again and again.
+    A filter on the verdicts would be pushed below the statistics, and evaluate them again for each mention; a column
+    that isn't deterministic keeps it above.
     """
-    judged = filter_quality(docs, table(spark, sf_dir, "labels")).select(*docs.columns, "kept")
-    return Scratch(spark).keep(judged, "judged").where("kept").select(docs.columns)
+    judged = filter_quality(docs, table(spark, sf_dir, "labels")).select(*docs.columns, "kept", F.monotonically_increasing_id().alias("__q_row"))
+    return judged.where("kept and __q_row >= 0").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,10 @@ from .common import Scratch, components, map_runs, mix, shingles, table, word_ha
 
 
 
+#: So many signatures in common are enough to tell links from chance.
+SHARED = 8
+
+
 def least_overlap(n: int, m: int, num: int, den: int) -> int:
     """Smallest intersection with intersection / union >= num / den."""
     return -(-num * (n + m) // (num + den))
@@ -46,7 +50,9 @@ class Parts:
     too few, or the set is small, the first shingles of an order with the frequent ones last (prefix filter). Of a linked
     pair, one set has enough parts, or both give the next kind.
 
-    With each kind goes the number of signatures that a linked set shares at least: the parts beyond the difference.
+    With each kind goes the number of signatures that a linked set shares at least: the parts beyond the difference. Of
+    sets that share more than SHARED, only the first signatures in the order of their values are given, as many fewer as
+    leave SHARED in common (the prefixes of two sets that share o elements, each without its last o - s, share s).
     """
 
     def __init__(self, num: int, den: int, frequent: np.ndarray, least: int = 16, step: float = 1.5):
@@ -73,7 +79,9 @@ class Parts:
                 break
             for kind, own, size in ((0, cold, 2), (1, s, 1)):
                 sigs = self._parts(own, 2 * i + kind, self.edges[i], size)
-                out.append((sigs, (2 * i + kind + 2) << 32 | max(1, len(sigs) - differ)))
+                spare = len(sigs) - differ - SHARED
+                kept = np.sort(sigs)[: len(sigs) - spare] if spare > 0 else sigs
+                out.append((kept, (2 * i + kind + 2) << 32 | max(1, min(SHARED, len(sigs) - differ))))
                 if len(sigs) > differ:
                     break
             else:
@@ -87,7 +95,7 @@ class Parts:
         """Signatures of the parts of s that have at least `size` elements."""
         if not len(s):
             return s
-        parts = 9 * most_difference(int(edge * self.step), self.num, self.den) // 8 + 3
+        parts = 3 * most_difference(int(edge * self.step), self.num, self.den) // 2 + 3
         part = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         sums = np.add.reduceat(mix(s + np.uint64(0x632BE59BD9B4E019)), starts)
@@ -270,6 +278,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     sigs = rows.select("id", "text").mapInArrow(signed, "sig long, node long, kind long")
     found = scratch.keep(sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(several, "sig long, node long, kind long"), "found")
     blocks = scratch.keep(shared_enough(scratch.keep(shared_enough(found), "once").drop("leader")).drop("kind"), "blocks")
+    scratch.drop("found", "once")
 
     # Searches get texts, which take half the room of their shingles' hashes.
     need = blocks.select("node").distinct().join(reps, "node").where("id is not null").select("id", "node")
