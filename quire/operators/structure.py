@@ -26,7 +26,7 @@ def front_matter(text: Column) -> Column:
 
 def render_front_matter(fields: dict[str, Column]) -> Column:
     """Fields as YAML, in their order; strings are written as JSON strings, which YAML reads."""
-    line = lambda k, c: F.concat(F.lit(f"{k}: "), F.coalesce(F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)\A\{"v":(.*)\}\z', 1), F.lit("null")), F.lit("\n"))
+    line = lambda k, c: F.concat(F.lit(f"{k}: "), F.coalesce(F.regexp_extract(F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}), r'(?s)\A\{"v":(.*)\}\z', 1), F.lit("null")), F.lit("\n"))
     return F.concat(F.lit("---\n"), *(line(k, c) for k, c in fields.items()), F.lit("---\n\n"))
 
 

@@ -67,6 +67,8 @@ class _Html(HTMLParser):
         elif tag == "pre":
             self.pre = True
             self.out.append("\n\n```\n")
+        elif tag in ("td", "th"):
+            self.out.append(" ")
         elif tag == "tr":
             self.out.append("\n|")
         elif tag in self.BLOCK:
@@ -84,8 +86,11 @@ class _Html(HTMLParser):
             self.out.append("\n\n")
 
     def handle_data(self, data: str) -> None:
-        if not self.skip:
-            self.out.append(data if self.pre else re.sub(r"\s+", " ", data))
+        if not self.skip and self.pre:
+            self.out.append(data)
+        elif not self.skip:
+            data = re.sub(r"\s+", " ", data)
+            self.out.append(data.lstrip() if not self.out or self.out[-1].endswith("\n") else data)
 
 
 def html_to_markdown(html: str) -> str:
@@ -93,7 +98,7 @@ def html_to_markdown(html: str) -> str:
     parser.feed(html)
     parser.close()
     text = re.sub(r"[ \t]+\n", "\n", "".join(parser.out))
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"\n[ \t]+(?=\S)", "\n", text)).strip() + "\n"
+    return re.sub(r"\n{3,}", "\n\n", text).strip() + "\n"
 
 
 def _xml(z: zipfile.ZipFile, name: str) -> ElementTree.Element:
