@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import keep_in_worker, table, without_gc
 from .word_bpe import gather, pieces
 
 #: Characters of the Unicode property White_Space, as tiktoken's \s has them. Fixed values.
@@ -111,13 +111,10 @@ class ByteBpe:
     """Encodes as tiktoken does: the pattern's matches one by one, each by ranks."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        import gc
         import re
 
         import regex
 
-        gc.disable()  # there are millions of small objects, and no cycles
-
         self.hash, self.tokens = vocabulary.hash, vocabulary.tokens
         self.dtype = np.dtype("<u2" if len(self.tokens) <= 1 << 16 else "<u4")
         self.wide = 16 if len(self.tokens) <= 1 << 16 else 32
@@ -229,9 +226,6 @@ class ByteBpe:
         return self.bytes[at].tobytes()
 
 
-_loaded: dict[int, ByteBpe] = {}
-
-
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text's number of ids, the digest of its ids, and that of the bytes that they decode to.
 
@@ -241,16 +235,14 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(shared.value)
-        if key not in _loaded:
-            _loaded.clear()
-            _loaded[key] = ByteBpe(shared.value, pattern)
-        bpe = _loaded[key]
+        bpe = keep_in_worker(("byte_bpe", id(shared.value)), lambda: ByteBpe(shared.value, pattern))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in pieces(texts):
                 n, x, y = [], [], []
-                for ids in bpe.encode_all(texts[a:b]):
+                with without_gc():
+                    encoded = bpe.encode_all(texts[a:b])
+                for ids in encoded:
                     n.append(len(ids))
                     x.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                     y.append(hashlib.sha256(b"".join(bpe.decode(ids[k : k + 1_000_000]) for k in range(0, len(ids), 1_000_000))).hexdigest())

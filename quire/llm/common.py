@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from hashlib import blake2b
 
 import numpy as np
@@ -48,6 +49,33 @@ class Scratch:
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: What a Python worker keeps from task to task: at most one large thing. Operators that keep nothing let it go.
+_kept: dict = {}
+
+
+def keep_in_worker(key, make: Callable):
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def forget_in_worker() -> None:
+    _kept.clear()
+
+
+@contextmanager
+def without_gc() -> Iterator[None]:
+    """No search for cycles while millions of small objects are made that have none."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

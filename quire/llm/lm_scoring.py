@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_runs, mix, table, word_hashes
+from .common import Scratch, forget_in_worker, map_runs, mix, table, word_hashes
 from .word_bpe import pieces
 
 END = np.uint64(0x0123456789ABCDEF)
@@ -198,6 +198,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text, and one for each of its words that isn't frequent."""
+        forget_in_worker()
         bloom, frequent, of = shared.value
         key = TaskContext.get().partitionId() << 40
         names = [x.split()[0] for x in schema.split(", ")]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, map_runs, mix, shingles, table, word_hashes
+from .common import Scratch, components, forget_in_worker, map_runs, mix, shingles, table, word_hashes
 
 
 
@@ -187,11 +187,13 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
         return int(np.int64(np.uint64(mix(np.array([np.add.reduce(mix(s)) + np.uint64(len(s))], np.uint64))[0])))
 
     def sets_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for t in batch.column(1).to_pylist():
-            yield np.unique(shingles(word_hashes(t), words))
+        for a in range(0, batch.num_rows, 500):
+            for t in batch.column(1).slice(a, 500).to_pylist():
+                yield np.unique(shingles(word_hashes(t), words))
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row a text, and one for each shingle that several of some thousand texts have."""
+        forget_in_worker()
         names = ["id", "n", "node", "shingle", "times"]
         held, docs = [], 0
 
@@ -209,7 +211,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
                 node.append(digest(s) if len(s) else None)
                 held.append(s)
                 docs += 1
-                if docs % 4096 == 0:
+                if docs % 2048 == 0:
                     yield frequent()
                     docs = 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *[pa.nulls(len(n), pa.int64())] * 2], names=names)
@@ -217,6 +219,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
             yield frequent()
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_in_worker()
         parts = Parts(num, den, shared.value)
         names = ["sig", "node", "kind"]
         for batch in batches:
@@ -237,6 +240,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of signatures that more than one node has; a row is held back to know the next."""
+        forget_in_worker()
         held, follows = None, False  # the last row, and whether one of its signature came before it
         names = ["sig", "node", "kind"]
         for batch in batches:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 from collections.abc import Sequence
 
@@ -10,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import keep_in_worker, without_gc
+
 #: Special tokens are found in raw text, also within chunks; texts with this go to the library whole.
 MARK = "<|"
-_loaded: dict[str, WordBpe] = {}
 
 
 class Recent:
@@ -45,7 +45,6 @@ class WordBpe:
 
     def __init__(self, path: str, most: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        gc.disable()  # there are millions of small objects, and no cycles
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -60,9 +59,7 @@ class WordBpe:
     @classmethod
     def load(cls, path: str) -> WordBpe:
         """One for each Python worker."""
-        if path not in _loaded:
-            _loaded[path] = cls(path)
-        return _loaded[path]
+        return keep_in_worker(path, lambda: cls(path))
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -113,6 +110,10 @@ class WordBpe:
 
     def encode(self, texts: Sequence[str | None], end: int | None = None) -> list[np.ndarray]:
         """Ids of each text, null being empty, with the id `end` appended."""
+        with without_gc():
+            return self._encode(texts, end)
+
+    def _encode(self, texts: Sequence[str | None], end: int | None) -> list[np.ndarray]:
         last = np.array([] if end is None else [end], self.dtype)
         odd = {i: np.frombuffer(self._raw([t])[0], self.dtype) for i, t in enumerate(texts) if t and MARK in t}
         lists = pc.ascii_split_whitespace(pa.array(["" if i in odd else t or "" for i, t in enumerate(texts)], pa.string()))
@@ -128,11 +129,14 @@ def gather(values: list[bytes], at: np.ndarray, dtype: np.dtype) -> tuple[np.nda
     """The ids of values, one after the other for each of `at`, and where those of each begin, and all end."""
     pool = np.frombuffer(b"".join(values), dtype)
     size = np.fromiter(map(len, values), np.int64, len(values)) // dtype.itemsize
-    first = np.cumsum(size) - size
     n = size[at]
     ends = np.zeros(len(at) + 1, np.int64)
     np.cumsum(n, out=ends[1:])
-    return pool[np.arange(ends[-1]) + np.repeat(first[at] - ends[:-1], n)], ends
+    kind = np.int32 if max(ends[-1], len(pool)) < 1 << 31 else np.int64  # half the memory to move
+    shift = (np.cumsum(size) - size)[at] - ends[:-1]
+    place = np.repeat(shift.astype(kind), n)
+    place += np.arange(ends[-1], dtype=kind)
+    return pool[place], ends
 
 
 def pieces(texts: Sequence[str | None], most: int = 3 << 20):
