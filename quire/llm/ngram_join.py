@@ -171,7 +171,7 @@ def search(nodes: list[int], roles: list[int], comps: list[int], sets: list[np.n
                         yield nodes[i], nodes[j], o
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", chunk: int = 1024, most_frequent: int = 200_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", chunk: int = 1024, few_chunks: int = 8, most_frequent: int = 200_000) -> DataFrame:
     """Each document's number of distinct shingles and the smallest id of its component of links.
 
     Two documents link when intersection / union >= num / den. Null texts, empty ones and those of white space have no
@@ -312,12 +312,14 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     placed = scratch.keep(large.join(comps, F.col("node") == F.col("id"), "left").select("cluster", "size", "node", F.coalesce("component", "node").alias("comp")), "placed")
 
     # Then chunks against chunks where several components are left: those of one large component don't meet each other.
-    # A cluster is searched block by block instead where that takes fewer rows; of blocks with the same nodes, one.
+    # A cluster of more than a few chunks is searched block by block instead where that takes fewer rows; of blocks with
+    # the same nodes, one.
     of_comp = placed.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
     tagged = of_comp.groupBy("cluster").agg(F.count("*").alias("comps")).where("comps > 1").join(of_comp, "cluster").select("cluster", "comp", F.when(F.col("n") > chunk, F.col("comp").cast("string")).otherwise("").alias("tag"), "n")
     tagged = scratch.keep(tagged, "tagged")
     spans = tagged.groupBy("cluster", "tag").agg(F.sum("n").alias("size"), F.ceil(F.sum("n") / chunk).alias("chunks"))
-    unlinked = placed.join(tagged.select("cluster").distinct(), "cluster", "left_semi")
+    crowded = spans.groupBy("cluster").agg(F.sum("chunks").alias("all")).where(F.col("all") > few_chunks)
+    unlinked = placed.join(crowded.select("cluster"), "cluster", "left_semi")
     in_comps = blocks.select("sig", "node").join(unlinked.select("cluster", "node", "comp"), "node")
     open_blocks = (
         in_comps.groupBy("sig", "cluster")

@@ -92,7 +92,7 @@ def families(seed):
 @pytest.mark.parametrize(("k", "num", "den", "chunk", "frequent"), [(4, 85, 100, 1024, 200_000), (4, 85, 100, 4, 200_000), (5, 80, 100, 3, 0), (5, 80, 100, 1024, 200_000)])
 def test_jaccard_components(spark, k, num, den, chunk, frequent):
     docs = families(3)
-    got = ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), words=k, num=num, den=den, chunk=chunk, most_frequent=frequent)
+    got = ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), words=k, num=num, den=den, chunk=chunk, few_chunks=2, most_frequent=frequent)
     assert {d: (n, c) for d, n, c in rows(got, "doc_id", "n_shingles", "component_id")} == brute_components(docs, k, num, den)
 
 
