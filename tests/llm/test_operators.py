@@ -214,6 +214,19 @@ def test_filter_never_forgets():
     assert (f.counts(np.random.default_rng(6).integers(0, 2**40, 5000, np.uint64)) > 0).mean() < 0.05
 
 
+def test_filter_grows_with_its_items():
+    items = np.unique(np.random.default_rng(8).integers(0, 2**40, 5000, np.uint64))
+    data, bits = lm_scoring.segment(items, np.ones(len(items), np.int64), 1000)
+    f = lm_scoring.Filter(data, np.array([0]), np.array([bits], np.uint64), 40)
+    assert (f.counts(items) >= 1).all()
+
+
+def test_lm_scores_by_segments_are_those_of_a_broadcast(spark, documents, nasty):
+    for docs in (documents, nasty):
+        one, other = (sorted(rows(lm_scoring.score(docs, F.col("doc_id") % 3 == 0, most_bits=n), "doc_id", "held_out", "n_tokens", "n_known", "score"), key=str) for n in (1 << 40, 0))
+        assert one == other and len(one) == docs.count()
+
+
 # 5
 
 
