@@ -383,6 +383,33 @@ def test_repeats_cover_exact_windows(spark, documents):
     assert total > 100 and missed <= 0.02 * total
 
 
+def test_repeats_of_any_holder(spark):
+    """The passage's parts first occur in documents of their own, and documents between have pieces of it only."""
+    rng = random.Random(11)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = text(60)
+    parts = [text(9) + passage[a : a + 44] + text(31) for a in range(0, 17, 2)]
+    docs = [*parts, text(20) + passage + text(9), *parts, text(7) + passage + text(30)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    got = {d: (a, b, s, f) for d, a, b, s, f in rows(substring_dedup.repeats(df), "doc_id", "first", "last", "source_id", "source_first")}
+    assert got[2 * len(parts) + 1] == (7, 66, len(parts), 20)
+
+
+def test_repeats_cover_all_exact_windows(spark, documents):
+    one = [(10**6 + i, "x " * n) for i, n in enumerate((49, 50, 51, 300))]
+    docs = documents.select("doc_id", "text").union(spark.createDataFrame(one, "doc_id long, text string"))
+    cover, first, missed, total = {}, {}, 0, 0
+    for d, a, b in rows(substring_dedup.repeats(docs), "doc_id", "first", "last"):
+        cover.setdefault(d, set()).update(range(a, b + 1))
+    for d, t in sorted(rows(docs, "doc_id", "text")):
+        w = words(t)
+        for i in range(len(w) - 49):
+            if first.setdefault(tuple(w[i : i + 50]), d) != d:
+                total += 1
+                missed += not cover.get(d, set()) >= set(range(i, i + 50))
+    assert total > 100 and missed == 0
+
+
 def test_fenwick_chains_follow_both_places():
     chain = substring_dedup.chains([(0, 100, 8), (10, 50, 8), (20, 120, 8), (30, 130, 8), (500, 600, 8)])
     assert [(0, 100, 8), (20, 120, 8), (30, 130, 8)] in chain and [(500, 600, 8)] in chain and [(10, 50, 8)] in chain
