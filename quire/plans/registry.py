@@ -436,7 +436,7 @@ def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("slug_unicode")
 def slug_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", A.slugs(F.substring("text", 1, 70)).alias("slug"))
+    return documents(spark, sf_dir).select("doc_id", A.slugs(F.col("text")).alias("slug"))
 
 
 @query("anchor_figures")

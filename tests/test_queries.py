@@ -44,3 +44,9 @@ def test_noise_matters(spark):
     for name, noise in (("clean_whitespace", dirt.SPACES), ("clean_kerning", dirt.KERNED), ("clean_page_numbers", dirt.NUMBERED), ("clean_headings", dirt.HEADED), ("clean_paragraph_joins", dirt.WRAPPED)):
         raw = registry.documents(spark, SF, noise)
         assert QUERIES[name](spark, SF).join(raw, "doc_id").where(F.col("text") != F.col("clean_text")).count() > 150
+
+
+def test_slug_unicode_is_of_whole_texts(spark, tmp_path):
+    texts = {1: "- " * 50 + "Straße", 2: None, 3: "日本 " + "!" * 80 + " x", 4: ""}
+    spark.createDataFrame([(i, t, "en", "web", 0) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert dict(QUERIES["slug_unicode"](spark, str(tmp_path)).collect()) == {1: "straße", 2: "untitled", 3: "日本-x", 4: "untitled"}
