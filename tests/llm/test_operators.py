@@ -332,6 +332,17 @@ def test_neighbours_come_first():
     assert [d for d, _, _ in packing.fill(same, 80)[0]] == [0, 2]
 
 
+def test_neighbours_share_any_term_of_whole_documents():
+    rare = [np.array([k, k]) for k in range(100, 120)]  # pairs with the seed's more frequent terms
+    seed = np.concatenate([*(np.array([k] * 5) for k in range(100, 120)), [7]])
+    docs = [seed, np.array([8, 8]), np.array([7, 9]), *rare]
+    index = packing.Bm25([packing.terms(d) for d in docs])
+    assert set(index.neighbours(0, np.arange(len(docs)) > 0).tolist()) == {2, *range(3, len(docs))}
+    rests = [np.array([1]), np.array([2]), np.array([3])]
+    whole = [packing.terms(np.array(d)) for d in ([5, 5, 1], [6, 2], [5, 3])]
+    assert [d for s in packing.fill(rests, 2, whole) for d, _, _ in s] == [0, 2, 1]
+
+
 # 9
 
 
