@@ -206,7 +206,8 @@ class ByteBpe:
         words = lists.values.dictionary_encode()
         values = [self.spaced[s] if len(s) < 256 else self._segment(" " + s) for s in words.dictionary.to_pylist()]
         at, cut = words.indices.to_numpy(), lists.offsets.to_numpy()
-        ids, ends = gather(values, at, self.dtype)
+        size = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
+        ids, ends = gather(np.frombuffer(b"".join(values), self.dtype), np.cumsum(size) - size, size, at)
         out = []
         for i in range(len(texts)):
             a, b = int(cut[i]), int(cut[i + 1])

@@ -4,46 +4,67 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from .common import keep_in_worker, without_gc
 
+#: 0 white space, 1 punctuation that may end a word, 2 letters and digits, 3 others.
+KIND = np.full(256, 3, np.uint8)
+KIND[[9, 10, 11, 12, 13, 32]] = 0
+KIND[np.frombuffer(b".,;:!?", np.uint8)] = 1
+KIND[np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8)] = 2
 #: Special tokens are found in raw text, also within chunks; texts with this go to the library whole.
 MARK = "<|"
 
 
-class Recent:
-    """What was found for keys, in two generations of at most `most` keys: what is used survives a turn."""
+class Known:
+    """Ids of chunks: one array of ids, and where those of each chunk are. At most about `most` chunks are kept: beyond
+    that those used longest ago go, half of them."""
 
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
+    def __init__(self, most: int, dtype: np.dtype):
+        self.most, self.turn = most, 0
+        self.at: dict[bytes, int] = {}
+        self.pool, self.start, self.size, self.used = np.zeros(0, dtype), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def missing(self, keys: set) -> set:
-        """Those of keys that aren't known; the others are young from now on, even where that is a little over most."""
-        if len(self.young) + len(keys) > self.most:
-            self.young, self.old = {}, self.young
-        keys = keys.difference(self.young)
-        again = self.old.keys() & keys
-        for k in again:
-            self.young[k] = self.old[k]
-        return keys - again
+    def add(self, names: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        n = len(self.size)
+        self.at.update(zip(names, range(n, n + len(names)), strict=True))
+        self.start = np.concatenate((self.start, np.cumsum(size) - size + len(self.pool)))
+        self.size, self.pool = np.concatenate((self.size, size)), np.concatenate((self.pool, ids))
+        self.used = np.concatenate((self.used, np.full(len(names), self.turn)))
+
+    def places(self, names: list[bytes]) -> np.ndarray:
+        """Places of chunks, -1 where they aren't known."""
+        return np.fromiter(map(self.at.get, names, repeat(-1)), np.int64, len(names))
+
+    def shrink(self) -> None:
+        if len(self.size) <= self.most:
+            return
+        stay = np.sort(np.argsort(-self.used, kind="stable")[: self.most // 2])
+        new = np.full(len(self.size), -1)
+        new[stay] = np.arange(len(stay))
+        self.pool, ends = gather(self.pool, self.start, self.size, stay)
+        self.start, self.size, self.used = ends[:-1], self.size[stay], self.used[stay]
+        self.at = {name: k for name, i in self.at.items() if (k := int(new[i])) >= 0}
 
 
 class WordBpe:
     """Ids of texts, as the library gives them for whole texts.
 
-    The normalizer replaces white space by blanks and the pre-tokenizer drops it, so a text's ids are those of its
-    chunks between ASCII white space, one after the other; of a chunk that ends in punctuation after letters, those of
-    the letters and of the punctuation. Tests compare with the library. Both are remembered up to bounded numbers. Ids
-    are kept as 2 bytes where the vocabulary allows, else as 4.
+    The normalizer lowers case and replaces white space by blanks, which the pre-tokenizer drops, so a text's ids are those
+    of its chunks between ASCII white space, one after the other; of a word with punctuation at its end, those of both.
+    Chunks of letters, or of letters and then punctuation, are one or two pre-tokens, each ending with its only token
+    that ends a word: many are encoded as one text, which is cut at these tokens; where their number isn't as expected,
+    and for other chunks, one by one. Tests compare with the
+    library. Ids are kept as 2 bytes where the vocabulary allows, else as 4.
     """
 
     TAIL = b".,;:!?"
 
-    def __init__(self, path: str, most: int = 450_000):
+    def __init__(self, path: str, most: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -51,7 +72,7 @@ class WordBpe:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.bits = max(1, (self.vocabulary - 1).bit_length())
         self.dtype = np.dtype("<u2" if self.bits <= 16 else "<u4")
-        self.chunks, self.letters, self.tails = Recent(most), Recent(most), {}
+        self.known = Known(most, self.dtype)
         self.ends = np.zeros(self.vocabulary, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -61,52 +82,34 @@ class WordBpe:
         """One for each Python worker."""
         return keep_in_worker(path, lambda: cls(path))
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _of_letters(self, words: list[bytes]) -> list[bytes]:
-        """Each word, being letters only, is one pre-token, which ends with the only token that ends a word."""
-        out: list[bytes] = []
-        for a in range(0, len(words), 2000):
-            some = words[a : a + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, self.dtype)
-            cut = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cut) != len(some) or cut[-1] != len(ids):
-                out += self._raw([w.decode() for w in some])
-                continue
-            w, raw = self.dtype.itemsize, ids.tobytes()
-            out += [raw[x * w : y * w] for x, y in zip([0, *cut[:-1]], cut, strict=True)]
-        return out
-
-    def _learn(self, need: set[bytes]) -> None:
-        """Ids of chunks that aren't known."""
-        cut, odd = [], []
-        for c in need:
-            if not c:
-                self.chunks.young[c] = b""
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Keep the ids of chunks that aren't known."""
+        plain, words, odd, white = [], [], [], []
+        for c in chunks:
+            if c.isspace():
+                white.append(c)
                 continue
             core = c.rstrip(self.TAIL)
-            if core.isalpha():
-                cut.append((c, core.lower(), c[len(core) :]))
-            elif not core.isascii() and core.decode().isalpha():
-                cut.append((c, core, c[len(core) :]))
+            if core.isalpha() or (core and not core.isascii() and core.decode().isalpha()):
+                plain.append(c)
+                words.append(1 + (len(core) < len(c)))
             else:
                 odd.append(c)
-        fresh = list(self.letters.missing({core for _, core, _ in cut}))
-        known = self.letters.young
-        known.update(zip(fresh, self._of_letters(fresh), strict=True))
-        young, tails = self.chunks.young, self.tails
-        for c, core, tail in cut:
-            if not tail:
-                young[c] = known[core]
-            else:
-                end = tails.get(tail)
-                if end is None:
-                    end = self._raw([tail.decode()])[0]
-                    if len(tails) < 10_000:
-                        tails[tail] = end
-                young[c] = known[core] + end
-        young.update(zip(odd, self._raw([c.decode() for c in odd]), strict=True))
+        for a in range(0, len(plain), 1000):
+            some, last = plain[a : a + 1000], np.cumsum(words[a : a + 1000]) - 1
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, self.dtype)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != last[-1] + 1 or cut[-1] != len(ids):
+                odd += some
+                continue
+            self.known.add(some, ids, np.diff(cut[last], prepend=0))
+        self.known.add(white, self.known.pool[:0], np.zeros(len(white), np.int64))
+        if odd:
+            found = self._raw([c.decode() for c in odd])
+            self.known.add(odd, np.concatenate(found), np.array([len(x) for x in found], np.int64))
 
     def encode(self, texts: Sequence[str | None], end: int | None = None) -> list[np.ndarray]:
         """Ids of each text, null being empty, with the id `end` appended."""
@@ -114,27 +117,66 @@ class WordBpe:
             return self._encode(texts, end)
 
     def _encode(self, texts: Sequence[str | None], end: int | None) -> list[np.ndarray]:
-        last = np.array([] if end is None else [end], self.dtype)
-        odd = {i: np.frombuffer(self._raw([t])[0], self.dtype) for i, t in enumerate(texts) if t and MARK in t}
-        lists = pc.ascii_split_whitespace(pa.array(["" if i in odd else t or "" for i, t in enumerate(texts)], pa.string()))
-        words = lists.values.dictionary_encode()
-        names = words.dictionary.cast(pa.binary()).to_pylist()
-        self._learn(self.chunks.missing(set(names)))
-        ids, ends = gather([self.chunks.young[n] for n in names], words.indices.to_numpy(), self.dtype)
-        cut = ends[lists.offsets.to_numpy()]
+        last, known = np.array([] if end is None else [end], self.dtype), self.known
+        odd = {i: self._raw([t])[0] for i, t in enumerate(texts) if t and MARK in t}
+        chunks, cut = split([b"" if t is None or i in odd else t.encode() for i, t in enumerate(texts)])
+        chunks = chunks.dictionary_encode()
+        names = slices(chunks.dictionary)
+        known.turn += 1
+        at = known.places(names)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = [names[i] for i in new.tolist()]
+            self._learn(fresh)
+            at[new] = known.places(fresh)
+        known.used[at] = known.turn
+        ids, ends = gather(known.pool, known.start, known.size, at[chunks.indices.to_numpy()])
+        cut = ends[cut].tolist()
+        known.shrink()
         return [np.concatenate((odd[i] if i in odd else ids[cut[i] : cut[i + 1]], last)) for i in range(len(texts))]
 
 
-def gather(values: list[bytes], at: np.ndarray, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of values, one after the other for each of `at`, and where those of each begin, and all end."""
-    pool = np.frombuffer(b"".join(values), dtype)
-    size = np.fromiter(map(len, values), np.int64, len(values)) // dtype.itemsize
+def split(texts: Sequence[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """Chunks of all texts one after the other, white space and punctuation at the end of words being chunks too, with A-Z
+    in lower case, and which of them begins each text, and their number.
+
+    Punctuation is cut off where a letter or digit of ASCII is before it and white space after it.
+    """
+    raw = b" ".join([*texts, b""]).lower()
+    kind = KIND[np.frombuffer(raw, np.uint8)]
+    edge = np.empty(len(raw), bool)
+    edge[:1] = True
+    white = kind == 0
+    np.not_equal(white[1:], white[:-1], out=edge[1:])
+    tail = np.r_[False, kind == 1, False]
+    first, after = np.flatnonzero(tail[1:-1] & ~tail[:-2]), np.flatnonzero(tail[1:-1] & ~tail[2:]) + 1
+    fits = (first > 0) & (after < len(raw))
+    first, after = first[fits], after[fits]
+    edge[first[(kind[first - 1] == 2) & white[after]]] = True
+    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    edge[begin[:-1][begin[:-1] < len(raw)]] = True
+    at = np.r_[np.flatnonzero(edge), len(raw)].astype(np.int32)
+    chunks = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(raw)])
+    return chunks, np.searchsorted(at, begin)
+
+
+def slices(names: pa.BinaryArray) -> list[bytes]:
+    """The bytes of each value."""
+    if not len(names):
+        return []
+    _, offsets, data = names.buffers()
+    at = np.frombuffer(offsets, np.int32, len(names) + 1, names.offset * 4).tolist()
+    raw = data.to_pybytes() if data else b""
+    return [raw[a:b] for a, b in pairwise(at)]
+
+
+def gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of pool that begin at start and have some size, one after the other for each of `at`, and where each begins, and all end."""
     n = size[at]
     ends = np.zeros(len(at) + 1, np.int64)
     np.cumsum(n, out=ends[1:])
     kind = np.int32 if max(ends[-1], len(pool)) < 1 << 31 else np.int64  # half the memory to move
-    shift = (np.cumsum(size) - size)[at] - ends[:-1]
-    place = np.repeat(shift.astype(kind), n)
+    place = np.repeat((start[at] - ends[:-1]).astype(kind), n)
     place += np.arange(ends[-1], dtype=kind)
     return pool[place], ends
 
