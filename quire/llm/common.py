@@ -76,6 +76,18 @@ def without_gc() -> Iterator[None]:
             gc.enable()
 
 
+@contextmanager
+def rows_a_batch(spark: SparkSession, most: int) -> Iterator[None]:
+    """Arrow batches of so many rows at most in what is run meanwhile, where rows are wide."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(most, int(before)) if int(before) > 0 else most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -106,14 +118,17 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
-def map_runs(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Deal df by keys, sort it and give fn each group in turn, in few Arrow batches. Groups must have a bound."""
+def map_runs(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, tasks: int | None = None) -> DataFrame:
+    """Deal df by keys, sort it and give fn each group in turn, in few Arrow batches. Groups must have a bound.
+
+    Where fn takes long for few bytes, a number of tasks keeps Spark from putting small partitions together.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, keys):
             yield from fn(group)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(each, schema)
+    return (df.repartition(tasks, *keys) if tasks else df.repartition(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(each, schema)
 
 
 _P1, _P2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -189,17 +204,24 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: str = "cc", hub: int = 1000) -> DataFrame:
     """Connected components of edges (u, v), by alternating large-star and small-star steps.
 
     Returns (id, component) for every id on an edge, component being the smallest id reachable. Each round writes its
-    edges as a table; hubs are joined by their minimum only, no neighbour list is gathered.
+    edges as a table; ids are joined with the minimum of their neighbours only, no list of these is gathered. The minima
+    of hubs, of which there are at most 400, are broadcast, so their edges needn't meet in one task.
     """
 
-    def stars(e: DataFrame, large: bool) -> DataFrame:
+    def stars(e: DataFrame, large: bool, most: int) -> DataFrame:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        hung = both.join(low, "u")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        if most:
+            hubs = F.broadcast(low.where(F.col("n") >= most).select("u", F.col("m").alias("of_hub")))
+            both = both.join(hubs, "u", "left")
+            rest = both.where("of_hub is null").select("u", "v").join(low.where(F.col("n") < most).select("u", "m"), "u")
+            hung = rest.union(both.where("of_hub is not null").select("u", "v", "of_hub"))
+        else:
+            hung = both.join(low.select("u", "m"), "u")
         if large:
             return hung.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         return hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
@@ -211,6 +233,7 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: st
         if not n or (n, s) == seen:
             break
         seen, k = (n, s), k + 1
-        e = scratch.keep(stars(stars(e, True), False), f"{name}{k}")
+        most = max(hub, n // 200) if n >= 20 * hub else 0  # of fewer edges, no hub is worth a join of its own
+        e = scratch.keep(stars(stars(e, True, most), False, most), f"{name}{k}")
         scratch.drop(f"{name}{k - 1}")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct()).groupBy("id").agg(F.min("component").alias("component"))
