@@ -1,6 +1,6 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-The filter holds unigrams and bigrams of training texts with their counts in steps of powers of two: a count of q binary
+The filter holds unigrams, bigrams and trigrams of training texts with their counts in steps of powers of two: a count of q binary
 digits is q items (n-gram, 1) to (n-gram, q), so membership is probed for growing q until it fails. Counts are gathered
 by shards of the n-grams' hashes; each shard makes its own segment of the filter from its exact counts, so segments are
 complete where they are made and every n-gram is in one. The filter grows with the n-grams. One that may be broadcast is;
@@ -24,10 +24,10 @@ from .word_bpe import pieces
 
 END = np.uint64(0x0123456789ABCDEF)
 FP = np.uint64((1 << 40) - 1)
-HASHES, BITS_AN_ITEM = 4, 8
+HASHES = 4
 #: Bits of a filter that is broadcast, at most: 128 MB. A larger one is asked where its segments are, with equal answers.
 MOST_BITS = 1 << 30
-#: N-grams of a shard, about, at most.
+#: N-grams of a shard, about, at most. The number of shards follows from those of the texts alone.
 SHARD = 1 << 22
 
 
@@ -39,9 +39,14 @@ def unigram(a: np.ndarray) -> np.ndarray:
     return mix(a ^ np.uint64(0x5851F42D4C957F2D))
 
 
+def trigram(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return mix(bigram(a, b) * np.uint64(0xD1342543DE82EF95) + mix(c + np.uint64(3)))
+
+
 def grams(t: np.ndarray) -> np.ndarray:
-    """Unigrams of all tokens, then bigrams."""
-    return np.concatenate((unigram(t), bigram(t[:-1], t[1:])))
+    """Unigrams of all tokens, then bigrams, then trigrams that don't reach over the end of a text."""
+    own = np.flatnonzero(t[1:-1] != END)
+    return np.concatenate((unigram(t), bigram(t[:-1], t[1:]), trigram(t[own], t[own + 1], t[own + 2])))
 
 
 def digits(counts: np.ndarray) -> np.ndarray:
@@ -49,16 +54,21 @@ def digits(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1]
 
 
+def least_of(q: np.ndarray) -> np.ndarray:
+    """The least counts of so many binary digits."""
+    return np.where(q > 0, 2.0 ** (q - 1.0), 0.0)
+
+
 def positions(item: np.ndarray, level: int, bits: np.ndarray, i: int) -> np.ndarray:
     h = mix(item + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
     return ((low + np.uint64(i) * high & np.uint64(0xFFFFFFFF)) * bits) >> np.uint64(32)
 
 
-def segment(items: np.ndarray, counts: np.ndarray, step: int = 1 << 20) -> tuple[bytes, int]:
+def segment(items: np.ndarray, counts: np.ndarray, step: int = 1 << 20, bits_an_item: int = 8) -> tuple[bytes, int]:
     """The filter of one shard, with room for all its items, and its bits. So many items are hashed at once."""
     q = digits(counts)
-    bits = max(64, -(-int(q.sum()) * BITS_AN_ITEM // 64) * 64)
+    bits = max(64, -(-int(q.sum()) * bits_an_item // 64) * 64)
     out = np.zeros(bits, np.uint8)
     for level in range(1, int(q.max(initial=0)) + 1):
         own = items[q >= level]
@@ -149,9 +159,8 @@ def by_shard(hashes: np.ndarray, shards: int, shift: int) -> list[int]:
     return np.searchsorted(hashes, np.arange(shards, dtype=np.uint64) << np.uint64(shift)).tolist() + [len(hashes)]
 
 
-def train(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int, int, int]:
+def train(texts: DataFrame, scratch: Scratch, bits_an_item: int) -> tuple[DataFrame, DataFrame, int, int, int]:
     """(exact unigram counts, segments of the filter, number of shards, N, V) of one column of texts."""
-    spark = texts.sparkSession
 
     def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, c in counted(batches, lambda t: t[1:]):
@@ -175,12 +184,12 @@ def train(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int
         once, more = [wide(x) for x in group["once"].to_pylist()], [wide(x) for x in group["more"].to_pylist()]
         x, n = tally([*once, *more], [*(np.ones(len(v), np.int64) for v in once), *(np.frombuffer(v, np.int64) for v in group["counts"].to_pylist())])
         s = group["shard"][0].as_py()
-        data, bits = segment(x | np.uint64(s << 40), n)
+        data, bits = segment(x | np.uint64(s << 40), n, bits_an_item=bits_an_item)
         yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([bits], pa.int64()), pa.array([data], pa.binary())], names=["shard", "bits", "data"])
 
     counts = scratch.keep(texts.mapInArrow(unigrams, "token long, count long").groupBy("token").agg(F.sum("count").alias("count")), "unigrams")
     total, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    shards = 1 << (max(64, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, -(-2 * total // SHARD)) - 1).bit_length()
+    shards = 1 << (max(64, -(-3 * total // SHARD)) - 1).bit_length()
     shift = 64 - (shards.bit_length() - 1)
     segments = scratch.keep(map_runs(texts.mapInArrow(ngrams, "shard int, once binary, more binary, counts binary"), ["shard"], [], made, "shard int, bits long, data binary"), "segments")
     return counts, segments, shards, total, distinct
@@ -247,22 +256,23 @@ def with_answers(rows: DataFrame, segments: DataFrame, shards: int, scratch: Scr
     return texts.select("block", F.lit(-1).alias("shard"), "ids", "held", "texts", F.lit(None).cast("binary").alias("answers")).unionByName(got, allowMissingColumns=True)
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", weight: float = 20.0, most_frequent: int = 1_000_000, most_bits: int = MOST_BITS) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", weight: float = 20.0, most_frequent: int = 1_000_000, most_bits: int = MOST_BITS, bits_an_item: int = 8) -> DataFrame:
     """Each text's exact unigram score and its score by the model, learnt from texts that are not held out.
 
-    The model: P(w | v) = (c(vw) + weight * P(w)) / (c(v) + weight) with P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)); counts are
-    those of the filter, in the numerators the least and in c(v) the greatest of their number of binary digits, so
-    probabilities sum to 1 at most where no probe errs. The context of the first word is the end of a text.
+    The model: P(w | u v) = (c(uvw) + weight * P(w | v)) / (c(uv) + weight), P(w | v) = (c(vw) + weight * P(w)) / (c(v) + weight),
+    P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)); counts are those of the filter, in numerators the least and in c(v) and c(uv)
+    the greatest of their number of binary digits, so probabilities sum to 1 at most where no probe errs. The context of
+    the first word is the end of a text alone.
 
-    All n-grams are in the filter. Up to most_bits of it are broadcast; a larger one is asked by shards, with equal scores.
+    All n-grams are in the filter, which depends on the texts alone, not on their order, files or partitions. Up to most_bits of it are broadcast; a larger one is asked by shards, with equal scores.
     The unigram score takes the counts of frequent words (at most most_frequent of them, broadcast) at once and those of
-    the others by a join. Null texts are empty: one token, the end. Rows whose held_out is null are held out. Equal rows are
+    the others by a join. Null texts are empty: one token, the end; very long texts are scored whole. Rows whose held_out is null are held out. Equal rows are
     scored each. Without training rows all counts are 0. An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.col(text_col).alias("text"))
-    counts, segments, shards, total, distinct = train(rows.where("not held_out").select("text"), scratch)
+    counts, segments, shards, total, distinct = train(rows.where("not held_out").select("text"), scratch, bits_an_item)
     least = max(1, -(-total // most_frequent))  # at most most_frequent words can have it
     some = counts.where(F.col("count") >= least).toArrow() if total else pa.table({"token": pa.array([], pa.int64()), "count": pa.array([], pa.int64())})
     frequent = some["token"].to_numpy().view(np.uint64)
@@ -287,10 +297,12 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         logs = np.bincount(doc[hit], np.log10(of[at[hit]] + 0.1), m)
         some, which = asked(grams(t))
         every = found(some)[which]
-        w, pair = every[: len(t)], every[len(t) :]
-        low, high = np.where(w > 0, 2.0 ** (w - 1.0), 0.0), 2.0**w - 1
-        both = np.minimum(np.where(pair > 0, 2.0 ** (pair - 1.0), 0.0), high[:-1])
-        p = (both + weight * (low[1:] + 0.1) / norm) / (high[:-1] + weight)
+        w, pair, triple = every[: len(t)], every[len(t) : 2 * len(t) - 1], every[2 * len(t) - 1 :]
+        low, high = least_of(w), 2.0**w - 1
+        p = (np.minimum(least_of(pair), high[:-1]) + weight * (low[1:] + 0.1) / norm) / (high[:-1] + weight)
+        own = np.flatnonzero(t[1:-1] != END)
+        high = 2.0 ** pair[own] - 1
+        p[own + 1] = (np.minimum(least_of(triple), high) + weight * p[own + 1]) / (high + weight)
         model = np.bincount(doc, np.log10(p), m)
         none = [pa.nulls(m, pa.int64())] * 2
         yield pa.RecordBatch.from_arrays([pa.array(keys), ids, held, pa.array(n), pa.array(known.astype(np.int64)), pa.array(logs), pa.array(model), *none], names=names)
