@@ -175,16 +175,24 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     """Each document's number of distinct shingles and the smallest id of its component of links.
 
     Two documents link when intersection / union >= num / den. Null texts, empty ones and those of white space have no
-    shingles and link with nothing. Rows of one id are one document in components. Rows with a null id have a null
-    component. An empty table gives an empty result. Other columns are not read. Shingles are compared by 64-bit
-    hashes, and so are whole sets when equal ones are put together.
+    shingles and link with nothing. Rows of one id are one document: what each of them links with is one component. Rows
+    with a null id have a null component. Very long texts are sets of all their shingles; a task searches as many sets as
+    have about chunk * 4096 shingles. An empty table gives an empty result. Other columns are not read. Shingles are
+    compared by 64-bit hashes, whole sets by 128 bits when equal ones are put together.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
-    def digest(s: np.ndarray) -> int:
-        return int(np.int64(np.uint64(mix(np.array([np.add.reduce(mix(s)) + np.uint64(len(s))], np.uint64))[0])))
+    def digests(s: np.ndarray) -> tuple[int, int]:
+        a = np.array([np.add.reduce(mix(s)) + np.uint64(len(s)), np.add.reduce(mix(s ^ np.uint64(0x8BB84B93962EACC9))) + np.uint64(len(s))], np.uint64)
+        return tuple(mix(a).view(np.int64).tolist())
+
+    def digest(s: np.ndarray, odd: frozenset) -> int:
+        """The first digest, or where different sets have that, the second."""
+        one, two = digests(s)
+        return two if one in odd else one
 
     def sets_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for a in range(0, batch.num_rows, 500):
@@ -194,7 +202,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row a text, and one for each shingle that several of some thousand texts have."""
         forget_in_worker()
-        names = ["id", "n", "node", "shingle", "times"]
+        names = ["id", "n", "node", "other", "shingle", "times"]
         held, docs = [], 0
 
         def frequent() -> pa.RecordBatch:
@@ -202,30 +210,32 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
             many = times >= 3
             x, times = x[many].view(np.int64), times[many].astype(np.int64)
             held.clear()
-            return pa.RecordBatch.from_arrays([*[pa.nulls(len(x), pa.int64())] * 3, pa.array(x), pa.array(times)], names=names)
+            return pa.RecordBatch.from_arrays([*[pa.nulls(len(x), pa.int64())] * 4, pa.array(x), pa.array(times)], names=names)
 
         for batch in batches:
-            n, node = [], []
+            n, node, other = [], [], []
             for s in sets_of(batch):
                 n.append(len(s))
-                node.append(digest(s) if len(s) else None)
+                for out, d in zip((node, other), digests(s) if len(s) else (None, None), strict=True):
+                    out.append(d)
                 held.append(s)
                 docs += 1
                 if docs % 2048 == 0:
                     yield frequent()
                     docs = 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *[pa.nulls(len(n), pa.int64())] * 2], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64()) for v in (n, node, other)), *[pa.nulls(len(n), pa.int64())] * 2], names=names)
         if held:
             yield frequent()
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_in_worker()
-        parts = Parts(num, den, shared.value)
+        frequent, odd = shared.value
+        parts = Parts(num, den, frequent)
         names = ["sig", "node", "kind"]
         for batch in batches:
             seen, rows, size = set(), ([], [], []), 0
             for s in sets_of(batch):
-                if not len(s) or (node := digest(s)) in seen:
+                if not len(s) or (node := digest(s, odd)) in seen:
                     continue
                 seen.add(node)
                 for sigs, kind in parts.of(s):
@@ -267,18 +277,29 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
         return rows.select("sig", "node", "kind").join(led.select("sig", "leader"), "sig")
 
     def linked(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        sets = [np.unique(shingles(word_hashes(t), words)) for t in group["text"].to_pylist()]
-        found = list(search(group["node"].to_pylist(), group["role"].to_pylist(), group["comp"].to_pylist(), sets, num, den))
-        if found:
+        """Links of a group; of a document's rows those are used that have the node's set, each once."""
+        odd, asked = shared.value[1], {}
+        for node, role, comp, text in zip(*(group[k].to_pylist() for k in ("node", "role", "comp", "text")), strict=True):
+            if node not in asked:
+                s = np.unique(shingles(word_hashes(text), words))
+                if len(s) and digest(s, odd) == node:
+                    asked[node] = (role, comp, s)
+        if found := list(search(list(asked), [r for r, _, _ in asked.values()], [c for _, c, _ in asked.values()], [s for _, _, s in asked.values()], num, den)):
             u, v, _ = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    both = scratch.keep(rows.mapInArrow(sized, "id long, n long, node long, shingle long, times long"), "rows")
-    sized_rows = both.where("n is not null").select("id", "n", "node")
+    both = scratch.keep(rows.mapInArrow(sized, "id long, n long, node long, other long, shingle long, times long"), "rows")
+    sized_rows = both.where("n is not null").select("id", "n", "node", "other")
     hot = both.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= max(16, sized_rows.count() // 2000))
     hot = hot.orderBy(F.desc("times"), "shingle").limit(most_frequent).toArrow()["shingle"].to_numpy()
-    shared = spark.sparkContext.broadcast(np.sort(hot.view(np.uint64)))
-    reps = sized_rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
+    # Sets whose first digests agree and second ones don't: of 10^10 sets, some three.
+    of_node = sized_rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min("other").alias("lo"), F.max("other").alias("hi"))
+    odd = frozenset(r["node"] for r in of_node.where("lo <> hi").select("node").collect())
+    if odd:
+        sized_rows = sized_rows.withColumn("node", F.when(F.col("node").isin(list(odd)), F.col("other")).otherwise(F.col("node")))
+    sized_rows = sized_rows.drop("other")
+    shared = spark.sparkContext.broadcast((np.sort(hot.view(np.uint64)), odd))
+    reps = sized_rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"))
     sigs = rows.select("id", "text").mapInArrow(signed, "sig long, node long, kind long")
     found = scratch.keep(sigs.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(several, "sig long, node long, kind long"), "found")
     blocks = scratch.keep(shared_enough(scratch.keep(shared_enough(found), "once").drop("leader")).drop("kind"), "blocks")
@@ -291,39 +312,41 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     # Blocks that hang together are a cluster; one of up to `chunk` nodes is searched as a whole.
     hung = scratch.keep(blocks.where("node <> leader").select("node", "leader").distinct(), "hung")
     clusters = components(spark, hung.select(F.col("node").alias("u"), F.col("leader").alias("v")), scratch, "cluster").select(F.col("id").alias("node"), F.col("component").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
+    # A node counts once for each 4096 shingles, so that no search holds more than about chunk * 4096 of them.
+    clusters = clusters.join(reps.select("node", F.ceil(F.col("n") / 4096).alias("wt")), "node")
+    sizes = clusters.groupBy("cluster").agg(F.sum("wt").alias("size"))
     clusters = scratch.keep(clusters.join(sizes, "cluster"), "clusters")
     shape = ["a", "b", "c", "node", "comp", "role"]
     whole = clusters.where(F.col("size") <= chunk).select(F.col("cluster").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"), "node", F.col("node").alias("comp"), F.lit(2).alias("role"))
 
     # In a larger one every node first asks the smallest leader among its blocks.
     large = clusters.where(F.col("size") > chunk)
-    pairs = hung.join(large, "node").groupBy("node").agg(F.min("leader").alias("leader"))
-    many = pairs.groupBy("leader").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
+    pairs = hung.join(large, "node").groupBy("node", "wt").agg(F.min("leader").alias("leader"))
+    many = pairs.groupBy("leader").agg(F.ceil(F.sum("wt") / chunk).alias("chunks"))
     pairs = scratch.keep(pairs.join(many, "leader").select("leader", "node", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk")), "pairs")
     asked = pairs.select(F.col("leader").alias("a"), F.col("chunk").alias("b"), F.lit(-1).cast("long").alias("c"), "node", F.col("node").alias("comp"), F.lit(0).alias("role"))
     asking = pairs.select("leader", "chunk").distinct().select(F.col("leader").alias("a"), F.col("chunk").alias("b"), F.lit(-1).cast("long").alias("c"), F.col("leader").alias("node"), F.col("leader").alias("comp"), F.lit(1).alias("role"))
 
     def searched(rows: DataFrame) -> DataFrame:
-        return map_runs(rows.select(*shape).join(sets, "node"), ["a", "b", "c"], ["node"], linked, "u long, v long")
+        return map_runs(rows.select(*shape).join(sets, "node"), ["a", "b", "c"], ["node"], linked, "u long, v long", tasks)
 
     links = scratch.keep(searched(whole.union(asked).union(asking)), "links")
     comps = scratch.keep(components(spark, links, scratch, "first"), "comps")
-    placed = scratch.keep(large.join(comps, F.col("node") == F.col("id"), "left").select("cluster", "size", "node", F.coalesce("component", "node").alias("comp")), "placed")
+    placed = scratch.keep(large.join(comps, F.col("node") == F.col("id"), "left").select("cluster", "size", "node", "wt", F.coalesce("component", "node").alias("comp")), "placed")
 
     # Then chunks against chunks where several components are left: those of one large component don't meet each other.
     # A cluster of more than a few chunks is searched block by block instead where that takes fewer rows; of blocks with
     # the same nodes, one.
-    of_comp = placed.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
+    of_comp = placed.groupBy("cluster", "comp").agg(F.sum("wt").alias("n"))
     tagged = of_comp.groupBy("cluster").agg(F.count("*").alias("comps")).where("comps > 1").join(of_comp, "cluster").select("cluster", "comp", F.when(F.col("n") > chunk, F.col("comp").cast("string")).otherwise("").alias("tag"), "n")
     tagged = scratch.keep(tagged, "tagged")
     spans = tagged.groupBy("cluster", "tag").agg(F.sum("n").alias("size"), F.ceil(F.sum("n") / chunk).alias("chunks"))
     crowded = spans.groupBy("cluster").agg(F.sum("chunks").alias("all")).where(F.col("all") > few_chunks)
     unlinked = placed.join(crowded.select("cluster"), "cluster", "left_semi")
-    in_comps = blocks.select("sig", "node").join(unlinked.select("cluster", "node", "comp"), "node")
+    in_comps = blocks.select("sig", "node").join(unlinked.select("cluster", "node", "wt", "comp"), "node")
     open_blocks = (
         in_comps.groupBy("sig", "cluster")
-        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("nodes"))
+        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("wt").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("nodes"))
         .where("lo <> hi")
         .groupBy("cluster", "size", "nodes")
         .agg(F.min("sig").alias("sig"))
@@ -345,11 +368,14 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     blocked = blocked.select("sig", "node", "comp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
     blocked = blocked.select(F.col("sig").alias("a"), F.least("own", "other").alias("b"), F.greatest("own", "other").alias("c"), "node", "comp", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 1).otherwise(0).alias("role"))
     rest = scratch.keep(searched(dealt.union(blocked)), "rest")
-    comps = components(spark, links.union(rest), scratch, "last")
+    of_id = sized_rows.where("id is not null and node is not null").groupBy("id").agg(F.min("node").alias("v"), F.max("node").alias("far"))
+    same_id = sized_rows.join(of_id.where("v <> far").select("id", "v"), "id").where("node <> v").select(F.col("node").alias("u"), "v")
+    comps = components(spark, links.union(rest).union(same_id), scratch, "last")
 
     named = reps.join(comps.withColumnRenamed("id", "node"), "node").select("node", "id", "component")
     smallest = named.groupBy("component").agg(F.min("id").alias("smallest"))
     of_node = scratch.keep(reps.join(named.select("node", "component"), "node", "left").join(smallest, "component", "left").select("node", F.coalesce("smallest", "id").alias("component_id")), "of_node")
+    scratch.drop("blocks", "sets", "hung", "clusters", "pairs", "links", "comps", "placed", "tagged", "open_blocks", "way", "rest")
     out = sized_rows.join(of_node, "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
