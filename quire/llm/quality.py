@@ -25,6 +25,10 @@ FEATURE_SQL = {
 }
 
 
+#: Columns that filter_quality adds.
+NEW = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals", "n_shouts", "base_failed", "kept")
+
+
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the base statistics of each text added; null texts count as empty.
 
@@ -176,18 +180,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     some = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) == 0).alias("_bad")).orderBy(F.xxhash64("_id"), "_id", "_bad").limit(sample)
     few = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id")
-    rows = statistics(few, "_text").select("_id", "_bad", *(F.expr(x).alias(f"f_{n}") for n, x in FEATURE_SQL.items())).orderBy("_id").collect()
+    few = few.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).limit(sample)
+    rows = statistics(few, "_text").select("_id", "_bad", *(F.expr(x).alias(f"f_{n}") for n, x in FEATURE_SQL.items())).orderBy("_id", *(f"f_{n}" for n in FEATURE_SQL)).collect()
     return learn([({f: r[f"f_{f}"] for f in FEATURE_SQL}, r["_bad"]) for r in rows])
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the statistics, base_failed and kept added.
 
-    Null texts have no words and fail the base rules. Equal rows get equal verdicts. Statistics replace columns of the
-    same names. An empty table gives an empty result; labels without matching documents give no rules.
+    Null texts have no words and fail the base rules. Equal rows get equal verdicts. Very long texts are judged whole; their
+    words are held as arrays within the row. Statistics, base_failed and kept replace columns of these names, all others
+    stay. An empty table gives an empty result; labels without matching documents give no rules.
     """
     rules = fit(docs, labels, id_col, text_col)
-    return statistics(docs, text_col).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"))
+    judged = statistics(rows, "_text").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    return judged.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns if c.lower() not in NEW), *NEW)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
