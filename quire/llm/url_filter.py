@@ -38,7 +38,7 @@ RULES = (
     UrlRule("net", "/fr/", "block"),
 )
 
-#: Lexical features of a url; suffix_share is joined from counts of file suffixes.
+#: Lexical features of a url; suffix_share is joined from the counts of all file suffixes.
 FEATURE_SQL = {
     "length": "cast(char_length(__q_u) as double)",
     "host_length": "cast(char_length(host) as double)",
@@ -158,46 +158,62 @@ def boost(rows: Sequence[tuple[dict, bool]], rounds: int = 24, depth: int = 3, r
     return Model(bias, trees)
 
 
-def featured(pages: DataFrame, shares: DataFrame, url_col: str = "url") -> DataFrame:
-    """pages (with host and path) with the features as f_ columns. shares: (__q_suffix, __q_share), a bounded table."""
-    return (
-        pages.withColumn("__q_u", F.coalesce(F.col(url_col), F.lit("")))
-        .withColumn("__q_suffix", suffix())
-        .join(F.broadcast(shares), "__q_suffix", "left")
-        .select("*", *(F.expr(x).alias(f"f_{n}") for n, x in FEATURE_SQL.items()))
-        .drop("__q_u", "__q_suffix", "__q_share")
-    )
+@dataclass(frozen=True)
+class Shares:
+    """Shares of file suffixes among all rows, (_suffix, _share): of those that a 1024th of the rows or more have, at most
+    1024, and of all others where there are any."""
+
+    frequent: DataFrame
+    rare: DataFrame | None
+
 
+def suffix_shares(pages: DataFrame, one_in: int = 1024) -> Shares:
+    """pages has a path."""
+    counts = pages.groupBy(suffix().alias("_suffix")).agg(F.count("*").alias("_n"))
+    total = pages.count()
+    shares = counts.select("_suffix", "_n", (F.col("_n") / F.lit(max(1, total))).alias("_share"))
+    rare = shares.where(F.col("_n") * one_in < total).select("_suffix", "_share")
+    return Shares(shares.where(F.col("_n") * one_in >= total).select("_suffix", "_share"), None if rare.isEmpty() else rare)
 
-def suffix_shares(pages: DataFrame, most: int = 1024) -> DataFrame:
-    """Shares of the most frequent file suffixes among all rows; at most `most` of them, the others count as 0."""
-    counts = pages.groupBy(suffix().alias("__q_suffix")).count()
-    total = counts.agg(F.sum("count").alias("_n"))
-    return counts.orderBy(F.desc("count"), "__q_suffix").limit(most).crossJoin(F.broadcast(total)).select("__q_suffix", (F.col("count") / F.col("_n")).alias("__q_share"))
 
+def featured(rows: DataFrame, shares: Shares) -> DataFrame:
+    """rows (url, host, path and others) with the features as f_ columns. Frequent suffixes come by a broadcast, the rows of others by a join."""
+    rows = rows.withColumn("_suffix", suffix()).join(F.broadcast(shares.frequent), "_suffix", "left")
+    if shares.rare is not None:
+        rest = rows.where("_share is null").drop("_share").join(shares.rare, "_suffix", "left")
+        rows = rows.where("_share is not null").unionByName(rest)
+    return rows.withColumn("__q_u", F.coalesce("url", F.lit(""))).withColumnRenamed("_share", "__q_share").select("*", *(F.expr(x).alias(f"f_{n}") for n, x in FEATURE_SQL.items()))
 
-def fit(labelled: DataFrame, shares: DataFrame, sample: int = 4096, url_col: str = "url") -> Model:
+
+def fit(labelled: DataFrame, shares: Shares, sample: int = 4096) -> Model:
     """Train on at most `sample` distinct labelled urls (url, host, path, _block), those with the smallest hashes."""
-    some = labelled.select(url_col, "host", "path", "_block").distinct().orderBy(F.xxhash64(url_col), url_col).limit(sample)
-    rows = featured(some, shares, url_col).orderBy(url_col).collect()
+    some = labelled.select("url", "host", "path", "_block").distinct().orderBy(F.xxhash64("url"), "url").limit(sample)
+    rows = featured(some, shares).orderBy("url").collect()
     return boost([({f: r[f"f_{f}"] for f in FEATURE_SQL}, r["_block"]) for r in rows])
 
 
+def judged(pages: DataFrame, rules: Sequence[UrlRule] = RULES, url_col: str = "url") -> tuple[DataFrame, Model]:
+    """(row, url, host, path, rule, verdict of the rule, features) of pages, and the trees."""
+    rows = parts(pages.select(F.struct(*pages.columns).alias("_row"), F.col(url_col).alias("url")))
+    name, verdict = rule_of(rules)
+    rows = rows.withColumn("rule", name).withColumn("verdict", verdict)
+    shares = suffix_shares(rows.select("path"))
+    model = fit(rows.where("rule is not null").withColumn("_block", F.col("verdict") == "block"), shares)
+    return featured(rows, shares), model
+
+
 def filter_urls(pages: DataFrame, rules: Sequence[UrlRule] = RULES, url_col: str = "url", odds: float = 4.0) -> DataFrame:
     """pages with host, path, rule and verdict: the longest fitting rule's, else that of trees trained on the urls which rules label, where block needs the odds given.
 
     Null urls, and those without ://, have an empty host and path, which no rule fits; the trees judge them. Equal urls
-    get equal verdicts. Without labelled urls of both kinds the trees say what the one kind is, or allow. An empty
-    table gives an empty result. Columns named host, path, rule or verdict are replaced.
+    get equal verdicts; very long ones are read whole. Without labelled urls of both kinds the trees say what the one kind
+    is, or allow. An empty table gives an empty result. Columns named host, path, rule or verdict are replaced, all others
+    stay, whatever their names.
     """
-    judged = parts(pages, url_col)
-    name, verdict = rule_of(rules)
-    judged = judged.withColumn("rule", name).withColumn("verdict", verdict)
-    shares = suffix_shares(judged.select("path"))
-    labelled = judged.where("rule is not null").withColumn("_block", F.col("verdict") == "block")
-    model = fit(labelled, shares, url_col=url_col)
-    out = featured(judged, shares, url_col)
-    return out.withColumn("verdict", F.coalesce("verdict", F.when(model.column() > math.log(odds), F.lit("block")).otherwise("allow"))).drop(*(f"f_{n}" for n in FEATURE_SQL))
+    rows, model = judged(pages, rules, url_col)
+    verdict = F.coalesce("verdict", F.when(model.column() > math.log(odds), F.lit("block")).otherwise("allow"))
+    new = ("host", "path", "rule", "verdict")
+    return rows.withColumn("verdict", verdict).select(*(F.col("_row").getField(c).alias(c) for c in pages.columns if c.lower() not in new), *new)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
