@@ -115,6 +115,19 @@ class Reader:
         return np.concatenate(out)[a - first * self.block : b - first * self.block]
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark takes it to have."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
+def opened(folder: str):
+    """The file system of a folder, and the folder there."""
+    from pyarrow import fs
+
+    return (fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")) if folder.startswith("file:") else fs.FileSystem.from_uri(folder)
+
+
 def write_tokens(docs: DataFrame, folder: str, path: str, end: int | None = 1, id_col: str = "doc_id", text_col: str = "text", most_ids: int = 1 << 25) -> DataFrame:
     """Encode every text and write token files in ascending order of ids. Returns the plan of a manifest: a row a file.
 
@@ -122,11 +135,11 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int | None = 1, i
     no manifest names. A file has at most most_ids ids and one document more.
     """
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+    folder = qualified(docs.sparkSession, folder)
 
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, part, k, w, name = WordBpe.load(path), TaskContext.get().partitionId(), 0, None, None
-        where, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        where, base = opened(folder)
         where.create_dir(base, recursive=True)
 
         def done() -> pa.RecordBatch:
@@ -154,12 +167,15 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int | None = 1, i
 
 
 def read_tokens(manifest: DataFrame, folder: str, docs_a_task: int = 4096, id_col: str = "doc_id") -> DataFrame:
-    """Every document's id, first id among all, number of ids and their checksum, read from the files of a manifest."""
+    """Every document's id, first id among all, number of ids and their checksum, read from the files of a manifest.
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+    The manifest, of one row a file, is summed up in one task. Tasks read as many documents of a file as docs_a_task.
+    """
 
-        where, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    folder = qualified(manifest.sparkSession, folder)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, base = opened(folder)
         for batch in batches:
             for row in batch.to_pylist():
                 at = f"{base}/{row['name']}"
@@ -181,14 +197,16 @@ def read_tokens(manifest: DataFrame, folder: str, docs_a_task: int = 4096, id_co
 
     before = F.sum("n_ids").over(W.orderBy("part", "file").rowsBetween(W.unboundedPreceding, -1))
     rows = manifest.withColumn("before", F.coalesce(before, F.lit(0))).select("name", "n_docs", "before", F.explode(F.expr(f"sequence(0L, n_docs - 1, {docs_a_task}L)")).alias("a"))
-    return rows.repartition("name", "a").mapInArrow(read, "id long, start long, n long, crc long").select(F.col("id").alias(id_col), "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "name", "a").mapInArrow(read, "id long, start long, n long, crc long").select(F.col("id").alias(id_col), "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
 
 def token_digests(docs: DataFrame, path: str, folder: str | None = None, end: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the token files of docs and read them back.
 
     Null texts are empty and have the end id only. Null ids come first. Rows of equal ids lie side by side, ordered by
-    a hash of the text, equal rows in any order. An empty table writes no file. Other columns are not read.
+    a hash of the text, equal rows in any order. Very long texts are encoded whole, and lie in as many blocks as they need.
+    An empty table writes no file. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession)
     folder = folder or f"{scratch.path}/files"
