@@ -15,7 +15,8 @@ from .common import table
 def score(key: Column, shard: int, weight: float, equal: bool) -> Column:
     """What a shard bids for a key: -weight / ln(u), or with equal weights just u, which has the same order."""
     u = F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 11)
-    return u if equal else F.lit(-float(weight)) / F.log((u.cast("double") + 0.5) / F.lit(2.0**53))
+    # The largest u are held below 1, where the logarithm would be 0.
+    return u if equal else F.lit(-float(weight)) / F.log(F.least((u.cast("double") + 0.5) / F.lit(2.0**53), F.lit(1.0 - 2.0**-53)))
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> tuple[Column, Column]:
@@ -32,7 +33,8 @@ def shard(docs: DataFrame, weights: Sequence[float], grown: float | None = 1.0,
     the new ones. Slots run from 0 without gaps in each shard: rows are numbered within (shard, bucket of the key) and
     shifted by the counts of the buckets before, so no task takes a whole shard; the broadcast table has one row for
     each shard and bucket. Null texts count no bytes and have the checksum of the empty text. Equal rows lie in one
-    shard in slots of their own. An empty table gives an empty result. Columns besides the two named are not read.
+    shard in slots of their own; very long texts count whole. An empty table gives an empty result. Columns besides the two
+    named are not read.
     """
     if not weights or any(not w > 0 or math.isinf(w) for w in weights):
         raise ValueError("weights must be positive and finite")
