@@ -108,13 +108,19 @@ class Memo(dict):
 
 
 class ByteBpe:
-    """Encodes as tiktoken does: the pattern's matches one by one, each by ranks."""
+    """Encodes as tiktoken does: the pattern's matches one by one, each by ranks.
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str):
+    segmented says of a pattern that no match crosses the place between another character and white space, and that
+    letters, then punctuation, are two matches; such texts are encoded by segments. Other patterns are matched as they are.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, pattern: str, segmented: bool = False):
         import re
 
         import regex
 
+        self.segmented = segmented
+
         self.hash, self.tokens = vocabulary.hash, vocabulary.tokens
         self.dtype = np.dtype("<u2" if len(self.tokens) <= 1 << 16 else "<u4")
         self.wide = 16 if len(self.tokens) <= 1 << 16 else 32
@@ -199,8 +205,10 @@ class ByteBpe:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: Sequence[str | None]) -> list[np.ndarray]:
-        """Ids of whole texts. No match crosses the place between another character and white space, so segments are
+        """Ids of whole texts. With segments, no match crosses the place between another character and white space, so segments are
         encoded once and remembered; where no white space stands before a blank, blanks are such places."""
+        if not self.segmented:
+            return [np.frombuffer(b"".join([self.parts[m] if len(m) < 256 else self._token(m) for m in self.match(t or "")]), self.dtype) for t in texts]
         odd = {i: b"".join([self.plain[s] if len(s) < 256 else self._segment(s) for s in self.segments(t)]) for i, t in enumerate(texts) if t and self.touching(t)}
         lists = pc.split_pattern(pa.array(["" if i in odd else t or "" for i, t in enumerate(texts)], pa.string()), " ")
         words = lists.values.dictionary_encode()
@@ -227,8 +235,8 @@ class ByteBpe:
         return self.bytes[at].tobytes()
 
 
-def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text's number of ids, the digest of its ids, and that of the bytes that they decode to.
+def digests(docs: DataFrame, path: str, pattern: str, segmented: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each text's number of ids, the digest of its ids, and that of the bytes that they decode to. segmented: see ByteBpe.
 
     The vocabulary, a file of fixed size, is hashed once and broadcast. Null texts are empty, without ids. Texts of any
     length are encoded whole. Equal rows give equal rows. An empty table gives an empty result. Other columns are not read.
@@ -236,7 +244,7 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = keep_in_worker(("byte_bpe", id(shared.value)), lambda: ByteBpe(shared.value, pattern))
+        bpe = keep_in_worker(("byte_bpe", path, pattern, segmented), lambda: ByteBpe(shared.value, pattern, segmented))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in pieces(texts):
@@ -259,7 +267,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents by byte_bpe_50k.tiktoken, encoded and decoded."""
     import public_tokenizers
 
-    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, segmented=True)
 
 
 QUERIES = {"op5_byte_bpe": op5_byte_bpe}
