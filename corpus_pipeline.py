@@ -19,28 +19,42 @@ from quire.llm.substring_dedup import without_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the rules learnt from labels keep; null texts go.
+    """Documents that the base rules and the rules learnt from labels keep; null and empty texts go, equal rows fare alike.
 
-    A filter on the verdicts would be pushed below the statistics, and evaluate them again for each mention; a column
-    that isn't deterministic keeps it above.
+    A row's columns travel as one struct, so none is taken for a statistic. A filter on the verdicts would be pushed below
+    the statistics, and evaluate them again for each mention; a column that isn't deterministic keeps it above. Very long
+    texts are judged whole. An empty table stays empty.
     """
-    judged = filter_quality(docs, table(spark, sf_dir, "labels")).select(*docs.columns, "kept", F.monotonically_increasing_id().alias("__q_row"))
-    return judged.where("kept and __q_row >= 0").select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    judged = filter_quality(rows, table(spark, sf_dir, "labels")).select("row", "kept", F.monotonically_increasing_id().alias("n"))
+    return judged.where("kept and n >= 0").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents whose five-word shingles agree by 80 % or more, the one with the smallest id. Rows with a null id stay."""
+    """Of each component of documents whose five-word shingles agree by 80 % or more, the one with the smallest id.
+
+    Rows with a null id stay, and so do texts that are null or have no words, and all rows of an id that stays. Very long
+    texts are compared whole. An empty table stays empty.
+    """
     gone = jaccard_components(docs, words=5, num=80, den=100).where(F.col("component_id") < F.col("doc_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of 50 words or more that an earlier one has; their numbers of characters follow."""
+    """Documents without passages of 50 words or more that an earlier one has; their numbers of characters follow.
+
+    All rows stay, also those whose whole text is a repeat, which is empty then. Null texts and rows with a null id stay as
+    they are; rows of one id lose their own repeats only. Very long texts are searched whole. An empty table stays empty.
+    """
     return without_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 2048 ids."""
+    """Pieces of all documents in sequences of at most 2048 ids.
+
+    Null and empty texts have the end id only; equal rows are packed one by one; very long texts fill sequences of their
+    own. An empty table gives no pieces.
+    """
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -52,7 +66,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("repeated_passages", repeated_passages),
     ("packing", packing),
 ]
-#: Learned rules, components and packing are beyond SQL; tests/llm compare the stages with brute force.
+#: Learned rules, chains and packing are beyond SQL; tests/llm compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 
