@@ -96,6 +96,19 @@ def test_jaccard_components(spark, k, num, den, chunk, frequent):
     assert {d: (n, c) for d, n, c in rows(got, "doc_id", "n_shingles", "component_id")} == brute_components(docs, k, num, den)
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = [(3, a + " x"), (5, b + " y"), (7, a), (7, b), (9, None), (9, b), (9, b), (None, a), (11, "other words are here now")]
+    got = rows(ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")), "doc_id", "component_id")
+    assert sorted(got, key=str) == sorted([(3, 3), (5, 3), (7, 3), (7, 3), (9, 9), (9, 3), (9, 3), (None, None), (11, 11)], key=str)
+
+
+def test_components_with_hubs(spark):
+    edges = [(10**6 + i, 5) for i in range(2000)] + [(i, i - 1) for i in range(10_100, 10_000, -1)] + [(10**6 + 7, 10_050), (3, 4)] + [(2 * 10**6 + i, 2 * 10**6 + i // 2) for i in range(1, 1500)]
+    got = dict(rows(components(spark, spark.createDataFrame(edges, "u long, v long"), Scratch(spark), hub=50), "id", "component"))
+    assert {got[k] for k in (5, 10_000, 10_100, 10**6 + 1999)} == {5} and got[4] == 3 and {v for k, v in got.items() if k >= 2 * 10**6} == {2 * 10**6}
+
+
 def test_divide_skip_finds_all():
     rng = np.random.default_rng(0)
     base = np.unique(rng.integers(0, 2**63, 120).astype(np.uint64))
@@ -203,6 +216,45 @@ def test_lm_scores(spark, documents):
     assert len(got) == len(texts) and sum(better) > 0.9 * len(better)
 
 
+def test_lm_scores_are_those_of_exact_counts(spark, documents):
+    docs = documents.where("doc_id % 4 = 0").union(documents.where("doc_id % 8 = 0"))
+    got = rows(lm_scoring.score(docs, F.col("doc_id") % 12 == 0, bits_an_item=64), "doc_id", "score")
+    data = [(d, [*words(t), None]) for d, t in rows(docs, "doc_id", "text")]
+    uni, bi, tri = Counter(), Counter(), Counter()
+    for d, t in data:
+        if d % 12:
+            uni.update(t)
+            t = [None, *t]
+            bi.update(zip(t, t[1:]))
+            tri.update(x for x in zip(t, t[1:], t[2:]))
+    n, v = sum(uni.values()), len(uni)
+    low, high = lambda c: 2 ** (c.bit_length() - 1) if c else 0, lambda c: 2 ** c.bit_length() - 1
+    norm, off = n + 0.1 * (v + 1), []
+    want = {}
+    for d, t in data:
+        s, t = 0.0, [None, *t]
+        for i in range(1, len(t)):
+            a, b = t[i - 1], t[i]
+            p = (min(low(bi[a, b]), high(uni[a])) + 20 * (low(uni[b]) + 0.1) / norm) / (high(uni[a]) + 20)
+            if i > 1:
+                c = t[i - 2]
+                p = (min(low(tri[c, a, b]), high(bi[c, a])) + 20 * p) / (high(bi[c, a]) + 20)
+            s += math.log10(p)
+        want[d] = s
+    off = [abs(s - want[d]) / abs(want[d]) for d, s in got]
+    assert len(off) == len(data) and sorted(off)[int(0.9 * len(off))] < 1e-9 and max(off) < 0.02
+
+
+def test_lm_scores_depend_on_texts_alone(spark, documents):
+    one = sorted(rows(lm_scoring.score(documents, F.col("doc_id") % 10 == 0), "doc_id", "score"))
+    spark.conf.set("spark.sql.shuffle.partitions", 23)
+    try:
+        other = sorted(rows(lm_scoring.score(documents.repartition(9, "lang"), F.col("doc_id") % 10 == 0), "doc_id", "score"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert [d for d, _ in one] == [d for d, _ in other] and all(a == pytest.approx(b, rel=1e-12) for (_, a), (_, b) in zip(one, other, strict=True))
+
+
 def test_filter_never_forgets():
     items = np.unique(np.random.default_rng(4).integers(0, 2**64, 5000, np.uint64))
     counts = np.random.default_rng(5).integers(1, 1000, len(items))
@@ -241,7 +293,7 @@ def test_byte_bpe_is_tiktokens(spark, documents):
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
     t = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    b, rng = byte_bpe.ByteBpe(byte_bpe.Vocabulary(P.path("byte_bpe_50k.tiktoken")), P.PATTERN), random.Random(1)
+    b, rng = byte_bpe.ByteBpe(byte_bpe.Vocabulary(P.path("byte_bpe_50k.tiktoken")), P.PATTERN, segmented=True), random.Random(1)
     texts = ["".join(rng.choice(" \n\t\u3000\x1c ab'sé1²!?…😀日") for _ in range(rng.randint(0, 14))) for _ in range(5000)] + ["x" * 3000, " " * 50]
     assert [x.tolist() for x in b.encode_all(texts)] == [t.encode_ordinary(x) for x in texts]
     got = {r[0]: r[1:] for r in rows(byte_bpe.op5_byte_bpe(spark, SF), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")}
@@ -250,6 +302,16 @@ def test_byte_bpe_is_tiktokens(spark, documents):
         assert got[d] == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
 
 
+def test_byte_bpe_of_any_pattern():
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    for pattern in (r"\w+\s\w+|\s+|.", r"[^!]+|!", P.PATTERN):
+        t = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        texts = ["two words, and! more  words here", "a b!c d.", "", "x! y", "the thing. The end, or not"]
+        assert [x.tolist() for x in byte_bpe.ByteBpe(byte_bpe.Vocabulary(P.path("byte_bpe_50k.tiktoken")), pattern).encode_all(texts)] == [t.encode_ordinary(x) for x in texts]
+
+
 # 6
 
 
@@ -274,7 +336,8 @@ def test_quality(spark, documents, nasty):
         want = brute_statistics(t)
         assert got[d][:6] == want and not (want[5] and got[d][6])
     none = spark.createDataFrame([], "doc_id long, quality int")
-    hard = quality.filter_quality(nasty.drop("kept", "count"), none)
+    hard = quality.filter_quality(nasty, none)
+    assert set(hard.columns) >= {*nasty.columns, *names[1:]} and hard.select("_t", "_w", "rule").distinct().collect() == [("z", "z", "z")]
     assert sorted(rows(hard, *names[1:7])) == sorted(brute_statistics(t) for (t,) in rows(nasty, "text"))
 
 
@@ -299,6 +362,66 @@ def test_urls(spark):
     assert [g[3] for g in got if g[2]] == ["block", "allow", "block", "block", "allow"] and {g[3] for g in got} <= {"allow", "block"}
 
 
+def brute_url(u):
+    host = path = ""
+    if u is not None and "://" in u:
+        m = re.match(r"([^/?#]*)([^?#]*)", u.split("://", 1)[1], re.S)
+        host, path = re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]
+    fits = [r for r in url_filter.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    best = max(fits, key=lambda r: len(r.host + r.path), default=None)
+    return host, path, best and best.name, best and best.verdict
+
+
+def test_op7_is_brute_force(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r[0]: r[1:] for r in rows(url_filter.op7_url_filter(spark, SF), "page_id", "host", "path", "rule", "verdict")}
+    judged, model = url_filter.judged(pages)
+    trees = {r["page_id"]: model.of({f: r[f"f_{f}"] for f in url_filter.FEATURE_SQL}) for r in judged.select("_row.page_id", *(f"f_{f}" for f in url_filter.FEATURE_SQL)).collect()}
+    column = dict(rows(judged.select(F.col("_row.page_id").alias("page_id"), model.column().alias("odds")), "page_id", "odds"))
+    assert len(got) == pages.count() == len(trees)
+    for i, u in rows(pages, "page_id", "url"):
+        host, path, rule, verdict = brute_url(u)
+        assert trees[i] == pytest.approx(column[i], abs=1e-9)
+        assert got[i] == (host, path, rule, verdict or ("block" if trees[i] > math.log(4) else "allow"))
+
+
+def brute_features(u, shares):
+    host, path, _, _ = brute_url(u)
+    u = u or ""
+    share = Counter(u)
+    m = re.search(r"\.([A-Za-z0-9]{1,8})\Z", path)
+    query = u.split("#")[0].rpartition("?")[2] if "?" in u else None
+    return {
+        "length": len(u), "host_length": len(host), "host_labels": host.count("."), "hyphens": host.count("-"), "depth": path.count("/"),
+        "digits": sum(c in "0123456789" for c in u) / len(u) if u else 0,
+        "parameters": 0 if query is None else 1 + len(re.findall("[&;]", query)),
+        "entropy": -sum(n / len(u) * math.log2(n / len(u)) for n in share.values()),
+        "suffix_share": shares[m[1].lower() if m else ""],
+    }
+
+
+def test_features_of_urls(spark):
+    urls = ["http://a-b.c.org/x/y.html?a=1&b=2#f?x", "https://c.net/1.PHP", None, "", "x://y", "no", "http://c.net/z.php", *(f"http://h{k}.org/f.s{k}" for k in range(40))]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    shares = Counter((m[1].lower() if (m := re.search(r"\.([A-Za-z0-9]{1,8})\Z", brute_url(u)[1])) else "") for u in urls)
+    shares = {k: n / len(urls) for k, n in shares.items()}
+    parts = url_filter.parts(df)
+    for one_in in (1024, 10):  # all suffixes frequent, or most of them rare
+        made = url_filter.featured(parts, url_filter.suffix_shares(parts, one_in))
+        got = {r["page_id"]: r for r in made.collect()}
+        assert len(got) == len(urls)
+        for i, u in enumerate(urls):
+            for name, want in brute_features(u, shares).items():
+                assert got[i][f"f_{name}"] == pytest.approx(want, abs=1e-9), (u, name)
+
+
+def test_urls_keep_columns_of_any_name(spark):
+    names = ["f_length", "_suffix", "_share", "__q_u", "_row", "URL2", "rule", "_n"]
+    df = spark.createDataFrame([(1, "http://x.net/es/a", *["z"] * len(names)), (1, None, *["z"] * len(names))], "page_id int, url string, " + ", ".join(f"`{n}` string" for n in names))
+    out = url_filter.filter_urls(df)
+    assert sorted(out.columns) == sorted([*df.columns, "host", "path", "verdict"]) and {r["f_length"] for r in out.collect()} == {"z"} and {r["rule"] for r in out.collect()} == {"net/es/", None}
+
+
 def test_trees_on_held_out_urls():
     rng = random.Random(1)
     data = [({f: rng.random() for f in url_filter.FEATURE_SQL}, None) for _ in range(900)]
@@ -343,9 +466,49 @@ def test_neighbours_share_any_term_of_whole_documents():
     assert [d for s in packing.fill(rests, 2, whole) for d, _, _ in s] == [0, 2, 1]
 
 
+def test_packing_does_not_depend_on_files(spark, documents):
+    path = P.path("word_bpe_49k.json")
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset"]
+    one, other = (sorted(rows(packing.pack(d, path), *names)) for d in (documents, documents.repartition(9, "lang")))
+    assert one == other
+
+
+def test_shards_are_lexical():
+    rng = np.random.default_rng(3)
+    keys = packing.Keys(1000, np.ones(1000))
+    docs = [rng.choice(1000, 60, replace=False) for _ in range(300)]
+    near = [np.r_[d[:54], rng.choice(1000, 6)] for d in docs]
+    same = np.mean([keys.of(*packing.terms(a))[0] == keys.of(*packing.terms(b))[0] for a, b in zip(docs, near, strict=True)])
+    apart = np.mean([keys.of(*packing.terms(a))[0] == keys.of(*packing.terms(b))[0] for a, b in zip(docs, near[1:], strict=False)])
+    assert same > 0.6 and apart < 0.15
+
+
 # 9
 
 
+def brute_shard(key, weights):
+    import xxhash
+
+    bids = []
+    for s, w in enumerate(weights):
+        h = xxhash.xxh64_intdigest(str(key).encode(), 42)
+        u = xxhash.xxh64_intdigest(s.to_bytes(4, "little"), h) >> 11
+        bids.append((u if len(set(weights)) == 1 else -w / math.log(min((u + 0.5) / 2.0**53, 1 - 2.0**-53)), -s))
+    return -max(bids)[1]
+
+
+@pytest.mark.parametrize("weights", [[1.0] * 24, [1.0, 2.5, 4.0, 0.5]])
+def test_shards_are_the_highest_bidders(spark, weights):
+    got = rows(sharding.shard(spark.range(500).selectExpr("id doc_id", "'x' text"), weights, None), "doc_id", "shard")
+    assert len(got) == 500 and all(s == brute_shard(d, weights) for d, s in got)
+
+
+def test_op9_is_brute_force(spark, documents):
+    got = {r[0]: r[1:] for r in rows(sharding.op9_sharding(spark, SF), "doc_id", "size", "text_crc32", "shard", "grown_shard")}
+    want = {d: (len((t or "").encode()) + 8, zlib.crc32((t or "").encode()), brute_shard(d, [1.0] * 24), brute_shard(d, [1.0] * 25)) for d, t in rows(documents, "doc_id", "text")}
+    assert got == want
+
+
 @pytest.mark.parametrize(("weights", "grown"), [([1.0] * 24, 1.0), ([1.0, 2.0, 3.0], 1.5), ([2.0, 2.0], 5.0)])
 def test_sharding(spark, documents, weights, grown):
     got = sharding.shard(documents, weights, grown)
@@ -421,6 +584,46 @@ def test_repeats_cover_all_exact_windows(spark, documents):
     assert total > 100 and missed == 0
 
 
+def test_rows_of_one_id_lose_their_own_repeats_only(spark):
+    rng = random.Random(5)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    p, q, r = text(60), text(100), text(30)
+    docs = [(1, p + text(40)), (2, q), (2, r + p), (2, r + p), (3, p + q), (3, None), (None, p)]
+    df = spark.createDataFrame([(i, " ".join(t) if t else None) for i, t in docs], "doc_id long, text string")
+    got = sorted((d, (t or "").split()) for d, t in rows(substring_dedup.without_repeats(df), "doc_id", "text") if d is not None)
+    assert got == sorted([(1, docs[0][1]), (2, q), (2, r), (2, r), (3, []), (3, [])])
+    assert len({(d, part) for d, part in rows(substring_dedup.repeats(df), "doc_id", "part")}) == 2
+
+
+def test_edited_repeats_are_found(spark, documents):
+    """Recall of passages of 60 words with some changed, planted behind texts of their own; brute force knows where they are."""
+    rng = random.Random(17)
+    own = [f"u{k}" for k in range(5000)]
+    data, planted = [], {}
+    for k in range(60):
+        base = [rng.choice(own) + str(rng.randrange(10**5)) for _ in range(60)]
+        data.append((2 * k, " ".join(f"a{rng.randrange(10**7)}" for _ in range(40)) + " " + " ".join(base)))
+        edited = list(base)
+        for i in rng.sample(range(10, 50), k % 2):
+            edited[i] = "changed"
+        head = rng.randrange(5, 50)
+        planted[2 * k + 1] = (head, head + 59)
+        data.append((2 * k + 1, " ".join(f"b{rng.randrange(10**7)}" for _ in range(head)) + " " + " ".join(edited) + " tail here"))
+    got = {}
+    for d, a, b in rows(substring_dedup.repeats(spark.createDataFrame(data, "doc_id long, text string")), "doc_id", "first", "last"):
+        got.setdefault(d, set()).update(range(a, b + 1))
+    share = [len(got.get(d, set()) & set(range(a, b + 1))) / 60 for d, (a, b) in planted.items()]
+    assert sum(share) / len(share) >= 0.9 and not set(got) - set(planted)
+
+
+def test_frequent_seeds_are_salted(spark):
+    rng = random.Random(3)
+    line = [f"c{k}" for k in range(70)]
+    docs = [(i, " ".join([f"w{rng.randrange(10**6)}" for _ in range(20)] + line + [f"w{rng.randrange(10**6)}" for _ in range(9)])) for i in range(150)]
+    got = rows(substring_dedup.repeats(spark.createDataFrame(docs, "doc_id long, text string")), "doc_id", "first", "last")
+    assert sorted(got) == [(i, 20, 89) for i in range(1, 150)]
+
+
 def test_fenwick_chains_follow_both_places():
     chain = substring_dedup.chains([(0, 100, 8), (10, 50, 8), (20, 120, 8), (30, 130, 8), (500, 600, 8)])
     assert [(0, 100, 8), (20, 120, 8), (30, 130, 8)] in chain and [(500, 600, 8)] in chain and [(10, 50, 8)] in chain
