@@ -1,6 +1,6 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-The filter holds unigrams, bigrams and trigrams of training texts with their counts in steps of powers of two: a count of q binary
+The filter holds unigrams and bigrams of training texts with their counts in steps of powers of two: a count of q binary
 digits is q items (n-gram, 1) to (n-gram, q), so membership is probed for growing q until it fails. Counts are gathered
 by shards of the n-grams' hashes; each shard makes its own segment of the filter from its exact counts, so segments are
 complete where they are made and every n-gram is in one. The filter grows with the n-grams. One that may be broadcast is;
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from contextlib import nullcontext
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, forget_in_worker, map_runs, mix, table, word_hashes
+from .common import Scratch, forget_in_worker, map_runs, mix, rows_a_batch, table, word_hashes
 from .word_bpe import pieces
 
 END = np.uint64(0x0123456789ABCDEF)
@@ -39,14 +40,9 @@ def unigram(a: np.ndarray) -> np.ndarray:
     return mix(a ^ np.uint64(0x5851F42D4C957F2D))
 
 
-def trigram(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return mix(bigram(a, b) * np.uint64(0xD1342543DE82EF95) + mix(c + np.uint64(3)))
-
-
 def grams(t: np.ndarray) -> np.ndarray:
-    """Unigrams of all tokens, then bigrams, then trigrams that don't reach over the end of a text."""
-    own = np.flatnonzero(t[1:-1] != END)
-    return np.concatenate((unigram(t), bigram(t[:-1], t[1:]), trigram(t[own], t[own + 1], t[own + 2])))
+    """Unigrams of all tokens, then bigrams."""
+    return np.concatenate((unigram(t), bigram(t[:-1], t[1:])))
 
 
 def digits(counts: np.ndarray) -> np.ndarray:
@@ -189,9 +185,10 @@ def train(texts: DataFrame, scratch: Scratch, bits_an_item: int) -> tuple[DataFr
 
     counts = scratch.keep(texts.mapInArrow(unigrams, "token long, count long").groupBy("token").agg(F.sum("count").alias("count")), "unigrams")
     total, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    shards = 1 << (max(64, -(-3 * total // SHARD)) - 1).bit_length()
+    shards = 1 << (max(64, -(-2 * total // SHARD)) - 1).bit_length()
     shift = 64 - (shards.bit_length() - 1)
-    segments = scratch.keep(map_runs(texts.mapInArrow(ngrams, "shard int, once binary, more binary, counts binary"), ["shard"], [], made, "shard int, bits long, data binary"), "segments")
+    with rows_a_batch(texts.sparkSession, 64):
+        segments = scratch.keep(map_runs(texts.mapInArrow(ngrams, "shard int, once binary, more binary, counts binary"), ["shard"], [], made, "shard int, bits long, data binary"), "segments")
     return counts, segments, shards, total, distinct
 
 
@@ -252,17 +249,17 @@ def with_answers(rows: DataFrame, segments: DataFrame, shards: int, scratch: Scr
 
     texts = scratch.keep(rows.mapInArrow(blocks, f"block long, ids array<{kind}>, held array<boolean>, texts array<string>"), "blocks")
     sides = segments.select("shard", F.lit(-1).cast("long").alias("block"), "bits", "data").union(texts.select("block", "texts").mapInArrow(questions, "shard int, block long, bits long, data binary"))
-    got = scratch.keep(sides.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(answers, "block long, shard int, answers binary"), "answers")
+    with rows_a_batch(rows.sparkSession, 16):  # blocks are megabytes, and so are some questions
+        got = scratch.keep(sides.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(answers, "block long, shard int, answers binary"), "answers")
     return texts.select("block", F.lit(-1).alias("shard"), "ids", "held", "texts", F.lit(None).cast("binary").alias("answers")).unionByName(got, allowMissingColumns=True)
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", weight: float = 20.0, most_frequent: int = 1_000_000, most_bits: int = MOST_BITS, bits_an_item: int = 8) -> DataFrame:
     """Each text's exact unigram score and its score by the model, learnt from texts that are not held out.
 
-    The model: P(w | u v) = (c(uvw) + weight * P(w | v)) / (c(uv) + weight), P(w | v) = (c(vw) + weight * P(w)) / (c(v) + weight),
-    P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)); counts are those of the filter, in numerators the least and in c(v) and c(uv)
-    the greatest of their number of binary digits, so probabilities sum to 1 at most where no probe errs. The context of
-    the first word is the end of a text alone.
+    The model: P(w | v) = (c(vw) + weight * P(w)) / (c(v) + weight) with P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)); counts are
+    those of the filter, in the numerators the least and in c(v) the greatest of their number of binary digits, so
+    probabilities sum to 1 at most where no probe errs. The context of the first word is the end of a text.
 
     All n-grams are in the filter, which depends on the texts alone, not on their order, files or partitions. Up to most_bits of it are broadcast; a larger one is asked by shards, with equal scores.
     The unigram score takes the counts of frequent words (at most most_frequent of them, broadcast) at once and those of
@@ -297,12 +294,9 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         logs = np.bincount(doc[hit], np.log10(of[at[hit]] + 0.1), m)
         some, which = asked(grams(t))
         every = found(some)[which]
-        w, pair, triple = every[: len(t)], every[len(t) : 2 * len(t) - 1], every[2 * len(t) - 1 :]
+        w, pair = every[: len(t)], every[len(t) :]
         low, high = least_of(w), 2.0**w - 1
         p = (np.minimum(least_of(pair), high[:-1]) + weight * (low[1:] + 0.1) / norm) / (high[:-1] + weight)
-        own = np.flatnonzero(t[1:-1] != END)
-        high = 2.0 ** pair[own] - 1
-        p[own + 1] = (np.minimum(least_of(triple), high) + weight * p[own + 1]) / (high + weight)
         model = np.bincount(doc, np.log10(p), m)
         none = [pa.nulls(m, pa.int64())] * 2
         yield pa.RecordBatch.from_arrays([pa.array(keys), ids, held, pa.array(n), pa.array(known.astype(np.int64)), pa.array(logs), pa.array(model), *none], names=names)
@@ -337,7 +331,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         judged = rows.mapInArrow(by_broadcast, schema)
     else:
         judged = map_runs(with_answers(rows, segments, shards, scratch), ["block"], ["shard"], by_answers, schema)
-    parts = scratch.keep(judged, "parts")
+    with nullcontext() if local else rows_a_batch(spark, 8):
+        parts = scratch.keep(judged, "parts")
     rare = parts.where("token is not null").select("key", "token", "times").join(counts.where(F.col("count") < least), "token", "left")
     c = F.coalesce("count", F.lit(0))
     rare = rare.groupBy("key").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known2"), F.sum(F.col("times") * F.log10(c + 0.1)).alias("logs2"))

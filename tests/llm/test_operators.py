@@ -218,15 +218,13 @@ def test_lm_scores(spark, documents):
 
 def test_lm_scores_are_those_of_exact_counts(spark, documents):
     docs = documents.where("doc_id % 4 = 0").union(documents.where("doc_id % 8 = 0"))
-    got = rows(lm_scoring.score(docs, F.col("doc_id") % 12 == 0, bits_an_item=64), "doc_id", "score")
+    got = rows(lm_scoring.score(docs, F.col("doc_id") % 12 == 0, bits_an_item=256), "doc_id", "score")
     data = [(d, [*words(t), None]) for d, t in rows(docs, "doc_id", "text")]
-    uni, bi, tri = Counter(), Counter(), Counter()
+    uni, bi = Counter(), Counter()
     for d, t in data:
         if d % 12:
             uni.update(t)
-            t = [None, *t]
-            bi.update(zip(t, t[1:]))
-            tri.update(x for x in zip(t, t[1:], t[2:]))
+            bi.update(zip([None, *t], t))
     n, v = sum(uni.values()), len(uni)
     low, high = lambda c: 2 ** (c.bit_length() - 1) if c else 0, lambda c: 2 ** c.bit_length() - 1
     norm, off = n + 0.1 * (v + 1), []
@@ -236,9 +234,6 @@ def test_lm_scores_are_those_of_exact_counts(spark, documents):
         for i in range(1, len(t)):
             a, b = t[i - 1], t[i]
             p = (min(low(bi[a, b]), high(uni[a])) + 20 * (low(uni[b]) + 0.1) / norm) / (high(uni[a]) + 20)
-            if i > 1:
-                c = t[i - 2]
-                p = (min(low(tri[c, a, b]), high(bi[c, a])) + 20 * p) / (high(bi[c, a]) + 20)
             s += math.log10(p)
         want[d] = s
     off = [abs(s - want[d]) / abs(want[d]) for d, s in got]
