@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import BULLETS, EDITORIAL, LANGUAGES, LIGATURES, RARE_QUOTES, SUPERSCRIPTS
+from .fixed import BULLETS, CAPITALS_LINE, CHAPTER_LINE, LANGUAGES, LIGATURES, MONOSPACE, NUMBERED_2_LINE, NUMBERED_3_LINE, PAGE_NUMBER_LINES, RARE_QUOTES, SKIPPED_LINE, SUPERSCRIPTS
 
 Op = Callable[[Column], Column]
 #: White space of a line, as a Java class, and what ends lines besides \n.
@@ -154,7 +154,7 @@ def kerning_changes(text: Column) -> Column:
     return count_outside(lambda s: F.regexp_count(s, F.lit(r"\b[A-Z0-9](?: {1,2}[A-Z0-9])+\b")))(text)
 
 
-PAGE_NUMBER = r"\d+|[—–-]\s*\d+\s*[—–-]|\d+\s*\|.+|.+\|\s*\d+|\s*\d{1,4}\s{2,}(?:" + "|".join(EDITORIAL) + r")\s+\S.*"
+PAGE_NUMBER = "|".join(PAGE_NUMBER_LINES)
 
 
 def page_numbers(text: Column) -> Column:
@@ -196,10 +196,10 @@ def heading_level(line: Column) -> Column:
     """1 to 3 by the form of a line, 0 where it is none."""
     return (
         F.when((F.trim(line) == "") | line.rlike(r"\A\s*#") | (F.char_length(line) > 200), 0)
-        .when(line.rlike(r"(?i)\A(?:chapter|cap[ií]tulo|cap\.?)\s+\d+"), 1)
-        .when(line.rlike(r"\A\d+\.\d+\.\d+\s+\S"), 3)
-        .when(line.rlike(r"\A\d+\.\d+\s+\S"), 2)
-        .when(line.rlike(r"\A[A-Z][A-Z\s]{2,80}\z"), 1)
+        .when(line.rlike(CHAPTER_LINE), 1)
+        .when(line.rlike(NUMBERED_3_LINE), 3)
+        .when(line.rlike(NUMBERED_2_LINE), 2)
+        .when(line.rlike(CAPITALS_LINE), 1)
         .otherwise(0)
     )
 
@@ -255,7 +255,7 @@ def h1_count(text: Column) -> Column:
 
 
 def language(code: Column) -> Column:
-    """The language of which most patterns are found in the first five lines, '' for none or a tie."""
+    """The language of which most patterns are found in the first five lines, '' for none or a tie. All of it is said once for the head and once for the counts."""
 
     def counted(head: Column) -> Column:
         return F.array(*(F.struct(sum((head.rlike(p).cast("int") for p in patterns[1:]), head.rlike(patterns[0]).cast("int")).alias("n"), F.lit(name).alias("name")) for name, patterns in LANGUAGES.items()))
@@ -266,46 +266,21 @@ def language(code: Column) -> Column:
     return let(F.concat(join(F.slice(F.split(code, "\n"), 1, 5)), F.lit("\n")), lambda head: let(counted(head), best))
 
 
-def code_state(rows: Column) -> Column:
-    """For each line whether it lies in code: any fence line turns code on or off, and counts as turned."""
-    folded = F.aggregate(rows, F.array().cast("array<boolean>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(False)) != x.rlike(r"\A\s*(```|~~~)"))))
-    return F.when(F.exists(rows, lambda x: x.rlike(r"\A\s*(```|~~~)")), folded).otherwise(F.array_repeat(F.lit(False), F.size(rows)))
-
-
-def single_h1(text: Column) -> Column:
-    """H1s after the first become H2s, outside of code; the count that decides doesn't know of code."""
-
-    def demoted(rows: Column, code: Column) -> Column:
-        plain = F.transform(rows, lambda x, i: x.startswith("# ") & ~F.get(code, i))
-        return let(plain, lambda p: let(F.array_position(p, True), lambda first: join(F.transform(rows, lambda x, i: F.when(F.get(p, i) & (i + 1 > first), F.concat(F.lit("#"), x)).otherwise(x)))))
-
-    return F.when(h1_count(text) < 2, text).otherwise(let(F.split(text, "\n"), lambda rows: let(code_state(rows), lambda code: demoted(rows, code))))
-
-
-def h1_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"(?m)^# "))
-
-
-# Code
-
-
-def language(code: Column) -> Column:
-    """The language of which most patterns are found in the first five lines, '' for none or a tie."""
-    head = F.concat(join(F.slice(F.split(code, "\n"), 1, 5)), F.lit("\n"))
-    scores = [(name, sum((head.rlike(p).cast("int") for p in patterns[1:]), head.rlike(patterns[0]).cast("int"))) for name, patterns in LANGUAGES.items()]
-    best = F.greatest(*(s for _, s in scores))
-    winners = F.filter(F.array(*(F.when(s == best, F.lit(n)) for n, s in scores)), lambda x: x.isNotNull())
-    return F.when((best > 0) & (F.size(winners) == 1), F.get(winners, F.lit(0))).otherwise("")
+def is_monospace(font: Column) -> Column:
+    """Whether a font's name holds one of the names of fonts with fixed widths, case ignored."""
+    return font.rlike("(?i)" + "|".join(MONOSPACE))
 
 
-def code_kinds(rows: Column) -> Column:
-    """indent for lines of indented code, '' for others; fence lines and what they hold are ''."""
+def code_kinds(rows: Column, mono: Column | None = None) -> Column:
+    """mono for lines that `mono`, an array of booleans, marks, indent for lines of indented code, '' for others; fence
+    lines and what they hold are ''."""
 
-    def kind(x: Column) -> Column:
+    def kind(x: Column, i: Column) -> Column:
         code = x.rlike(r"\A(?:    |\t)") & ~x.rlike(r"\A\s*\z") & ~x.rlike(r"\A\s*(?:```|~~~)") & ~x.rlike(r"\A\s*#{1,6}\s") & ~x.rlike(r"\A\s*(?:[-*+]|\d+[.)])\s")
-        return F.when(code, F.lit("indent")).otherwise("")
+        plain = F.when(code, F.lit("indent")).otherwise("")
+        return plain if mono is None else F.when(F.coalesce(F.get(mono, i), F.lit(False)) & ~x.rlike(r"\A\s*\z"), F.lit("mono")).otherwise(plain)
 
-    return let(code_state(rows), lambda state: F.transform(rows, lambda x, i: F.when(F.get(state, i), F.lit("")).otherwise(kind(x))))
+    return let(code_state(rows), lambda state: F.transform(rows, lambda x, i: F.when(F.get(state, i), F.lit("")).otherwise(kind(x, i))))
 
 
 def code_blocks(rows: Column, kinds: Column) -> Column:
@@ -353,7 +328,7 @@ def footnote_marker_changes(text: Column) -> Column:
 
 def skipped(line: Column) -> Column:
     """Headings, list items, quotes and fences."""
-    return line.rlike(r"\A\s*(?:#{1,6}\s+\S|(?:[-*+]|\d+[.)])\s+\S|>|```|~~~)")
+    return line.rlike(SKIPPED_LINE)
 
 
 def paragraph_joins(text: Column) -> Column:
