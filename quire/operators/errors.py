@@ -10,4 +10,4 @@ SOURCE_NOT_FOUND, UNSUPPORTED, OUT_OF_BOUNDS, CONVERSION_FAILED, TOO_LARGE, IO_E
 
 def exit_code(status: Column) -> Column:
     """The exit code of a status that readers give."""
-    return F.when(status == "ok", 0).when(status.startswith("unsupported format"), UNSUPPORTED).when(status == "input too large", TOO_LARGE).otherwise(CONVERSION_FAILED)
+    return F.when(status == "ok", 0).when(status.startswith("unsupported format"), UNSUPPORTED).when(status == "input too large", TOO_LARGE).when(status.startswith("out of bounds"), OUT_OF_BOUNDS).otherwise(CONVERSION_FAILED)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from ..functions.fixed import CHAPTER_PAGE, NUMBERED_PAGE
 
 
 class RangeOutOfBounds(ValueError):
@@ -80,6 +81,14 @@ def parse_size(text: str) -> int:
     return n
 
 
+def parse_dimensions(text: str) -> tuple[int, int]:
+    """Width and height of WxH or W,H."""
+    m = re.fullmatch(r"\s*(\d+)\s*[xX,]\s*(\d+)\s*", text)
+    if not m or min(int(m[1]), int(m[2])) < 1:
+        raise ValueError(f"not a width and a height: {text!r}")
+    return int(m[1]), int(m[2])
+
+
 def page_list(spec: Column, total: Column) -> Column:
     """parse_pages for a column of specifications; null where one is wrong or beyond the last page."""
     parts = F.filter(F.transform(F.split(spec, ","), lambda t: F.trim(t)), lambda t: t != "")
@@ -102,15 +111,31 @@ def select_pages(pages: DataFrame, wanted: DataFrame, doc: str = "doc_id", page:
 def infer_ranges(chapters: DataFrame, totals: DataFrame, doc: str = "doc_id") -> DataFrame:
     """chapters with end_page, exclusive: where the next chapter of the same or a higher level begins, or after the last page.
 
-    The next entry of at most a level is, of the next entries of each level up to it, the first: one window for each
-    level (a handful), no join of a document's chapters with each other.
+    A document's outline is one array, folded from its end: what is kept are the later entries that no later one of a
+    smaller or equal level hides. Levels have no bound, and a document's chapters aren't joined with each other.
     """
-    levels = 9
-    order = W.partitionBy(doc).orderBy("index").rowsBetween(1, W.unboundedFollowing)
-    nexts = {k: F.min(F.when(F.least(F.col("level"), F.lit(levels)) == k, F.struct("index", "start_page"))).over(order) for k in range(1, levels + 1)}
-    rows = chapters.withColumns({f"_n{k}": c for k, c in nexts.items()}).join(totals, doc)
-    upto = F.array_min(F.filter(F.array(*(F.when(F.least(F.col("level"), F.lit(levels)) >= k, F.col(f"_n{k}")) for k in nexts)), lambda x: x.isNotNull()))
-    return rows.withColumn("end_page", F.coalesce(upto["start_page"], F.col("total_pages") + 1)).drop(*(f"_n{k}" for k in nexts), "total_pages")
+    entries = chapters.groupBy(doc).agg(F.reverse(F.array_sort(F.collect_list(F.struct("index", "level", "start_page")))).alias("_e"))
+    kind = {f.name: f.dataType.simpleString() for f in chapters.schema.fields}
+    later = f"array<struct<index:{kind['index']},level:{kind['level']},start_page:{kind['start_page']}>>"
+    start = F.struct(F.array().cast(later).alias("later"), F.array().cast(f"array<struct<index:{kind['index']},next:{kind['start_page']}>>").alias("out"))
+
+    def step(a: Column, e: Column) -> Column:
+        left = F.filter(a["later"], lambda o: o["level"] <= e["level"])  # the last of them is the next one
+        kept = F.filter(a["later"], lambda o: o["level"] < e["level"])
+        return F.struct(F.concat(kept, F.array(e)).alias("later"), F.concat(a["out"], F.array(T.let(left, lambda o: F.struct(e["index"].alias("index"), F.get(o, F.size(o) - 1)["start_page"].alias("next"))))).alias("out"))
+
+    nexts = entries.select(doc, F.explode(F.aggregate("_e", start, step, lambda a: a["out"])).alias("n")).select(doc, "n.index", "n.next")
+    rows = chapters.join(nexts, [doc, "index"]).join(totals, doc)
+    return rows.withColumn("end_page", F.coalesce("next", F.col("total_pages") + 1)).select(*chapters.columns, "end_page")
+
+
+def chapter_pages(ranged: DataFrame, totals: DataFrame, offset: int = 0, doc: str = "doc_id") -> DataFrame:
+    """(doc, index, status, pages): the pages of chapters with ranges, moved by an offset; out of bounds where they begin
+    before the first page, or begin or end after the last."""
+    rows = ranged.join(totals, doc)
+    first, end = F.col("start_page") + offset, F.col("end_page") + offset
+    good = (first >= 1) & (first <= F.col("total_pages")) & (end <= F.col("total_pages") + 1) & (end > first)
+    return rows.select(doc, "index", F.when(good, "ok").otherwise("out of bounds").alias("status"), F.when(good, F.sequence(first, end - 1)).alias("pages"))
 
 
 def resolve_chapter(chapters: DataFrame, spec: str, doc: str = "doc_id") -> DataFrame:
@@ -130,7 +155,7 @@ def first_by_pattern(chapters: DataFrame, pattern: str, doc: str = "doc_id") ->
 def detect_chapters(pages: DataFrame, doc: str = "doc_id", page: str = "page_no", text_col: str = "text") -> DataFrame:
     """Pages whose first line, within 200 characters, says Chapter N, Capítulo N or N. Title: (doc, index, title, start_page)."""
     head = F.get(F.filter(F.transform(T.lines(F.substring(text_col, 1, 200)), T.normalize_line), lambda x: x != ""), F.lit(0))
-    hit = head.rlike(r"(?i)\A(chapter|cap[ií]tulo)\s+\d+\b") | head.rlike(r"\A\d+\.\s+[A-Z]")
+    hit = head.rlike(CHAPTER_PAGE) | head.rlike(NUMBERED_PAGE)
     rows = pages.select(doc, F.col(page).alias("start_page"), head.alias("title")).where(hit)
     return rows.withColumn("index", F.row_number().over(W.partitionBy(doc).orderBy("start_page"))).select(doc, "index", "title", "start_page")
 
@@ -147,6 +172,17 @@ def detect_chapters_by_font(pages: DataFrame, times: float = 1.5, doc: str = "do
     return rows.select(doc, "index", F.when(title == "", F.concat(F.lit("Chapter "), F.col("index"))).otherwise(title).alias("title"), F.col(page).alias("start_page"))
 
 
+def detect(pages: DataFrame, least: int = 2, doc: str = "doc_id", **fonts) -> DataFrame:
+    """Chapters by the first lines of pages, or by font sizes where fewer than `least` lines say so and font sizes say more.
+    Documents in which neither finds any are not in the result."""
+    names = [doc, "index", "title", "start_page"]
+    lines, sizes = detect_chapters(pages, doc).select(names), detect_chapters_by_font(pages, doc=doc, **fonts).select(names)
+    counted = lambda rows, n: rows.groupBy(doc).agg(F.count("*").alias(n))
+    both = counted(lines, "n_lines").join(counted(sizes, "n_sizes"), doc, "full").na.fill(0, ["n_lines", "n_sizes"])
+    by_font = both.where((F.col("n_lines") < least) & (F.col("n_sizes") > F.col("n_lines"))).select(doc)
+    return lines.join(by_font, doc, "left_anti").unionByName(sizes.join(by_font, doc, "left_semi"))
+
+
 def outline_or_detected(outline: DataFrame, detected: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Detected chapters of documents without an outline, beside the outlines."""
     names = [doc, "index", "title", "start_page"]

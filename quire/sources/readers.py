@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import posixpath
 import re
+import signal
+import struct
+import threading
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -131,6 +136,112 @@ def epub_chapters(content: bytes) -> list[tuple[str, str]]:
     return out
 
 
+def epub_outline(content: bytes) -> list[tuple[int, str, int]]:
+    """(level, title, page): an entry for each document of the spine, which is a page."""
+    return [(1, title, n) for n, (title, _) in enumerate(epub_chapters(content), 1)]
+
+
+def image_size(raw: bytes) -> tuple[int, int] | None:
+    """Width and height of PNG, GIF, JPEG, BMP or WebP bytes, from their headers."""
+    if raw[:8] == b"\x89PNG\r\n\x1a\n" and len(raw) >= 24:
+        return struct.unpack(">II", raw[16:24])
+    if raw[:6] in (b"GIF87a", b"GIF89a") and len(raw) >= 10:
+        return struct.unpack("<HH", raw[6:10])
+    if raw[:2] == b"BM" and len(raw) >= 26:
+        w, h = struct.unpack("<ii", raw[18:26])
+        return abs(w), abs(h)
+    if raw[:4] == b"RIFF" and raw[8:12] == b"WEBP" and len(raw) >= 30:
+        if raw[12:16] == b"VP8X":
+            return 1 + int.from_bytes(raw[24:27], "little"), 1 + int.from_bytes(raw[27:30], "little")
+        if raw[12:16] == b"VP8L":
+            bits = int.from_bytes(raw[21:25], "little")
+            return 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
+        return int.from_bytes(raw[26:28], "little") & 0x3FFF, int.from_bytes(raw[28:30], "little") & 0x3FFF
+    if raw[:2] == b"\xff\xd8":
+        at = 2
+        while at + 9 < len(raw) and raw[at] == 0xFF:
+            if raw[at + 1] in range(0xC0, 0xD0) and raw[at + 1] not in (0xC4, 0xC8, 0xCC):
+                h, w = struct.unpack(">HH", raw[at + 5 : at + 9])
+                return w, h
+            at += 2 + int.from_bytes(raw[at + 2 : at + 4], "big")
+    return None
+
+
+#: (page, bytes, box in points or none) of an image, in the order of the file.
+Image = tuple[int, bytes, tuple[float, float, float, float] | None]
+EMU = 12700  # units of Office files in a point
+
+
+def _targets(z: zipfile.ZipFile, part: str) -> dict[str, str]:
+    """Names in the archive by the ids of a part's relations."""
+    base, name = posixpath.split(part)
+    rels = f"{base}/_rels/{name}.rels"
+    if rels not in z.namelist():
+        return {}
+    return {e.get("Id"): posixpath.normpath(posixpath.join(base, e.get("Target", ""))) if not e.get("Target", "").startswith("/") else e.get("Target")[1:] for e in _xml(z, rels) if e.get("TargetMode") != "External"}
+
+
+def _attribute(e: ElementTree.Element, name: str) -> str | None:
+    return next((v for k, v in e.attrib.items() if k.rpartition("}")[2] == name), None)
+
+
+def docx_images(content: bytes) -> list[Image]:
+    """Images of a document's body, as they come; it has one page."""
+    z = zipfile.ZipFile(io.BytesIO(content))
+    names, part = set(z.namelist()), "word/document.xml"
+    of = _targets(z, part)
+    found = [of.get(_attribute(e, "embed") or "") for e in _xml(z, part).iter() if _local(e) == "blip"]
+    return [(1, z.read(n), None) for n in found if n in names]
+
+
+def pptx_images(content: bytes) -> list[Image]:
+    """Pictures of slides, with their boxes."""
+    z = zipfile.ZipFile(io.BytesIO(content))
+    names, out = set(z.namelist()), []
+    slides = sorted((n for n in names if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+    for page, part in enumerate(slides, 1):
+        of = _targets(z, part)
+        for pic in (e for e in _xml(z, part).iter() if _local(e) == "pic"):
+            name = next((of.get(_attribute(e, "embed") or "") for e in pic.iter() if _local(e) == "blip"), None)
+            if name in names:
+                off = next((e for e in pic.iter() if _local(e) == "off"), None)
+                ext = next((e for e in pic.iter() if _local(e) == "ext" and e.get("cx")), None)
+                box = None if off is None or ext is None else tuple(int(v) / EMU for v in (off.get("x"), off.get("y"), ext.get("cx"), ext.get("cy")))
+                out.append((page, z.read(name), box))
+    return out
+
+
+def epub_images(content: bytes) -> list[Image]:
+    """Images that the documents of the spine show, a page for each document."""
+    z = zipfile.ZipFile(io.BytesIO(content))
+    names = set(z.namelist())
+    opf = next(e.get("full-path") for e in _xml(z, "META-INF/container.xml").iter() if _local(e) == "rootfile")
+    base, root = posixpath.dirname(opf), _xml(z, opf)
+    items = {e.get("id"): e for e in root.iter() if _local(e) == "item"}
+    nav = {i for i, e in items.items() if "nav" in (e.get("properties") or "").split()}
+    out, page = [], 0
+    for ref in (e.get("idref") for e in root.iter() if _local(e) == "itemref"):
+        if ref in items and ref not in nav:
+            page += 1
+            name = posixpath.normpath(posixpath.join(base, items[ref].get("href")))
+            html = z.read(name).decode("utf-8", "replace")
+            for src in re.findall(r"""<(?:img|image)\b[^>]*?(?:src|href)\s*=\s*["']([^"']+)["']""", html, re.I):
+                at = posixpath.normpath(posixpath.join(posixpath.dirname(name), src))
+                if at in names:
+                    out.append((page, z.read(at), None))
+    return out
+
+
+def pptx_area(content: bytes) -> tuple[float, float] | None:
+    """Width and height of slides in points."""
+    size = next((e for e in _xml(zipfile.ZipFile(io.BytesIO(content)), "ppt/presentation.xml").iter() if _local(e) == "sldSz"), None)
+    return None if size is None else (int(size.get("cx")) / EMU, int(size.get("cy")) / EMU)
+
+
+IMAGES: dict[str, Callable[[bytes], list[Image]]] = {"docx": docx_images, "pptx": pptx_images, "epub": epub_images}
+OUTLINES: dict[str, Callable[[bytes], list[tuple[int, str, int]]]] = {"epub": epub_outline}
+
+
 def docx_pages(content: bytes) -> list[str]:
     out = []
     for p in (e for e in _xml(zipfile.ZipFile(io.BytesIO(content)), "word/document.xml").iter() if _local(e) == "p"):
@@ -188,42 +299,114 @@ def from_bytes(spark: SparkSession, content: bytes, ext: str) -> DataFrame:
     return rows.select("path", F.length("content").cast("long").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), "content", extension(F.col("path")).alias("format"))
 
 
-def extract(files: DataFrame, limits: Limits = Limits(), more: dict[str, Extract] | None = None, pages: list[int] | None = None) -> DataFrame:
-    """(path, sha256, format, page_no, text, status) of files: a row a page, or one with the reason for none.
+@contextmanager
+def within(seconds: int) -> Iterator[None]:
+    """What takes longer than so many seconds is ended by TimeoutError. Only a process's main thread, as in Python workers, has such a clock."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
 
-    Files of unknown formats or beyond the limits aren't opened. An error stays in its file's row. With pages, only
-    these are kept, inside the reader.
-    """
-    use = {**extractors(), **(more or {})}
-    wanted = set(pages) if pages else None
-    schema = "path string, sha256 string, format string, page_no int, text string, status string"
+    def ring(*_) -> None:
+        raise TimeoutError(f"it took more than {seconds} s")
+
+    before = signal.signal(signal.SIGALRM, ring)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def _rows(files: DataFrame, limits: Limits, schema: str, of: Callable[[dict], list[tuple]]) -> DataFrame:
+    """Rows (path, sha256, format, ..., status) that `of` gives for files that may be read, or one row with the reason."""
     judged = files.withColumn("status", status(F.col("path"), F.col("size_bytes"), limits)).withColumn("content", F.when(F.col("status") == "ok", F.col("content")))
+    names = [x.split()[0] for x in schema.split(", ")]
+    shape = pa.schema([(x.split()[0], {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}[x.split()[1]]) for x in schema.split(", ")])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                head = (r["path"], r["sha256"], r["format"])
+                head, rest = (r["path"], r["sha256"], r["format"]), (None,) * (len(names) - 4)
                 if r["status"] != "ok":
-                    out.append((*head, None, None, r["status"]))
+                    out.append((*head, *rest, r["status"]))
                     continue
                 try:
-                    if r["format"] not in use:
-                        raise NotImplementedError(f"no reader for {r['format']}")
-                    texts = use[r["format"]](r["content"])
-                    if len(texts) > limits.max_pages:
-                        raise ValueError("too many pages")
-                    out += [(*head, n, t, "ok") for n, t in enumerate(texts, 1) if not wanted or n in wanted]
+                    with within(limits.seconds):
+                        out += [(*head, *row) for row in of(r)]
                 except Exception as e:  # the file's own error, kept as data
-                    out.append((*head, None, None, f"conversion failed: {type(e).__name__}: {e}"))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = [pa.string()] * 3 + [pa.int32(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+                    out.append((*head, *rest, f"conversion failed: {type(e).__name__}: {e}"))
+            cols = list(zip(*out, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, shape, strict=True)], schema=shape)
 
     return judged.select("path", "sha256", "format", "content", "status").mapInArrow(each, schema)
 
 
+def extract(files: DataFrame, limits: Limits = Limits(), more: dict[str, Extract] | None = None, pages: list[int] | None = None) -> DataFrame:
+    """(path, sha256, format, page_no, text, warning, status) of files: a row a page, or one with the reason for none.
+
+    Files of unknown formats or beyond the limits aren't opened; one that takes longer than limits.seconds fails. An error
+    stays in its file's row. With pages, only these are kept, inside the reader; a page beyond the last is an error. Files
+    of more than limits.warn_pages pages carry a warning.
+    """
+    use, wanted = {**extractors(), **(more or {})}, set(pages) if pages else None
+
+    def of(r: dict) -> list[tuple]:
+        if r["format"] not in use:
+            raise NotImplementedError(f"no reader for {r['format']}")
+        texts = use[r["format"]](r["content"])
+        if len(texts) > limits.max_pages:
+            raise ValueError("too many pages")
+        if wanted and max(wanted) > len(texts):
+            return [(None, None, None, f"out of bounds: page {max(wanted)} of {len(texts)}")]
+        note = f"{len(texts)} pages" if len(texts) > limits.warn_pages else None
+        return [(n, t, note, "ok") for n, t in enumerate(texts, 1) if not wanted or n in wanted]
+
+    return _rows(files, limits, "path string, sha256 string, format string, page_no int, text string, warning string, status string", of)
+
+
+def outlines(files: DataFrame, limits: Limits = Limits(), more: dict[str, Callable[[bytes], list[tuple[int, str, int]]]] | None = None) -> DataFrame:
+    """(path, sha256, format, index, level, title, start_page, status) of files' outlines, entries without a title or a page
+    left out. Formats without outlines have no rows; for PDF, register a function of the bytes to (level, title, page)."""
+    use = {**OUTLINES, **(more or {})}
+
+    def of(r: dict) -> list[tuple]:
+        entries = use[r["format"]](r["content"]) if r["format"] in use else []
+        kept = [e for e in entries if e[1] and e[1].strip() and e[2] and e[2] >= 1]
+        return [(n, level, title.strip(), page, "ok") for n, (level, title, page) in enumerate(kept, 1)]
+
+    return _rows(files, limits, "path string, sha256 string, format string, index int, level int, title string, start_page int, status string", of)
+
+
+def image_candidates(files: DataFrame, limits: Limits = Limits(), more: dict[str, Callable[[bytes], list[Image]]] | None = None, pages: list[int] | None = None) -> DataFrame:
+    """(path, sha256, format, seq, page, width, height, pixel_sha, x, y, w, h, extension, content, status) of the images in
+    files, in their order. Equal bytes count as one image. Images whose size can't be read are left out."""
+    use, wanted = {**IMAGES, **(more or {})}, set(pages) if pages else None
+
+    def of(r: dict) -> list[tuple]:
+        out = []
+        for page, raw, box in use[r["format"]](r["content"]) if r["format"] in use else []:
+            size = image_size(raw)
+            if size and (not wanted or page in wanted):
+                kind = {b"\x89P": "png", b"GI": "gif", b"\xff\xd8": "jpg", b"BM": "bmp"}.get(raw[:2], "webp")
+                out.append((len(out) + 1, page, *size, hashlib.sha256(raw).hexdigest(), *(box or (None,) * 4), kind, raw, "ok"))
+        return out
+
+    return _rows(files, limits, "path string, sha256 string, format string, seq int, page int, width int, height int, pixel_sha string, x double, y double, w double, h double, extension string, content binary, status string", of)
+
+
+def page_areas(files: DataFrame, limits: Limits = Limits(), more: dict[str, Callable[[bytes], tuple[float, float] | None]] | None = None) -> DataFrame:
+    """(path, sha256, format, page_width, page_height, status) of files whose pages have one size that is known."""
+    use = {"pptx": pptx_area, **(more or {})}
+
+    def of(r: dict) -> list[tuple]:
+        area = use[r["format"]](r["content"]) if r["format"] in use else None
+        return [(*area, "ok")] if area else []
+
+    return _rows(files, limits, "path string, sha256 string, format string, page_width double, page_height double, status string", of)
+
+
 def html_column(html: Column) -> Column:
     """Markdown of pages that are in a table."""
     @F.pandas_udf("string")
