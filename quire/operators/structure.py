@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from ..functions.fixed import CHAPTER_PREFIX, FRONT_FIELDS, READING_STATUSES, STUDY_SECTIONS
 
 TOC_OPEN, TOC_CLOSE = "<!-- toc -->", "<!-- /toc -->"
 FRONT = r"(?s)\A(\s*)---\n.*?\n---[ \t]*\n+"
@@ -39,14 +42,65 @@ def first_h1(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?m)^# ([^\n]+?)\s*$", 1), F.lit(""))
 
 
+def build_front_matter(title: Column, book: Column, chapter: Column, pages: Column, source_file: Column, source_sha256: Column, converted_at: Column, engine_version: Column, reader_version: Column, cleaners_applied: Column, study: Column | None = None) -> dict[str, Column]:
+    """The ten fields of front matter in their order, and study where that has something to say."""
+    given = (title, book, chapter, pages, source_file, source_sha256, converted_at, engine_version, reader_version, cleaners_applied)
+    return dict(zip(FRONT_FIELDS, given, strict=True)) | ({"study": study} if study is not None else {})
+
+
+def front_matter_from_metadata(text: Column) -> dict[str, Column]:
+    """The ten fields again from metadata written as JSON; null where it isn't of schema version 2, or a field is missing."""
+    keys = {"book": "book_slug", "chapter": "chapter_slug", "converted_at": "generated_at"}
+    there = F.get_json_object(text, "$.schema_version") == "2"
+    kinds = {"pages": "array<int>", "cleaners_applied": "array<string>"}
+
+    def field(name: str) -> Column:
+        raw = F.get_json_object(text, f"$.{keys.get(name, name)}")
+        return F.when(there, F.from_json(raw, kinds[name]) if name in kinds else raw)
+
+    return {name: field(name) for name in FRONT_FIELDS}
+
+
+def parse_front_matter(text: Column) -> Column:
+    """Front matter as map<string, string>, null without any: the values of its top level as they are written, those of
+    strings without quotation marks, lists and what is indented below a key as the lines they take."""
+    body = F.concat(F.lit("\n"), front_matter(text))
+    entries = F.regexp_extract_all(body, F.lit(r"(\n[^\s:#][^\n:]*:(?:[ \t][^\n]*)?(?:\n(?:[ \t]|-)[^\n]*)*)"), F.lit(1))
+
+    def entry(e: Column) -> Column:
+        key = F.regexp_extract(e, r"\A\n([^\n:]+):", 1)
+        value = F.regexp_replace(F.regexp_extract(e, r"(?s)\A\n[^\n:]+:(.*)\z", 1), r"\A\s+|\s+\z", "")
+        quoted = value.rlike(r'(?s)\A(?:".*"|\'.*\')\z')
+        inner = F.substring(value, F.lit(2), F.char_length(value) - 2)
+        plain = F.when(value.startswith("\""), F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")).otherwise(F.replace(inner, F.lit("''"), F.lit("'")))
+        return F.struct(key.alias("key"), F.when(quoted, plain).when(value.isin("null", "~", ""), F.lit(None).cast("string")).otherwise(value).alias("value"))
+
+    return F.when(front_matter(text).isNotNull(), F.map_from_entries(F.transform(entries, entry)))
+
+
+def anchors(titles: Column) -> Column:
+    """An anchor for each title: its base, or with -1, -2 and so on the first that no title before has taken."""
+
+    def next_anchor(used: Column, base: Column) -> Column:
+        tries = F.transform(F.sequence(F.lit(0), F.size(used)), lambda k: F.when(k == 0, base).otherwise(F.concat(base, F.lit("-"), k.cast("string"))))
+        return F.get(F.filter(tries, lambda t: ~F.array_contains(used, t)), F.lit(0))
+
+    return F.aggregate(F.transform(titles, T.anchor), F.array().cast("array<string>"), lambda used, base: T.let(next_anchor(used, base), lambda a: F.concat(used, F.array(a))))
+
+
 def headings(docs: DataFrame, least: int = 2, most: int = 3, doc: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, ord, level, title, anchor) of headings outside of code; equal anchors get -1, -2 in their order."""
+    """(doc, ord, level, title, anchor) of headings outside of code; titles with equal anchors get -1, -2 in their order.
+    All of it is within the row of a document, nothing is shuffled."""
     outside = F.array_join(F.transform(T.segments(strip_front_matter(F.col(text_col))), lambda s: F.when(s["inside"], F.lit("\n")).otherwise(s["text"])), "")
-    found = docs.select(doc, F.posexplode(F.filter(F.split(outside, "\n"), lambda x: x.rlike(rf"\A#{{{least},{most}}} \S"))).alias("ord", "line"))
-    rows = found.select(doc, "ord", F.char_length(F.regexp_extract("line", r"\A(#+) ", 1)).alias("level"), F.regexp_extract("line", r"\A#+ (.*?)\s*\z", 1).alias("title"))
-    rows = rows.withColumn("base", T.anchor(F.col("title")))
-    n = F.row_number().over(W.partitionBy(doc, "base").orderBy("ord")) - 1
-    return rows.select(doc, "ord", "level", "title", F.when(n == 0, F.col("base")).otherwise(F.concat("base", F.lit("-"), n)).alias("anchor"))
+
+    def made(lines: Column) -> Column:
+        titles = F.transform(lines, lambda x: F.regexp_extract(x, r"\A#+ (.*?)\s*\z", 1))
+        levels = F.transform(lines, lambda x: F.char_length(F.regexp_extract(x, r"\A(#+) ", 1)))
+        return F.arrays_zip(levels.alias("level"), titles.alias("title"), anchors(titles).alias("anchor"))
+
+    rows = F.transform(F.array(F.filter(F.split(outside, "\n"), lambda x: x.rlike(rf"\A#{{{least},{most}}} \S"))), made)
+    found = docs.select(doc, F.posexplode(F.get(rows, F.lit(0))).alias("ord", "h"))
+    return found.select(doc, "ord", "h.level", "h.title", "h.anchor")
 
 
 def toc(headings: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -123,15 +177,26 @@ def range_label(pages: Column) -> Column:
 
 
 def chapter_slug(index: Column, title: Column) -> Column:
-    bare = F.regexp_replace(title, r"(?i)\A\s*(?:chapter|cap[íi]tulo|cap\.?|secci[óo]n|section|part|parte)\s+\d+\s*[:.\-]\s*", "")
+    bare = F.regexp_replace(title, CHAPTER_PREFIX, "")
     return F.concat(F.lit("cap-"), F.lpad(index.cast("string"), 2, "0"), F.lit("-"), ascii_slug(bare))
 
 
 def outline_parents(chapters: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """chapters with parent: the last earlier entry of a smaller level."""
-    order = W.partitionBy(doc).orderBy("index").rowsBetween(W.unboundedPreceding, -1)
-    lasts = F.array(*(F.when(F.col("level") > k, F.max(F.when(F.col("level") == k, F.col("index"))).over(order)) for k in range(1, 9)))
-    return chapters.withColumn("parent", F.array_max(lasts))
+    """chapters with parent: the last earlier entry of a smaller level.
+
+    A document's outline is one array; a fold keeps the last entry of each level that is still open, so levels have no bound.
+    """
+    entries = chapters.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("index", "level"))).alias("_e"))
+    kind = chapters.select("index", "level").schema
+    open_as = f"array<struct<index:{kind['index'].dataType.simpleString()},level:{kind['level'].dataType.simpleString()}>>"
+    start = F.struct(F.array().cast(open_as).alias("open"), F.array().cast(f"array<struct<index:{kind['index'].dataType.simpleString()},parent:{kind['index'].dataType.simpleString()}>>").alias("out"))
+
+    def step(a: Column, e: Column) -> Column:
+        left = F.filter(a["open"], lambda o: o["level"] < e["level"])
+        return T.let(left, lambda o: F.struct(F.concat(o, F.array(e)).alias("open"), F.concat(a["out"], F.array(F.struct(e["index"].alias("index"), F.get(o, F.size(o) - 1)["index"].alias("parent")))).alias("out")))
+
+    parents = entries.select(doc, F.explode(F.aggregate("_e", start, step, lambda a: a["out"])).alias("p")).select(doc, "p.index", "p.parent")
+    return chapters.join(parents, [doc, "index"]).select(*chapters.columns, "parent")
 
 
 def outline_json(chapters: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -149,29 +214,38 @@ def metadata_from_json(text: Column, schema: str) -> Column:
     return F.from_json(text, schema, {"mode": "PERMISSIVE"})
 
 
-STATUSES = ("unread", "reading", "done")
+def study_fields(given: dict[str, Column], existing: dict[str, Column], now: Column, reset: bool = False) -> dict[str, Column]:
+    """reading_status, tags, started_at and finished_at: what is given, else what was there, else the default.
+
+    A date is set when the status that goes with it is given and there is none; reset takes both away. A status that isn't
+    one fails the query.
+    """
+    value = lambda fields, k, kind: fields[k].cast(kind) if k in fields else F.lit(None).cast(kind)
+    asked = value(given, "reading_status", "string")
+    status = F.coalesce(asked, value(existing, "reading_status", "string"), F.lit(READING_STATUSES[0]))
+    checked = F.when(status.isin(*READING_STATUSES), status).otherwise(F.raise_error(F.concat(F.lit("not a reading status: "), status)).cast("string"))
+    tags = value(given, "tags", "array<string>")
+    tags = F.when(F.size(tags) > 0, F.array_distinct(tags)).otherwise(F.coalesce(value(existing, "tags", "array<string>"), F.array().cast("array<string>")))
+    none = F.lit(None).cast("string")
 
+    def date(k: str, when: str) -> Column:
+        before = value(existing, k, "string")
+        return none if reset else F.coalesce(before, F.when(asked == when, now))
 
-def study_fields(given: dict[str, Column], existing: dict[str, Column], now: Column) -> dict[str, Column]:
-    """Status, tags and dates: what is given, else what was there, else the default; dates follow the status."""
-    pick = lambda k, d: F.coalesce(given.get(k, F.lit(None)), existing.get(k, F.lit(None)), d)
-    status = pick("status", F.lit("unread"))
-    tags = F.array_distinct(F.coalesce(given.get("tags", F.lit(None)), existing.get("tags", F.lit(None)), F.array().cast("array<string>")))
-    started = F.when(status == "unread", F.lit(None).cast("string")).otherwise(pick("started_at", now))
-    finished = F.when(status == "done", pick("finished_at", now))
-    return {"status": F.when(status.isin(*STATUSES), status), "tags": tags, "started_at": started, "finished_at": finished}
+    return {"tags": tags, "reading_status": checked, "started_at": date("started_at", "in_progress"), "finished_at": date("finished_at", "read")}
 
 
-STUDY_SECTIONS = ("Notes", "Questions", "Summary")
+def study_block(fields: dict[str, Column]) -> Column:
+    """The fields as a struct for front matter, null where all of them are as they are by default."""
+    plain = (F.size(fields["tags"]) == 0) & (fields["reading_status"] == READING_STATUSES[0]) & fields["started_at"].isNull() & fields["finished_at"].isNull()
+    return F.when(~plain, F.struct(*(c.alias(k) for k, c in fields.items())))
 
 
-def study_sections(text: Column, titles: tuple[str, ...] = STUDY_SECTIONS, parity: bool = False) -> Column:
-    """Empty sections for notes at the end; those that are there aren't added again, unless parity asks for it."""
-    out = text
-    for t in titles:
-        there = text.rlike(rf"(?m)^## {t}\s*$") if not parity else F.lit(False)
-        out = F.when(there, out).otherwise(F.concat(out, F.lit(f"\n## {t}\n")))
-    return out
+def study_sections(text: Column, titles: Sequence[str] = STUDY_SECTIONS, parity: bool = False) -> Column:
+    """Empty sections for notes at the end; with parity they are added again each time, else only where the last of them is missing."""
+    block = "\n\n".join(f"## {t}" for t in titles)
+    added = F.concat(F.regexp_replace(text, r"\n+\z", ""), F.lit(f"\n\n{block}\n"))
+    return added if parity else F.when(text.rlike(rf"(?m)^## {titles[-1]}\s*$"), text).otherwise(added)
 
 
 def write_documents(docs: DataFrame, folder: str, mode: str = "error", doc: str = "doc_id", text_col: str = "text") -> None:
@@ -179,6 +253,78 @@ def write_documents(docs: DataFrame, folder: str, mode: str = "error", doc: str
     docs.select(doc, text_col, *[c for c in docs.columns if c not in (doc, text_col)]).write.mode(mode).parquet(f"{folder}/documents")
 
 
+def tree_files(docs: DataFrame, raw: bool = False, split: bool = False, doc: str = "doc_id", book: str = "book", chapter: str = "chapter", text_col: str = "text", raw_col: str = "raw_text", meta_col: str = "metadata") -> DataFrame:
+    """(path, content) of the files of documents (doc, book, chapter, text, metadata): book/chapter/text.md and metadata.json,
+    with raw the text before cleaning in .quire/raw.md, with split a file for each H2 section and an index in sections/."""
+    base = F.concat(F.col(book), F.lit("/"), F.col(chapter))
+    kinds = {"text.md": text_col, "metadata.json": meta_col, **({".quire/raw.md": raw_col} if raw else {})}
+    rows = docs.select(F.explode(F.array(*(F.struct(F.concat(base, F.lit(f"/{name}")).alias("path"), F.col(c).alias("content")) for name, c in kinds.items()))).alias("f")).select("f.*")
+    if split:
+        parts = sections(docs, doc=doc, text_col=text_col)
+        where = docs.select(doc, base.alias("_base"))
+        own = section_names(parts.where((F.col("index") > 0) | (F.col("body") != "")), doc).join(where, doc)
+        body = F.when(F.col("index") == 0, F.concat("body", F.lit("\n"))).otherwise(F.concat(F.lit("## "), F.col("title"), F.lit("\n\n"), F.col("body"), F.lit("\n")))
+        index = index_page(parts.where((F.col("index") > 0) | (F.col("body") != "")), doc).join(where, doc)
+        rows = rows.union(own.select(F.concat("_base", F.lit("/sections/"), "file"), body)).union(index.select(F.concat("_base", F.lit("/sections/index.md")), F.concat("index_text", F.lit("\n"))))
+    return rows.where("content is not null")
+
+
+def write_tree(files: DataFrame, folder: str, force: bool = False) -> DataFrame:
+    """Write files (path, content) below folder, in tasks, each under a name of its own first; a manifest (path, bytes, status).
+
+    What is there stays unless force: its row says exists. Content is a string or binary. The folder is one that pyarrow's
+    file systems reach.
+    """
+    spark = files.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs
+
+        where, base = (fs.LocalFileSystem(), "/" + root.removeprefix("file:").lstrip("/")) if root.startswith("file:") else fs.FileSystem.from_uri(root)
+        for batch in batches:
+            size, status = [], []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw, name = content.encode() if isinstance(content, str) else content, f"{base}/{path}"
+                if not force and where.get_file_info(name).type != fs.FileType.NotFound:
+                    size.append(0)
+                    status.append("exists")
+                    continue
+                part = f"{name}.{uuid.uuid4().hex}.part"
+                where.create_dir(name.rpartition("/")[0], recursive=True)
+                with where.open_output_stream(part) as f:
+                    f.write(raw)
+                where.move(part, name)
+                size.append(len(raw))
+                status.append("ok")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(status)], names=["path", "bytes", "status"])
+
+    return files.select("path", "content").mapInArrow(write, "path string, bytes long, status string")
+
+
+def outline_tree(chapters: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, tree): an outline as lines, indented by level, with first pages."""
+    line = F.concat(F.repeat(F.lit("  "), F.col("level") - 1), F.col("index").cast("string"), F.lit(". "), F.col("title"), F.lit(" (p. "), F.col("start_page").cast("string"), F.lit(")"))
+    rows = chapters.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("index", line.alias("line")))).alias("l"))
+    return rows.select(doc, F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("tree"))
+
+
+def rendered(columns: dict[str, Column], width: int = 22) -> Column:
+    """Names and values as lines of a report, names as wide as `width`; nulls are -."""
+    return F.concat_ws("\n", *(F.concat(F.rpad(F.lit(k), width, " "), F.coalesce(c.cast("string"), F.lit("-"))) for k, c in columns.items()))
+
+
+def rendered_table(rows: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
+    """(by, table): the rows of each group as a Markdown table, sorted by the columns from the first on. For groups of few rows."""
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit("-")) for c in columns)), F.lit(" |"))
+    head = "| " + " | ".join(columns) + " |\n|" + " --- |" * len(columns) + "\n"
+    made = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*columns, line.alias("_line")))).alias("l"))
+    return made.select(by, F.concat(F.lit(head), F.array_join(F.transform("l", lambda x: x["_line"]), "\n")).alias("table"))
+
+
 def dry_run(docs: DataFrame) -> dict:
     """What would be computed: schema and plan, without an action."""
     return {"schema_version": 1, "columns": json.loads(docs.schema.json())["fields"], "plan": docs._jdf.queryExecution().optimizedPlan().toString()}
