@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
-from ..functions.fixed import BULLETS, EDITORIAL, LANGUAGES, LIGATURES, RARE_QUOTES, SUPERSCRIPTS
+from ..functions.fixed import BULLETS, COMPOUNDS, EDITORIAL, LANGUAGES, LIGATURES, RARE_QUOTES, SUPERSCRIPTS
 from ..operators import arrow_text as A
 from ..operators import cleaners as C
 from ..operators import figures, quality, select, state, structure
@@ -55,6 +55,18 @@ def cleaned(name: str, op: Callable[[Column], Column], noise: str, sql: str, cha
     query(name, f"WITH d AS (SELECT doc_id, {duck(noise)} AS t FROM documents) SELECT doc_id, {sql} AS clean_text{extra} FROM d")(run)
 
 
+def cleaned_around_code(name: str, op: Callable[[Column], Column], noise: str, sql: str) -> None:
+    """The same with a block of code after the text with noise, and the noise of another text behind it: code stays as it is."""
+    code = f"'```x' || {dirt.NL} || '• „co‟de³  ' || {dirt.NL} || 'A B C' || {dirt.NL} || '~~~' || {dirt.NL} || '```' || {dirt.NL}"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return documents(spark, sf_dir, f"({noise}) || {dirt.NL} || {code} || ({noise})").select("doc_id", op(F.col("text")).alias("clean_text"))
+
+    query(name, f"""WITH p AS (SELECT doc_id, 1 AS k, ({duck(noise)}) || {dirt.NL} AS t FROM documents UNION ALL SELECT doc_id, 2, {duck(noise)} FROM documents),
+r AS (SELECT doc_id, k, {sql} AS c FROM p)
+SELECT doc_id, min(c) FILTER (k = 1) || {code} || min(c) FILTER (k = 2) AS clean_text FROM r GROUP BY 1""")(run)
+
+
 def duck(noise: str) -> str:
     return noise.replace("AS STRING", "AS VARCHAR")
 
@@ -79,11 +91,18 @@ ENDS = r"regexp_replace(t, '\r\n?', chr(10), 'g')"
 TRAILED = rf"regexp_replace({ENDS}, '[ \t]+(\n|$)', '\1', 'g')"
 SPACED = replaces(rf"regexp_replace({TRAILED}, '\n{{3,}}', chr(10) || chr(10), 'g')", {**LIGATURES, **RARE_QUOTES})
 cleaned("clean_whitespace", T.whitespace, dirt.SPACES, SPACED, T.whitespace_changes, f"{hits(ENDS, r'[ \t]+(?:\n|$)')} + {hits(TRAILED, r'\n{3,}')} + {hits(TRAILED, '[' + ''.join([*LIGATURES, *RARE_QUOTES]).replace(chr(39), '') + ']')}")
-cleaned("clean_kerning", T.kerning, dirt.KERNED, r"array_to_string(list_transform(string_split(t, chr(10)), lambda x: CASE WHEN regexp_matches(x, '^ *[A-Z0-9]( {1,3}[A-Z0-9])+ *$') THEN array_to_string(list_transform(string_split(x, '   '), lambda g: replace(g, ' ', '')), '   ') ELSE x END), chr(10))")
+cleaned_around_code("clean_whitespace_code", T.whitespace, dirt.SPACES, SPACED)
+KERN = r"array_to_string(list_transform(string_split(t, chr(10)), lambda x: CASE WHEN regexp_matches(x, '^ *[A-Z0-9]( {1,3}[A-Z0-9])+ *$') THEN array_to_string(list_transform(string_split(x, '   '), lambda g: replace(g, ' ', '')), '   ') ELSE x END), chr(10))"
+cleaned("clean_kerning", T.kerning, dirt.KERNED, KERN)
+cleaned_around_code("clean_kerning_code", T.kerning, dirt.KERNED, KERN)
 PAGE = rf"(?m)^(?:\d+|[—–-][ \t]*\d+[ \t]*[—–-]|\d+[ \t]*\|.+|.+\|[ \t]*\d+|[ \t]*\d{{1,4}}[ \t]{{2,}}(?:{'|'.join(EDITORIAL)})[ \t]+\S.*)$"
 cleaned("clean_page_numbers", T.page_numbers, dirt.NUMBERED, f"regexp_replace(t, {quoted(PAGE)}, '', 'g')", T.page_number_changes, hits("t", PAGE))
-cleaned("clean_bullets", T.bullets, dirt.BULLETED, rf"regexp_replace(t, '(?m)^([ \t]*)[{BULLETS}][ \t]+', '\1- ', 'g')")
-cleaned("clean_footnote_markers", T.footnote_markers, dirt.NOTED, rf"regexp_replace({replaces('t', {c: f'[^{i}]' for i, c in enumerate(SUPERSCRIPTS)})}, '\[(\d+)\]([ \t]*)(\n|$)', '[^\1]\2\3', 'g')")
+BULLET = rf"regexp_replace(t, '(?m)^([ \t]*)[{BULLETS}][ \t]+', '\1- ', 'g')"
+cleaned("clean_bullets", T.bullets, dirt.BULLETED, BULLET)
+cleaned_around_code("clean_bullets_code", T.bullets, dirt.BULLETED, BULLET)
+NOTES = rf"regexp_replace({replaces('t', {c: f'[^{i}]' for i, c in enumerate(SUPERSCRIPTS)})}, '\[(\d+)\]([ \t]*)(\n|$)', '[^\1]\2\3', 'g')"
+cleaned("clean_footnote_markers", T.footnote_markers, dirt.NOTED, NOTES)
+cleaned_around_code("clean_footnote_markers_code", T.footnote_markers, dirt.NOTED, NOTES)
 LEVEL = r"CASE WHEN trim(x) = '' OR regexp_matches(x, '^\s*#') OR length(x) > 200 THEN 0 WHEN regexp_matches(x, '(?i)^(chapter|cap[ií]tulo|cap\.?)\s+\d+') THEN 1 WHEN regexp_matches(x, '^\d+\.\d+\.\d+\s+\S') THEN 3 WHEN regexp_matches(x, '^\d+\.\d+\s+\S') THEN 2 WHEN regexp_matches(x, '^[A-Z][A-Z\s]{2,80}$') THEN 1 ELSE 0 END"
 HEADS = f"list_transform(string_split(t, chr(10)), lambda x: CASE WHEN {LEVEL} > 0 THEN repeat('#', {LEVEL}) || ' ' || x ELSE x END)"
 cleaned("clean_headings", T.headings, dirt.HEADED, f"array_to_string(list_transform({HEADS}, lambda x, i: CASE WHEN starts_with(x, '#') AND i > 1 AND trim(({HEADS})[i - 1]) <> '' AND NOT starts_with(({HEADS})[i - 1], '#') THEN chr(10) || x ELSE x END), chr(10))", T.heading_changes, f"len(list_filter(string_split(t, chr(10)), lambda x: {LEVEL} > 0))")
@@ -97,7 +116,9 @@ def _joined(i: str) -> str:
     return rf"({i} > 1 AND {i} <= len({ROWS}) AND trim({x}) <> '' AND NOT regexp_matches({x}, {SKIP}) AND NOT regexp_matches({x}, '^\s*\p{{Lu}}') AND trim({b}) <> '' AND NOT regexp_matches({b}, {SKIP}) AND NOT regexp_matches({b}, '[.:;]\s*$'))"
 
 
-cleaned("clean_paragraph_joins", T.paragraph_joins, dirt.WRAPPED, rf"array_to_string(list_transform({ROWS}, lambda x, i: CASE WHEN {_joined('(i + 1)')} THEN regexp_replace(trim(x), '\s+', ' ', 'g') || ' ' WHEN {_joined('i')} THEN ltrim(x) || CASE WHEN i < len({ROWS}) OR ends_with(t, chr(10)) THEN chr(10) ELSE '' END || chr(10) ELSE x || CASE WHEN i < len({ROWS}) OR ends_with(t, chr(10)) THEN chr(10) ELSE '' END END), '')")
+JOINED = rf"array_to_string(list_transform({ROWS}, lambda x, i: CASE WHEN {_joined('(i + 1)')} THEN regexp_replace(trim(x), '\s+', ' ', 'g') || ' ' WHEN {_joined('i')} THEN ltrim(x) || CASE WHEN i < len({ROWS}) OR ends_with(t, chr(10)) THEN chr(10) ELSE '' END || chr(10) ELSE x || CASE WHEN i < len({ROWS}) OR ends_with(t, chr(10)) THEN chr(10) ELSE '' END END), '')"
+cleaned("clean_paragraph_joins", T.paragraph_joins, dirt.WRAPPED, JOINED)
+cleaned_around_code("clean_paragraph_joins_code", T.paragraph_joins, dirt.WRAPPED, JOINED)
 cleaned("front_matter_strip", structure.strip_front_matter, dirt.FRONTED, r"regexp_replace(t, '^\s*---\n(?s:.*?)\n---[ \t]*\n+', '')")
 cleaned("page_markers_strip", lambda c: T.strip_markers(T.insert_markers(T.lines(c))), "text", "t")
 
@@ -307,12 +328,12 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.sections(documents(spark, sf_dir, dirt.MARKED))
 
 
-SLUG = r"regexp_replace(regexp_replace(lower(strip_accents(substr(text, 1, 70))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+SLUG = r"regexp_replace(regexp_replace(lower(strip_accents(replace(text, 'ß', '-'))), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
-@query("slug", f"SELECT doc_id, CASE WHEN {SLUG} = '' THEN 'untitled' ELSE regexp_replace(substr({SLUG}, 1, 60), '-+$', '') END AS slug FROM documents WHERE NOT contains(text, 'ß')")
+@query("slug", f"SELECT doc_id, CASE WHEN {SLUG} = '' THEN 'untitled' ELSE regexp_replace(substr({SLUG}, 1, 60), '-+$', '') END AS slug FROM documents")
 def slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).where(~F.col("text").contains("ß")).select("doc_id", structure.ascii_slug(F.substring("text", 1, 70)).alias("slug"))
+    return documents(spark, sf_dir).select("doc_id", structure.ascii_slug(F.col("text")).alias("slug"))
 
 
 @query("range_label", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'pages-' || CAST(doc_id AS VARCHAR) || '-' || CAST(doc_id + 2 AS VARCHAR) WHEN doc_id % 3 = 1 THEN 'pages-' || array_to_string(list_transform(range(0, 8), lambda k: doc_id + 2 * k), '-') || '-more' ELSE 'full' END AS label FROM documents""")
@@ -397,50 +418,148 @@ def format_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", readers.status(path, size, readers.Limits(max_bytes=3000)).alias("status"))
 
 
-# Without SQL: tested by literals
+# Hyphens, code and tables
+
+WORDY = r"[\p{L}\p{Nl}\p{No}]+"
+BROKEN = f"replace(text, 'tion', '-' || {dirt.NL} || 'tion') || {dirt.NL} || 'well-' || {dirt.NL} || 'known and kno-' || {dirt.NL} || 'Wn'"
+COMPOUND = ", ".join(quoted(c) for c in COMPOUNDS)
 
 
-@query("clean_hyphens")
+@query("clean_hyphens", rf"""
+WITH d AS (SELECT doc_id, {duck(BROKEN)} AS t FROM documents),
+w AS (SELECT word FROM (SELECT unnest(regexp_extract_all(lower(text), '{WORDY}')) AS word FROM documents) GROUP BY 1 HAVING count(*) >= 3),
+m AS (SELECT doc_id, regexp_extract_all(t, '{WORDY}-\n{WORDY}') AS found, string_split_regex(t, '{WORDY}-\n{WORDY}') AS parts FROM d),
+u AS (SELECT doc_id, unnest(found) AS broken, generate_subscripts(found, 1) AS i FROM m),
+b AS (SELECT DISTINCT broken, split_part(broken, '-' || chr(10), 1) AS a, split_part(broken, '-' || chr(10), 2) AS z FROM u),
+g AS (SELECT broken FROM b WHERE regexp_matches(z, '^\p{{Ll}}') AND a || '-' || z NOT IN ({COMPOUND}) AND (lower(a || z) IN (SELECT word FROM w) OR lower(a) IN (SELECT word FROM w))),
+y AS (SELECT doc_id, list(CASE WHEN g.broken IS NULL THEN u.broken ELSE replace(u.broken, '-' || chr(10), '') END ORDER BY i) AS mended, count(g.broken) AS n FROM u LEFT JOIN g USING (broken) GROUP BY 1)
+SELECT m.doc_id, array_to_string(list_transform(parts, lambda p, i: p || coalesce(mended[i], '')), '') AS clean_text, coalesce(n, 0) AS changes FROM m LEFT JOIN y USING (doc_id)""")
 def clean_hyphens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """' the ' broken by a hyphen; the dictionary has the word."""
-    docs = documents(spark, sf_dir, "replace(text, ' the ', ' th-' || chr(10) || 'e ')")
-    return C.clean(docs, [C.Cleaner("hyphens", rewrite=A.dehyphenator(["the"]))]).select("doc_id", "clean_text", F.col("stats")[0]["changes"].alias("changes"))
+    """Words broken before tion; the dictionary has the words that documents have three times or more."""
+    out = C.dehyphenated(documents(spark, sf_dir, BROKEN), C.corpus_words(documents(spark, sf_dir)))
+    return out.select("doc_id", F.col("text").alias("clean_text"), F.col("hyphen_changes").cast("long").alias("changes"))
 
 
-@query("clean_code_blocks")
+@query("corpus_words", f"SELECT word FROM (SELECT unnest(regexp_extract_all(lower(text), '{WORDY}')) AS word FROM documents) GROUP BY 1 HAVING count(*) >= 3")
+def corpus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.corpus_words(documents(spark, sf_dir))
+
+
+@query("clean_code_blocks", f"SELECT doc_id, text || {dirt.NL} || '```python' || {dirt.NL} || '    def f(self):' || {dirt.NL} || '        pass' || {dirt.NL} || '```' || {dirt.NL} || 'end' || {dirt.NL} || '    alone' AS clean_text, CAST(1 AS BIGINT) AS changes FROM documents")
 def clean_code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.lines(F.col("text"))
-    return documents(spark, sf_dir, dirt.CODED).select("doc_id", T.let(rows, lambda r: T.code_blocks(r, T.code_kinds(r))).alias("clean_text"))
+    return documents(spark, sf_dir, dirt.CODED).select("doc_id", T.let(rows, lambda r: T.code_blocks(r, T.code_kinds(r))).alias("clean_text"), T.let(rows, lambda r: T.code_block_changes(T.code_kinds(r))).cast("long").alias("changes"))
 
 
-@query("clean_tables")
-def clean_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir, f"text || {dirt.NL} || '| a | b |' || {dirt.NL} || '| 1 | ' || CAST(doc_id AS STRING) || ' |'")
-    return C.clean(docs, [C.Cleaner("tables", rewrite=A.tables)]).select("doc_id", "clean_text")
+NO_VOWELS = "translate(text, 'aeiouAEIOU$', 'xxxxxXXXXXx')"  # and so no words of programs
 
 
-@query("clean_pipeline")
-def clean_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.clean(documents(spark, sf_dir, dirt.HEADED), C.default_cleaners(["the"])).select("doc_id", "clean_text", F.transform("stats", lambda s: s["changes"]).alias("changes"))
+@query("code_by_font", f"""
+WITH l AS (SELECT doc_id, doc_id % 2 = 0 AS mono, list_filter(string_split({NO_VOWELS}, chr(10)), lambda x: trim(x) <> '') AS l FROM documents)
+SELECT doc_id, CASE WHEN mono AND len(l) > 1 THEN '```' || chr(10) || array_to_string(l, chr(10)) || chr(10) || '```' ELSE array_to_string(l, chr(10)) END AS clean_text, CAST(CASE WHEN mono AND len(l) > 1 THEN 1 ELSE 0 END AS BIGINT) AS changes FROM l""")
+def code_by_font(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even documents in a font of fixed width, the others in one with a name that only begins like it."""
+    text = T.join(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
+    docs = documents(spark, sf_dir, NO_VOWELS).select("doc_id", F.lit(1).alias("page_no"), text.alias("text"))
+    docs = docs.withColumn("font_names", F.array_repeat(F.when(F.col("doc_id") % 2 == 0, "ABCDEF+courier-Bold").otherwise("Menl"), F.char_length("text")))
+    return C.code_by_font(docs).select("doc_id", F.col("text").alias("clean_text"), F.col("code_changes").cast("long").alias("changes"))
 
 
-@query("changes_by_cleaner")
-def changes_by_cleaner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.changes_by_cleaner(C.clean(documents(spark, sf_dir, dirt.NUMBERED), C.choose(C.default_cleaners(), skip=["code_blocks"])))
+ID_WIDTH = "CAST(length(CAST(doc_id AS VARCHAR)) AS INTEGER)"
 
 
-@query("html_pages")
-def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", readers.html_column(F.col("html")).alias("text"))
+@query("clean_tables", f"""SELECT doc_id, text || {dirt.NL} || '| a | ' || rpad('b', {ID_WIDTH}, ' ') || ' |' || {dirt.NL} || '| --- | ' || repeat('-', greatest(3, {ID_WIDTH})) || ' |' || {dirt.NL} || '| 1 | ' || CAST(doc_id AS VARCHAR) || ' |' || {dirt.NL}
+ || 'x' || {dirt.NL} || '<!-- tabla no estructurada -->' || {dirt.NL} || '| a | b | c' || {dirt.NL} || '| a |' || {dirt.NL} AS clean_text, CAST(2 AS BIGINT) AS changes FROM documents""")
+def clean_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, f"text || {dirt.NL} || '| a | b |' || {dirt.NL} || '| 1 | ' || CAST(doc_id AS STRING) || ' |' || {dirt.NL} || 'x' || {dirt.NL} || '| a | b | c' || {dirt.NL} || '| a |'")
+    return C.clean(docs, C.choose(C.default_cleaners(), only=["tables"])).select("doc_id", "clean_text", F.col("stats")[0]["changes"].cast("long").alias("changes"))
+
 
+FLAT = "lower(strip_accents(coalesce(text, '')))"
+WIDE_SLUG = rf"trim(CASE WHEN regexp_matches({FLAT}, '[^\x00-\x7F]') THEN regexp_replace({FLAT}, '[^\p{{L}}\p{{N}}_]+', '-', 'g') ELSE regexp_replace({FLAT}, '[^a-z0-9]+', '-', 'g') END, '-')"
 
-@query("slug_unicode")
+
+@query("slug_unicode", f"SELECT doc_id, CASE WHEN {WIDE_SLUG} = '' THEN 'untitled' ELSE rtrim(substr({WIDE_SLUG}, 1, 60), '-') END AS slug FROM documents")
 def slug_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", A.slugs(F.col("text")).alias("slug"))
 
 
-@query("anchor_figures")
+@query("anchor_figures", PAGES_SQL + """,
+f AS (SELECT doc_id, page_no, (doc_id % 5) / 4 AS y, list_filter(string_split(text, chr(10)), lambda x, i: i < len(string_split(text, chr(10))) OR x <> '') AS l FROM pages),
+b AS (SELECT *, list_filter(list_transform(l, lambda x, i: CASE WHEN trim(x) <> '' THEN i END), lambda i: i IS NOT NULL) AS filled FROM f),
+t AS (SELECT *, CASE WHEN y = 0 OR len(filled) = 0 THEN 0 WHEN y >= 1 THEN len(l) ELSE filled[least(CAST(floor(y * len(filled)) AS BIGINT), len(filled) - 1) + 1] END AS place FROM b)
+SELECT p.doc_id, p.page_no, CASE WHEN p.page_no = 1 THEN array_to_string(list_concat(list_concat(list_slice(l, 1, place), ['<!-- figura omitida: Figura 1.1 -->', '']), list_slice(l, place + 1, len(l))), chr(10)) ELSE p.text END AS text FROM pages p JOIN t USING (doc_id, page_no)""".replace("t AS (SELECT *, CASE", "tt AS (SELECT *, CASE").replace("JOIN t USING (doc_id, page_no)", "JOIN tt USING (doc_id, page_no)"))
 def anchor_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pages(spark, sf_dir)
     f = p.where("page_no = 1").select("doc_id", "page_no", ((F.col("doc_id") % 5) / 4).alias("y_frac"), figures.placeholder(F.lit(1), F.lit(1)).alias("markup"), F.lit(None).cast("string").alias("caption"))
     return figures.anchor_figures(p, f)
+
+
+@query("placeholders", f"""WITH c AS ({CAND}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, seq) AS figure_index FROM c)
+SELECT doc_id, page, figure_index, round(CASE WHEN seq % 3 = 0 THEN 1.0 ELSE least(1.0, seq / 100.0) END, 6) AS y_frac, '<!-- figura omitida: Figura 2.' || CAST(figure_index AS VARCHAR) || ' -->' AS markup FROM r""")
+def placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.read.parquet(f"{sf_dir}/embeddings.parquet").createOrReplaceTempView("_embeddings")
+    c = spark.sql(CAND.replace("VARCHAR", "STRING").replace("FROM embeddings", "FROM _embeddings")).withColumn("y", F.when(F.col("seq") % 3 != 0, F.col("seq").cast("double")))
+    areas = c.select("doc_id", "page").distinct().withColumns({"page_width": F.lit(612.0), "page_height": F.lit(100.0)})
+    return figures.placeholders(c, areas, F.lit(2)).select("doc_id", "page", F.col("figure_index").cast("long").alias("figure_index"), F.round("y_frac", 6).alias("y_frac"), "markup")
+
+
+@query("chapter_pages", f"""WITH {CHAPTERS_SQL}, t AS (SELECT book, max(start_page) AS total FROM c GROUP BY 1),
+r AS (SELECT c.*, t.total, start_page + 1 AS s, coalesce((SELECT min_by(b.start_page, b.index) FROM c b WHERE b.book = c.book AND b.index > c.index AND b.level <= c.level), t.total + 1) + 1 AS e FROM c JOIN t USING (book))
+SELECT book, index, CASE WHEN s <= total AND e <= total + 1 AND e > s THEN 'ok' ELSE 'out of bounds' END AS status, CASE WHEN s <= total AND e <= total + 1 AND e > s THEN array_to_string(range(s, e), ',') END AS pages FROM r""")
+def chapter_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = chapters(spark, sf_dir)
+    totals = c.groupBy("book").agg(F.max("start_page").alias("total_pages"))
+    out = select.chapter_pages(select.infer_ranges(c, totals, "book"), totals, 1, "book")
+    return out.select("book", "index", "status", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
+
+
+@query("outline_tree", f"WITH {CHAPTERS_SQL} SELECT book, string_agg(repeat('  ', level - 1) || CAST(index AS VARCHAR) || '. ' || title || ' (p. ' || CAST(start_page AS VARCHAR) || ')', chr(10) ORDER BY index) AS tree FROM c GROUP BY 1")
+def outline_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.outline_tree(chapters(spark, sf_dir), "book")
+
+
+@query("front_matter_fields", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'x' END AS title FROM documents")
+def front_matter_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir, dirt.FRONTED).select("doc_id", structure.parse_front_matter(F.col("text"))["title"].alias("title"))
+
+
+@query("study_fields", """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'unread' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'read' ELSE lang END AS reading_status,
+CASE doc_id % 4 WHEN 1 THEN 'now' WHEN 3 THEN 'then' END AS started_at, CASE WHEN doc_id % 4 = 2 THEN 'now' END AS finished_at, lang AS tags FROM (SELECT doc_id, 'read' AS lang FROM documents)""")
+def study_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 4
+    given = {"reading_status": F.when(k == 0, "unread").when(k == 1, "in_progress").when(k == 2, "read"), "tags": F.array(F.lit("read"), F.lit("read"))}
+    existing = {"reading_status": F.lit("read"), "started_at": F.when(k == 3, "then")}
+    out = structure.study_fields(given, existing, F.lit("now"))
+    return documents(spark, sf_dir).select("doc_id", out["reading_status"].alias("reading_status"), out["started_at"].alias("started_at"), out["finished_at"].alias("finished_at"), F.array_join(out["tags"], ",").alias("tags"))
+
+
+@query("tree_files", f"""WITH d AS (SELECT doc_id, source || '/' || CAST(doc_id AS VARCHAR) AS base, {duck(dirt.MARKED)} AS t, text FROM documents),
+l AS (SELECT doc_id, base, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM d),
+s AS (SELECT *, sum(CASE WHEN starts_with(line, '## ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS index FROM l WHERE n > 1),
+b AS (SELECT base, index, max(CASE WHEN starts_with(line, '## ') THEN substr(line, 4) END) AS title, trim(string_agg(CASE WHEN NOT starts_with(line, '## ') THEN line END, chr(10) ORDER BY n), chr(10)) AS body FROM s GROUP BY 1, 2)
+SELECT base || '/text.md' AS path, t AS content FROM d UNION ALL SELECT base || '/.quire/raw.md', text FROM d UNION ALL SELECT base || '/metadata.json', '{{"id":' || CAST(doc_id AS VARCHAR) || '}}' FROM d
+UNION ALL SELECT base || '/sections/' || CASE index WHEN 0 THEN '00-intro.md' WHEN 1 THEN '01-part-a.md' ELSE '02-part-b.md' END, CASE WHEN index = 0 THEN body ELSE '## ' || title || chr(10) || chr(10) || body END || chr(10) FROM b
+UNION ALL SELECT base || '/sections/index.md', '- [Part A](01-part-a.md)' || chr(10) || '- [Part B](02-part-b.md)' || chr(10) || '- [Prelude](00-intro.md)' || chr(10) FROM d""")
+def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, dirt.MARKED).join(documents(spark, sf_dir).select("doc_id", F.col("text").alias("raw_text")), "doc_id")
+    docs = docs.select("doc_id", F.col("source").alias("book"), F.col("doc_id").cast("string").alias("chapter"), "text", "raw_text", structure.metadata({"id": F.col("doc_id")}).alias("metadata"))
+    return structure.tree_files(docs, raw=True, split=True)
+
+
+# Without SQL: tested by literals
+
+
+@query("clean_pipeline")
+def clean_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.clean(documents(spark, sf_dir, dirt.HEADED), C.default_cleaners(["the"])).select("doc_id", "clean_text", F.transform("stats", lambda s: s["changes"]).alias("changes"))
+
+
+@query("changes_by_cleaner")
+def changes_by_cleaner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.changes_by_cleaner(C.clean(documents(spark, sf_dir, dirt.NUMBERED), C.choose(C.default_cleaners(), skip=["code_blocks"])))
+
+
+@query("html_pages")
+def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", readers.html_column(F.col("html")).alias("text"))

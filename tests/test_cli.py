@@ -28,3 +28,37 @@ def test_paths_and_hooks(tmp_path):
     with pytest.raises(FileExistsError):
         cli.free_path(tmp_path / "a.md")
     assert cli.hook("echo hi", {}) == (0, "hi") and cli.hook("/no/such", {})[0] == -1 and cli.hook(None, {}) == (0, "")
+
+
+def test_chapters_trees_caches_and_hooks(spark, tmp_path, capsys):
+    from tests.test_operators import epub
+
+    (tmp_path / "in").mkdir()
+    book = tmp_path / "in" / "My Book.epub"
+    book.write_bytes(epub())
+    out, cache = str(tmp_path / "out"), str(tmp_path / "cache")
+    run = lambda *more: cli.main(["convert", str(book), "--out", out, "--force", *more], spark)
+    assert run("--chapter", "first", "--tree", "--raw", "--study", "--tag", "x", "--cache", cache, "--registry", str(tmp_path / "registry"), "--post", f"touch {tmp_path}/done") == 0
+    assert (tmp_path / "done").exists() and spark.read.parquet(out).first()["text"].startswith("# A")
+    text = (tmp_path / "out-tree" / "my-book" / "chapter-first" / "text.md").read_text()
+    assert text.startswith('---\ntitle: "A"\nbook: "my-book"\n') and "## Dudas" in text
+    assert json.loads((tmp_path / "out-tree" / "my-book" / "chapter-first" / "metadata.json").read_text())["schema_version"] == 2
+    assert [(r["title"], r["toc"][1]["title"]) for r in spark.read.parquet(str(tmp_path / "registry" / "v=1")).collect()] == [("my-book", "First")]
+    assert spark.read.parquet(f"{cache}/entries").count() == 1
+    assert run("--chapter", "first", "--cache", cache) == 0 and "stats" in spark.read.parquet(out).columns and spark.read.parquet(out).first()["stats"] is None
+    assert run("--chapter", "nothing") == 4 and run("--pages", "9") == 4 and run("--chapter", "2") == 0
+    capsys.readouterr()
+    assert cli.main(["outline", str(book)], spark) == 0 and "2. First (p. 2)" in capsys.readouterr().out
+    (tmp_path / "c.toml").write_text('only = "lists"\n')
+    assert cli.main(["config", str(tmp_path / "c.toml")]) == 0 and json.loads(capsys.readouterr().out)["origin"]["only"] == "project"
+    assert cli.main(["watch", str(tmp_path / "in"), "--out", str(tmp_path / "w"), "--state", str(tmp_path / "s"), "--settle", "0", "--once"], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "w")).count() == 2
+
+
+def test_standard_input(spark, tmp_path, monkeypatch):
+    import io
+    import types
+
+    monkeypatch.setattr("sys.stdin", types.SimpleNamespace(buffer=io.BytesIO(b"# T\n\nconti-\nnuation continuation continuation continuation\n")))
+    assert cli.main(["convert", "-", "--ext", "md", "--out", str(tmp_path / "o")], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "o")).first()["clean_text"].split()[2] == "continuation"
