@@ -35,12 +35,34 @@ def sources(spark: SparkSession, path: str, ext: str = "") -> DataFrame:
     return readers.from_bytes(spark, sys.stdin.buffer.read(), ext.lstrip(".")) if path == "-" else readers.read_files(spark, path)
 
 
+def all_chapters(files: DataFrame, text: DataFrame) -> DataFrame:
+    """(path, index, title, start_page, level) of files' outlines; files without one are searched for chapters."""
+    found = readers.outlines(files).where("status = 'ok'")
+    names = ["path", "index", "title", "start_page", "level"]
+    return found.select(names).unionByName(select.detect_chapters(text, "path").join(found.select("path").distinct(), "path", "left_anti").withColumn("level", F.lit(1)).select(names))
+
+
+def each_chapter(files: DataFrame, pages: DataFrame, spec: str, offset: int = 0) -> DataFrame:
+    """pages of the chapters that spec names (N, A-B, lists), each as a file of its own, path#chapter-NN; chapters that a file
+    lacks, or that are out of bounds, have a row that says so."""
+    text = pages.where("status = 'ok'")
+    chapters, totals = all_chapters(files, text), text.groupBy("path").agg(F.max("page_no").alias("total_pages"))
+    asked = select.parse_chapters(spec, 10**6)
+    wanted = text.select("path", "sha256", "format").distinct().withColumn("index", F.explode(F.array(*(F.lit(k) for k in asked))))
+    ranged = select.chapter_pages(select.infer_ranges(chapters, totals, "path"), totals, offset, "path")
+    wanted = wanted.join(ranged, ["path", "index"], "left").withColumn("name", F.concat("path", F.lit("#chapter-"), F.lpad(F.col("index").cast("string"), 2, "0")))
+    one = wanted.where("status = 'ok'").select("path", "name", F.explode("pages").alias("page_no"))
+    kept = text.join(one, ["path", "page_no"]).drop("path").withColumnRenamed("name", "path").select(pages.columns)
+    none = {"page_no": F.lit(None).cast("int"), "text": F.lit(None).cast("string"), "warning": F.lit(None).cast("string")}
+    gone = wanted.where("status is null or status <> 'ok'").drop("path").withColumnRenamed("name", "path").withColumn("status", F.concat(F.lit("out of bounds: chapter "), F.col("index").cast("string")))
+    return kept.unionByName(gone.withColumns(none).select(pages.columns)).unionByName(pages.where("status <> 'ok'"))
+
+
 def chapter_pages(files: DataFrame, pages: DataFrame, spec: str, offset: int = 0) -> DataFrame:
     """pages (as extract() gives them) of one chapter of each file, by its number or a part of its title; files whose chapter
     isn't found, or is out of bounds, have a row that says so. Files without an outline are searched for chapters."""
-    found = readers.outlines(files).where("status = 'ok'")
     text = pages.where("status = 'ok'")
-    chapters = found.select("path", "index", "title", "start_page", "level").unionByName(select.detect_chapters(text, "path").join(found.select("path").distinct(), "path", "left_anti").withColumn("level", F.lit(1)).select("path", "index", "title", "start_page", "level"))
+    chapters = all_chapters(files, text)
     totals = text.groupBy("path").agg(F.max("page_no").alias("total_pages"))
     one = select.resolve_chapter(chapters, spec, "path")
     ranged = select.infer_ranges(chapters, totals, "path").join(one.where("status = 'ok'").select("path", F.col("chapter.index").alias("index")), ["path", "index"])
@@ -52,19 +74,21 @@ def chapter_pages(files: DataFrame, pages: DataFrame, spec: str, offset: int = 0
     return kept.unionByName(why.where("status <> 'ok'").withColumns(none).select(pages.columns)).unionByName(pages.where("status <> 'ok'"))
 
 
-def converted(spark: SparkSession, path: str, pages: str = "", only: str = "", skip: str = "", max_bytes: int = readers.Limits().max_bytes, chapter: str = "", offset: int = 0, seconds: int = readers.Limits().seconds, ext: str = "", words: str = "", keep_going: bool = False, files: DataFrame | None = None) -> DataFrame:
+def converted(spark: SparkSession, path: str, pages: str = "", only: str = "", skip: str = "", max_bytes: int = readers.Limits().max_bytes, chapter: str = "", offset: int = 0, seconds: int = readers.Limits().seconds, ext: str = "", words: str = "", keep_going: bool = False, files: DataFrame | None = None, chapters: str = "") -> DataFrame:
     """(path, sha256, format, status, pages, warning, text, clean_text, stats) of files: pages are read, joined and cleaned.
 
     Words broken at the ends of lines are joined by the words of a file, one a line, or by those that the texts have whole
     three times or more.
     """
-    if pages and chapter:
-        raise ValueError("pages and chapter exclude each other")
+    if sum(map(bool, (pages, chapter, chapters))) > 1:
+        raise ValueError("pages, chapter and chapters exclude each other")
     wanted = select.parse_pages(select.translate_spec(pages, offset), readers.Limits().max_pages) if pages else None
     files = sources(spark, path, ext) if files is None else files
     read = readers.extract(files, readers.Limits(max_bytes=max_bytes, seconds=seconds), pages=wanted)
     if chapter:
         read = chapter_pages(files, read, chapter, offset)
+    if chapters:
+        read = each_chapter(files, read, chapters, offset)
     joined = read.groupBy("path", "sha256", "format").agg(F.max("status").alias("status"), F.count("page_no").alias("pages"), F.max("warning").alias("warning"), F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p"))
     texts = joined.withColumn("text", F.array_join(F.transform("p", lambda x: x["text"]), "\n")).drop("p")
     dictionary = spark.read.text(words).select(F.lower(F.trim("value")).alias("word")).where("word <> ''") if words else cleaners.corpus_words(texts)
@@ -72,7 +96,7 @@ def converted(spark: SparkSession, path: str, pages: str = "", only: str = "", s
 
 
 def book(path: Column) -> Column:
-    return structure.ascii_slug(F.regexp_replace(F.regexp_extract(path, r"([^/]*)\z", 1), r"\.[A-Za-z0-9]+\z", ""))
+    return structure.ascii_slug(F.regexp_replace(F.regexp_extract(path, r"([^/]*)\z", 1), r"\.[A-Za-z0-9]+(#chapter-\d+)?\z", ""))
 
 
 def tree(done: DataFrame, label: Column, now: Column, cleaned_by: Sequence[str], raw: bool = False, split: bool = False) -> DataFrame:
@@ -128,7 +152,7 @@ def parser() -> argparse.ArgumentParser:
         if name in ("convert", "batch"):
             for o in ("dry-run", "toc", "strict", "keep-going", "tree", "raw", "split", "study", "reset-study"):
                 p.add_argument(f"--{o}", action="store_true")
-            for o in ("only", "skip", "pages", "chapter", "ext", "words", "cache", "registry", "reading-status", "config"):
+            for o in ("only", "skip", "pages", "chapter", "chapters", "ext", "words", "cache", "registry", "reading-status", "config"):
                 p.add_argument(f"--{o}", default="")
             p.add_argument("--tag", action="append", default=[])
             p.add_argument("--page-offset", type=int, default=0)
@@ -182,9 +206,11 @@ def convert(use: argparse.Namespace, spark: SparkSession) -> int:
         raise ValueError(f"not a reading status: {use.reading_status}")
     files, now = sources(spark, use.path, use.ext), F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     chosen = [c.name for c in cleaners.choose(cleaners.default_cleaners(), names(pick("only")), names(pick("skip")))]
-    options = {"pages": pick("pages"), "only": pick("only"), "skip": pick("skip"), "chapter": pick("chapter"), "max_bytes": values["max_bytes"], "seconds": values["seconds"], "offset": use.page_offset, "words": use.words, "keep_going": use.keep_going}
-    key = state.cache_key(F.col("sha256"), F.lit(f"{options['pages']}|{options['chapter']}|{use.page_offset}|{use.toc}"), F.lit(state.cleaner_snapshot(chosen)), F.lit(__version__))
+    options = {"pages": pick("pages"), "only": pick("only"), "skip": pick("skip"), "chapter": pick("chapter"), "max_bytes": values["max_bytes"], "seconds": values["seconds"], "offset": use.page_offset, "words": use.words, "keep_going": use.keep_going, "chapters": use.chapters}
+    key = state.cache_key(F.col("sha256"), F.lit(f"{options['pages']}|{options['chapter']}|{options['chapters']}|{use.page_offset}|{use.toc}"), F.lit(state.cleaner_snapshot(chosen)), F.lit(__version__))
     cached = None
+    if use.cache and use.chapters:
+        raise ValueError("a cache keeps files whole or one chapter of them, not chapters")
     if use.cache and not use.dry_run:
         cache = state.load_cache(spark, use.cache)
         keyed = files.withColumn("key", key)
@@ -212,7 +238,7 @@ def convert(use: argparse.Namespace, spark: SparkSession) -> int:
         seen = good.join(toc, "sha256", "left").select("sha256", book(F.col("path")).alias("title"), "format", F.greatest(F.lit(1), F.coalesce("pages", F.lit(1))).cast("int").alias("pages_total"), F.coalesce("toc", F.array().cast(state.TOC)).alias("toc"), F.col("toc").isNotNull().alias("toc_from_outline"), F.col("path").alias("source_path"), now.alias("registered_at"), now.alias("last_seen_at"), F.lit(1).cast("long").alias("run_count"))
         state.save_registry(spark, use.registry, seen)
     if use.tree:
-        label = F.lit(structure_label(options["pages"], options["chapter"]))
+        label = F.coalesce(F.nullif(F.regexp_extract("path", r"#(chapter-\d+)\z", 1), F.lit("")), F.lit(structure_label(options["pages"], options["chapter"])))
         structure.write_tree(tree(good, label, now, chosen, use.raw, use.split), f"{use.out.rstrip('/')}-tree", use.force).write.mode("overwrite").parquet(f"{use.out.rstrip('/')}-tree-manifest")
     worst, warned = written.agg(F.max("exit_code"), F.max(F.size("warnings"))).first()
     for r in quality.summary(written.select(F.when(F.col("exit_code") == 0, "ok").otherwise("failed").alias("status"))).collect():

@@ -321,6 +321,13 @@ def toc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.toc(structure.headings(documents(spark, sf_dir, dirt.MARKED)))
 
 
+@query("inject_toc", f"""SELECT doc_id, '# Book ' || CAST(doc_id AS VARCHAR) || chr(10) || '<!-- toc -->' || chr(10) || '- [Part A](#part-a)' || chr(10) || '  - [Sub part](#sub-part)' || chr(10) || '- [Part B](#part-b)' || chr(10) || '<!-- /toc -->' || chr(10) || chr(10)
+ || substr(t, length('# Book ' || CAST(doc_id AS VARCHAR)) + 2) AS text FROM (SELECT doc_id, {duck(dirt.MARKED)} AS t FROM documents)""")
+def inject_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twice, as the second time changes nothing."""
+    return structure.inject_toc(structure.inject_toc(documents(spark, sf_dir, dirt.MARKED))).select("doc_id", "text")
+
+
 @query("sections", f"""WITH l AS (SELECT doc_id, unnest(string_split({duck(dirt.MARKED)}, chr(10))) AS line, generate_subscripts(string_split({duck(dirt.MARKED)}, chr(10)), 1) AS n FROM documents),
 s AS (SELECT *, sum(CASE WHEN starts_with(line, '## ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS index FROM l WHERE n > 1)
 SELECT doc_id, CAST(index AS BIGINT) AS index, max(CASE WHEN starts_with(line, '## ') THEN substr(line, 4) END) AS title, trim(string_agg(CASE WHEN NOT starts_with(line, '## ') THEN line END, chr(10) ORDER BY n), chr(10)) AS body FROM s GROUP BY 1, 2""")
@@ -418,6 +425,31 @@ def format_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", readers.status(path, size, readers.Limits(max_bytes=3000)).alias("status"))
 
 
+# Lists, footnotes, headers within texts
+
+NUMBERS = f"text || {dirt.NL} || '1. a' || {dirt.NL} || {dirt.NL} || '▪ mid' || {dirt.NL} || '2) b' || {dirt.NL} || '  ' || {dirt.NL} || {dirt.NL} || '3. c' || {dirt.NL} || {dirt.NL} || 'x'"
+cleaned("clean_lists", T.lists, NUMBERS, f"array_to_string(list_slice(string_split(t, chr(10)), 1, -10), chr(10)) || {dirt.NL} || '1. a' || {dirt.NL} || {dirt.NL} || '- mid' || {dirt.NL} || '2) b' || {dirt.NL} || '3. c' || {dirt.NL} || {dirt.NL} || 'x'", T.list_changes, "3")
+
+DEFINED = f"text || {dirt.NL} || 'see¹ and²' || {dirt.NL} || '12. two' || {dirt.NL} || {dirt.NL} || '1) one ' || CAST(doc_id AS STRING) || {dirt.NL} || '12. again'"
+
+
+@query("clean_footnotes", f"SELECT doc_id, text || {dirt.NL} || 'see[^1] and[^2]' || {dirt.NL} || {dirt.NL} || '[^1]: one ' || CAST(doc_id AS VARCHAR) || {dirt.NL} || '[^12]: two' || {dirt.NL} AS clean_text, CAST(4 AS BIGINT) AS changes FROM documents")
+def clean_footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = C.clean(documents(spark, sf_dir, DEFINED), C.choose(C.default_cleaners(), only=["footnotes"]))
+    return out.select("doc_id", "clean_text", F.col("stats")[0]["changes"].cast("long").alias("changes"))
+
+
+@query("clean_headers_text", REPEATED + r""",
+k AS (SELECT doc_id, page_no, unnest(string_split(trim(text, chr(10)), chr(10))) AS line, generate_subscripts(string_split(trim(text, chr(10)), chr(10)), 1) AS n FROM pages),
+s AS (SELECT k.* FROM k ANTI JOIN b ON b.doc_id = k.doc_id AND b.line = trim(regexp_replace(k.line, '\s+', ' ', 'g'))),
+kept AS (SELECT doc_id, page_no, string_agg(line, chr(10) ORDER BY n) AS text FROM s GROUP BY 1, 2)
+SELECT p.doc_id, CASE WHEN count(*) = 1 THEN min(p.text) ELSE string_agg(coalesce(kept.text, ''), chr(10) ORDER BY p.page_no) END AS clean_text, CASE WHEN count(*) = 1 THEN 0 ELSE (SELECT count(*) FROM b WHERE b.doc_id = p.doc_id) END AS changes
+FROM pages p LEFT JOIN kept ON kept.doc_id = p.doc_id AND kept.page_no = p.page_no GROUP BY 1""")
+def clean_headers_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = C.clean(page_markers(spark, sf_dir), C.choose(C.default_cleaners(), only=["headers"]))
+    return out.select("doc_id", "clean_text", F.col("stats")[0]["changes"].cast("long").alias("changes"))
+
+
 # Hyphens, code and tables
 
 WORDY = r"[\p{L}\p{Nl}\p{No}]+"
@@ -560,6 +592,11 @@ def changes_by_cleaner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.changes_by_cleaner(C.clean(documents(spark, sf_dir, dirt.NUMBERED), C.choose(C.default_cleaners(), skip=["code_blocks"])))
 
 
-@query("html_pages")
+BARE = r"regexp_replace(regexp_replace(html, '(?s)<head.*?</head>|<nav.*?</nav>|<footer.*?</footer>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g'), '\s+', ' ', 'g')"
+BLOCKS = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({BARE}, '<h1>', chr(10) || chr(10) || '# ', 'g'), '</h1>|</?(p|div|article)( [^>]*)?>', chr(10) || chr(10), 'g'), '<br>', chr(10), 'g'), '</?[a-zA-Z][^>]*>', '', 'g')"
+SPARSE = rf"trim(regexp_replace(regexp_replace(regexp_replace({BLOCKS}, '\n +', chr(10), 'g'), ' +\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10))"
+
+
+@query("html_pages", f"SELECT page_id, replace(replace(replace({SPARSE}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') || chr(10) AS text FROM pages")
 def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", readers.html_column(F.col("html")).alias("text"))

@@ -65,6 +65,8 @@ class _Html(HTMLParser):
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in self.SKIP:
             self.skip += 1
+        elif self.skip:
+            pass
         elif re.fullmatch("h[1-6]", tag):
             self.out.append("\n\n" + "#" * int(tag[1]) + " ")
         elif tag == "li":
@@ -82,6 +84,8 @@ class _Html(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in self.SKIP:
             self.skip = max(0, self.skip - 1)
+        elif self.skip:
+            pass
         elif tag == "pre":
             self.pre = False
             self.out.append("\n```\n\n")

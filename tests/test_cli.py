@@ -47,6 +47,9 @@ def test_chapters_trees_caches_and_hooks(spark, tmp_path, capsys):
     assert spark.read.parquet(f"{cache}/entries").count() == 1
     assert run("--chapter", "first", "--cache", cache) == 0 and "stats" in spark.read.parquet(out).columns and spark.read.parquet(out).first()["stats"] is None
     assert run("--chapter", "nothing") == 4 and run("--pages", "9") == 4 and run("--chapter", "2") == 0
+    assert cli.main(["batch", str(book), "--out", out, "--force", "--chapters", "1-3", "--tree"], spark) == 4
+    assert {r["path"][-10:]: r["status"][:13] for r in spark.read.parquet(out).collect()} == {"chapter-01": "ok", "chapter-02": "ok", "chapter-03": "out of bounds"}
+    assert (tmp_path / "out-tree" / "my-book" / "chapter-02" / "text.md").exists()
     capsys.readouterr()
     assert cli.main(["outline", str(book)], spark) == 0 and "2. First (p. 2)" in capsys.readouterr().out
     (tmp_path / "c.toml").write_text('only = "lists"\n')
