@@ -40,7 +40,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def documents(spark: SparkSession, sf_dir: str, noise: str = "text") -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = readers.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"), "doc_id")
     return docs.select("doc_id", F.expr(noise).alias("text"), "lang", "source")
 
 
@@ -599,4 +599,4 @@ SPARSE = rf"trim(regexp_replace(regexp_replace(regexp_replace({BLOCKS}, '\n +',
 
 @query("html_pages", f"SELECT page_id, replace(replace(replace({SPARSE}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') || chr(10) AS text FROM pages")
 def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", readers.html_column(F.col("html")).alias("text"))
+    return readers.spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id").select("page_id", readers.html_column(F.col("html")).alias("text"))

@@ -411,6 +411,13 @@ def page_areas(files: DataFrame, limits: Limits = Limits(), more: dict[str, Call
     return _rows(files, limits, "path string, sha256 string, format string, page_width double, page_height double, status string", of)
 
 
+def spread(table: DataFrame, *keys: str) -> DataFrame:
+    """A table of fewer files than there are cores, dealt anew by keys so that each core has work: a file of one row group is
+    read by one task, however many ask for it. Tables of more files are read as they are, without a shuffle."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, *keys) if len(table.inputFiles()) < cores else table
+
+
 def html_column(html: Column) -> Column:
     """Markdown of pages that are in a table."""
     @F.pandas_udf("string")
