@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.readers import spread
+
 #: The characters that separate words, as a Java character class.
 WHITE = r"\x20\x09-\x0D"
 
@@ -88,8 +90,13 @@ def rows_a_batch(spark: SparkSession, most: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+KEYS = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the driver's tables; large ones that come in a few files are dealt to all cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, KEYS[name]) if name in KEYS else rows
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

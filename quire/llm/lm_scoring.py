@@ -28,6 +28,8 @@ FP = np.uint64((1 << 40) - 1)
 HASHES = 4
 #: Bits of a filter that is broadcast, at most: 128 MB. A larger one is asked where its segments are, with equal answers.
 MOST_BITS = 1 << 30
+#: Characters whose n-grams are asked for at once, about.
+PIECE = 1 << 20
 #: N-grams of a shard, about, at most. The number of shards follows from those of the texts alone.
 SHARD = 1 << 22
 
@@ -122,7 +124,7 @@ def tally(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return h[starts], np.add.reduceat(c, starts) if len(h) else c
 
 
-def counted(batches: Iterator[pa.RecordBatch], grams, most: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def counted(batches: Iterator[pa.RecordBatch], grams, most: int = 3_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Counts of the n-grams of training texts, put together within a task up to about `most` at once."""
     h, c, size = [], [], 0
     for batch in batches:
@@ -188,7 +190,7 @@ def train(texts: DataFrame, scratch: Scratch, bits_an_item: int) -> tuple[DataFr
     shards = 1 << (max(64, -(-2 * total // SHARD)) - 1).bit_length()
     shift = 64 - (shards.bit_length() - 1)
     with rows_a_batch(texts.sparkSession, 64):
-        segments = scratch.keep(map_runs(texts.mapInArrow(ngrams, "shard int, once binary, more binary, counts binary"), ["shard"], [], made, "shard int, bits long, data binary"), "segments")
+        segments = scratch.keep(map_runs(texts.mapInArrow(ngrams, "shard int, once binary, more binary, counts binary"), ["shard"], [], made, "shard int, bits long, data binary", shards), "segments")
     return counts, segments, shards, total, distinct
 
 
@@ -219,7 +221,7 @@ def with_answers(rows: DataFrame, segments: DataFrame, shards: int, scratch: Scr
         forget_in_worker()
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for a, b in pieces(batch.column(2).to_pylist()):
+            for a, b in pieces(batch.column(2).to_pylist(), PIECE):
                 yield pa.RecordBatch.from_arrays([pa.array([key]), *(pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), pa.concat_arrays([c.slice(a, b - a)])) for c in batch.columns)], names=["block", "ids", "held", "texts"])
                 key += b - a
 
@@ -250,7 +252,7 @@ def with_answers(rows: DataFrame, segments: DataFrame, shards: int, scratch: Scr
     texts = scratch.keep(rows.mapInArrow(blocks, f"block long, ids array<{kind}>, held array<boolean>, texts array<string>"), "blocks")
     sides = segments.select("shard", F.lit(-1).cast("long").alias("block"), "bits", "data").union(texts.select("block", "texts").mapInArrow(questions, "shard int, block long, bits long, data binary"))
     with rows_a_batch(rows.sparkSession, 16):  # blocks are megabytes, and so are some questions
-        got = scratch.keep(sides.repartition("shard").sortWithinPartitions("shard", "block").mapInArrow(answers, "block long, shard int, answers binary"), "answers")
+        got = scratch.keep(sides.repartition(shards, "shard").sortWithinPartitions("shard", "block").mapInArrow(answers, "block long, shard int, answers binary"), "answers")
     return texts.select("block", F.lit(-1).alias("shard"), "ids", "held", "texts", F.lit(None).cast("binary").alias("answers")).unionByName(got, allowMissingColumns=True)
 
 
@@ -317,7 +319,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         bloom, key = shared.value[0], TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            for a, b in pieces(texts):
+            for a, b in pieces(texts, PIECE):
                 yield from scored(key + np.arange(b - a), batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), texts[a:b], bloom.counts)
                 key += b - a
 
