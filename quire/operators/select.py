@@ -183,6 +183,11 @@ def detect(pages: DataFrame, least: int = 2, doc: str = "doc_id", **fonts) -> Da
     return lines.join(by_font, doc, "left_anti").unionByName(sizes.join(by_font, doc, "left_semi"))
 
 
+def outline_tuples(outline: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, level, title, page) of an outline's entries."""
+    return outline.select(doc, "level", "title", F.col("start_page").alias("page"))
+
+
 def outline_or_detected(outline: DataFrame, detected: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Detected chapters of documents without an outline, beside the outlines."""
     names = [doc, "index", "title", "start_page"]

@@ -105,8 +105,10 @@ cleaned("clean_footnote_markers", T.footnote_markers, dirt.NOTED, NOTES)
 cleaned_around_code("clean_footnote_markers_code", T.footnote_markers, dirt.NOTED, NOTES)
 LEVEL = r"CASE WHEN trim(x) = '' OR regexp_matches(x, '^\s*#') OR length(x) > 200 THEN 0 WHEN regexp_matches(x, '(?i)^(chapter|cap[ií]tulo|cap\.?)\s+\d+') THEN 1 WHEN regexp_matches(x, '^\d+\.\d+\.\d+\s+\S') THEN 3 WHEN regexp_matches(x, '^\d+\.\d+\s+\S') THEN 2 WHEN regexp_matches(x, '^[A-Z][A-Z\s]{2,80}$') THEN 1 ELSE 0 END"
 HEADS = f"list_transform(string_split(t, chr(10)), lambda x: CASE WHEN {LEVEL} > 0 THEN repeat('#', {LEVEL}) || ' ' || x ELSE x END)"
-cleaned("clean_headings", T.headings, dirt.HEADED, f"array_to_string(list_transform({HEADS}, lambda x, i: CASE WHEN starts_with(x, '#') AND i > 1 AND trim(({HEADS})[i - 1]) <> '' AND NOT starts_with(({HEADS})[i - 1], '#') THEN chr(10) || x ELSE x END), chr(10))", T.heading_changes, f"len(list_filter(string_split(t, chr(10)), lambda x: {LEVEL} > 0))")
-cleaned("clean_single_h1", T.single_h1, dirt.TITLED, "array_to_string(list_transform(string_split(t, chr(10)), lambda x, i: CASE WHEN starts_with(x, '# ') AND i > list_position(list_transform(string_split(t, chr(10)), lambda y: starts_with(y, '# ')), true) THEN '#' || x ELSE x END), chr(10))")
+HEADINGS = f"array_to_string(list_transform({HEADS}, lambda x, i: CASE WHEN starts_with(x, '#') AND i > 1 AND trim(({HEADS})[i - 1]) <> '' AND NOT starts_with(({HEADS})[i - 1], '#') THEN chr(10) || x ELSE x END), chr(10))"
+cleaned("clean_headings", T.headings, dirt.HEADED, HEADINGS, T.heading_changes, f"len(list_filter(string_split(t, chr(10)), lambda x: {LEVEL} > 0))")
+ONE_H1 = "array_to_string(list_transform(string_split(t, chr(10)), lambda x, i: CASE WHEN starts_with(x, '# ') AND i > list_position(list_transform(string_split(t, chr(10)), lambda y: starts_with(y, '# ')), true) THEN '#' || x ELSE x END), chr(10))"
+cleaned("clean_single_h1", T.single_h1, dirt.TITLED, ONE_H1)
 SKIP = r"'^\s*(#{1,6}\s+\S|([-*+]|\d+[.)])\s+\S|>|```|~~~)'"
 ROWS = "(CASE WHEN ends_with(t, chr(10)) THEN list_slice(string_split(t, chr(10)), 1, -2) ELSE string_split(t, chr(10)) END)"
 
@@ -579,6 +581,13 @@ def tree_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.tree_files(docs, raw=True, split=True)
 
 
+@query("clean_pipeline_text", f"""WITH a AS (SELECT doc_id, {duck(dirt.HEADED)} AS t FROM documents), b AS (SELECT doc_id, {SPACED} AS t FROM a), c AS (SELECT doc_id, {HEADINGS} AS t FROM b),
+d AS (SELECT doc_id, {ONE_H1} AS t FROM c) SELECT doc_id, {JOINED} AS clean_text FROM d""")
+def clean_pipeline_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All twelve cleaners, of which the noise concerns white space, headings, the single H1 and paragraphs."""
+    return clean_pipeline(spark, sf_dir).select("doc_id", "clean_text")
+
+
 # Without SQL: tested by literals
 
 
