@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from contextlib import nullcontext
 from dataclasses import dataclass
 
 import numpy as np
@@ -124,19 +123,31 @@ def tally(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return h[starts], np.add.reduceat(c, starts) if len(h) else c
 
 
-def counted(batches: Iterator[pa.RecordBatch], grams, most: int = 3_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def counted(batches: Iterator[pa.RecordBatch], grams, most: int = 1_500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Counts of the n-grams of training texts, put together within a task up to about `most` at once."""
     h, c, size = [], [], 0
+    texts, chars = [], 0
+
+    def add() -> None:
+        nonlocal size, chars
+        x, n = np.unique(grams(tokens(texts)[0]), return_counts=True)
+        h.append(x)
+        c.append(n.astype(np.int64))
+        size += len(x)
+        texts.clear()
+        chars = 0
+
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for a, b in pieces(texts):
-            x, n = np.unique(grams(tokens(texts[a:b])[0]), return_counts=True)
-            h.append(x)
-            c.append(n.astype(np.int64))
-            size += len(x)
+        for t in batch.column(0).to_pylist():
+            texts.append(t)
+            chars += len(t or "")
+            if chars >= 2 * PIECE:
+                add()
             if size > most:
                 yield tally(h, c)
                 h, c, size = [], [], 0
+    if texts:
+        add()
     if h:
         yield tally(h, c)
 
@@ -185,7 +196,8 @@ def train(texts: DataFrame, scratch: Scratch, bits_an_item: int) -> tuple[DataFr
         data, bits = segment(x | np.uint64(s << 40), n, bits_an_item=bits_an_item)
         yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([bits], pa.int64()), pa.array([data], pa.binary())], names=["shard", "bits", "data"])
 
-    counts = scratch.keep(texts.mapInArrow(unigrams, "token long, count long").groupBy("token").agg(F.sum("count").alias("count")), "unigrams")
+    with rows_a_batch(texts.sparkSession, 2000):
+        counts = scratch.keep(texts.mapInArrow(unigrams, "token long, count long").groupBy("token").agg(F.sum("count").alias("count")), "unigrams")
     total, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     shards = 1 << (max(64, -(-2 * total // SHARD)) - 1).bit_length()
     shift = 64 - (shards.bit_length() - 1)
@@ -333,7 +345,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         judged = rows.mapInArrow(by_broadcast, schema)
     else:
         judged = map_runs(with_answers(rows, segments, shards, scratch), ["block"], ["shard"], by_answers, schema)
-    with nullcontext() if local else rows_a_batch(spark, 8):
+    with rows_a_batch(spark, 2000 if local else 8):
         parts = scratch.keep(judged, "parts")
     rare = parts.where("token is not null").select("key", "token", "times").join(counts.where(F.col("count") < least), "token", "left")
     c = F.coalesce("count", F.lit(0))
