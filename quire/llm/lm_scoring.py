@@ -199,7 +199,7 @@ def train(texts: DataFrame, scratch: Scratch, bits_an_item: int) -> tuple[DataFr
     with rows_a_batch(texts.sparkSession, 2000):
         counts = scratch.keep(texts.mapInArrow(unigrams, "token long, count long").groupBy("token").agg(F.sum("count").alias("count")), "unigrams")
     total, distinct = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    shards = 1 << (max(64, -(-2 * total // SHARD)) - 1).bit_length()
+    shards = 1 << (max(16, -(-2 * total // SHARD)) - 1).bit_length()
     shift = 64 - (shards.bit_length() - 1)
     with rows_a_batch(texts.sparkSession, 64):
         segments = scratch.keep(map_runs(texts.mapInArrow(ngrams, "shard int, once binary, more binary, counts binary"), ["shard"], [], made, "shard int, bits long, data binary", shards), "segments")
