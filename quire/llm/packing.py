@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, forget_in_worker, mix, table
+from .common import Scratch, forget_in_worker, mix, rows_a_batch, table
 from .word_bpe import WordBpe, pieces
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -137,22 +137,27 @@ def fill(rests: list[np.ndarray], window: int, found: list[tuple[np.ndarray, np.
     return out
 
 
-def idf_of(rows: DataFrame, path: str, n: int, sample: int) -> np.ndarray:
-    """Inverse document frequencies of all ids, estimated from about `sample` of n rows (id, text, h), those of certain hashes."""
+def idf_of(partial: DataFrame, dtype: str) -> np.ndarray:
+    """Inverse document frequencies of all ids, from rows (terms, counts) that have the frequencies of parts of all documents.
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe.load(path)
-        df = np.zeros(bpe.vocabulary, np.int64)
+    A row may have as many terms as there are ids, so few are held at once, and added up before they meet.
+    """
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for p, q in pieces(texts):
-                for x in bpe.encode(texts[p:q]):
-                    df[np.unique(x)] += 1
+            for t, c in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+                ids = np.frombuffer(t, dtype)
+                if len(ids) and ids[-1] >= len(df):  # ids are sorted
+                    df = np.concatenate([df, np.zeros(int(ids[-1]) + 1 - len(df), np.int64)])
+                df[ids] += np.frombuffer(c, "<i8")
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["term", "df"])
 
-    few = rows.where(F.pmod(F.xxhash64("h"), F.lit(max(1, n // sample))) == 0).select("text")
-    got = few.mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    spark = partial.sparkSession
+    with rows_a_batch(spark, 64):
+        rows = partial.coalesce(spark.sparkContext.defaultParallelism)
+        got = rows.mapInArrow(added, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(1 + max(got["term"].to_pylist(), default=0))
     df[got["term"].to_numpy()] = got["df"].to_numpy()
     most = df.max() + 1
@@ -174,13 +179,13 @@ class Keys:
         return tuple(int(terms[(d[terms] * over).argmin()]) for d in self.draws)
 
 
-def pack(docs: DataFrame, path: str, window: int = 2048, end: int = 1, shard: int = 4096, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = 2048, end: int = 1, shard: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents in sequences of at most `window` ids, without padding.
 
     Every full window of a document is a sequence of its own; the rests are packed by retrieval within shards of so many
     documents. Shards are lexical: documents are dealt and sorted by two of their terms (Keys), then by a hash, so those
-    that share much tend to lie together and no group of equal ones is in one task. The idf for that is estimated from
-    about `sample` documents; scores of an index are of all its documents and terms. Sequence ids have the number of the
+    that share much tend to lie together and no group of equal ones is in one task. The idf for that is of all
+    documents, counted while they are encoded; scores of an index are of all its documents and terms. Sequence ids have the number of the
     partition in the bits from 36 on, and bit 62 for rests. Null texts have the end id only, as empty ones; very long
     texts are encoded whole. Equal rows and rows of equal or null ids are packed one by one. An empty table gives an
     empty result. Other columns are not read.
@@ -191,7 +196,6 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end: int = 1, shard: in
     rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"))
     rows = rows.withColumn("h", F.xxhash64("id", "text"))
     n = docs.count()
-    idf = idf_of(rows, path, n, sample)
 
     def crc(x: np.ndarray) -> int:
         return zlib.crc32(x if x.dtype == "<u4" else x.astype("<u4"))
@@ -201,26 +205,39 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end: int = 1, shard: in
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, shape, strict=True)], schema=shape)
 
     piece = pa.schema([(k, pa.int64()) for k in names])
-    coded = pa.schema([*piece, *((k, pa.binary()) for k in ("rest", "terms", "counts")), *((k, pa.int32()) for k in ("key1", "key2")), ("h", pa.int64())])
+    coded = pa.schema([*piece, *((k, pa.binary()) for k in ("rest", "terms", "counts")), ("h", pa.int64())])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Full windows of each document, and its rest, of longer documents with the terms of all."""
+        """Full windows of each document, and its rest, of longer documents with the terms of all; at last, without a start,
+        the terms of the task's documents and in how many of these each one is."""
         bpe, base = WordBpe.load(path), TaskContext.get().partitionId() << 36
-        keys, out, count = Keys(bpe.vocabulary, idf), [], 0
+        out, count, df = [], 0, np.zeros(bpe.vocabulary, np.int64)
         for batch in batches:
             texts, ids, h = (c.to_pylist() for c in batch.columns)
             for p, q in pieces(texts):
                 for i, k, x in zip(ids[p:q], h[p:q], bpe.encode(texts[p:q], end), strict=True):
                     full = len(x) // window * window
                     for a in range(0, full, window):
-                        out.append((i, a, window, crc(x[a : a + window]), len(x), base + count, 0, *[None] * 6))
+                        out.append((i, a, window, crc(x[a : a + window]), len(x), base + count, 0, *[None] * 4))
                         count += 1
+                    t, c = terms(x)
+                    df[t] += 1
                     if full < len(x):
-                        t, c = terms(x)
                         whole = (t.tobytes(), c.astype("<u4").tobytes()) if full else (None, None)
-                        out.append((i, full, None, None, len(x), None, None, x[full:].tobytes(), *whole, *keys.of(t, c), k))
+                        out.append((i, full, None, None, len(x), None, None, x[full:].tobytes(), *whole, k))
                 yield batch_of(out, coded)
                 out = []
+        some = np.flatnonzero(df)
+        if len(some):
+            yield batch_of([(*[None] * 8, some.astype(bpe.dtype).tobytes(), df[some].astype("<i8").tobytes(), None)], coded)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rests with the terms they are dealt by."""
+        keys = Keys(WordBpe.load(path).vocabulary, idf)
+        for batch in batches:
+            found = [keys.of(*(terms(np.frombuffer(r, dtype)) if t is None else (np.frombuffer(t, dtype), np.frombuffer(c, "<u4")))) for r, t, c in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            drawn = np.array(found, np.int32).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(drawn[:, 0]), pa.array(drawn[:, 1])], names=[*batch.schema.names, "key1", "key2"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_in_worker()
@@ -251,11 +268,13 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end: int = 1, shard: in
         yield close()
 
     dtype = WordBpe.load(path).dtype
-    kept = scratch.keep(rows.mapInArrow(encoded, f"{SCHEMA}, rest binary, terms binary, counts binary, key1 int, key2 int, h long"), "encoded")
+    kept = scratch.keep(rows.mapInArrow(encoded, f"{SCHEMA}, rest binary, terms binary, counts binary, h long"), "encoded")
+    idf = idf_of(kept.where("start is null").select("terms", "counts"), dtype)
     parts = max(1, -(-n // (16 * shard)), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // shard)))
-    rests = kept.where("rest is not null").select("doc_id", "doc_tokens", "rest", "terms", "counts", "key1", "key2", "h")
+    rests = kept.where("rest is not null").select("doc_id", "doc_tokens", "rest", "terms", "counts", "h")
+    rests = scratch.keep(rests.mapInArrow(keyed, "doc_id long, doc_tokens long, rest binary, terms binary, counts binary, h long, key1 int, key2 int"), "keyed")
     rests = rests.repartitionByRange(parts, "key1", "key2", "h").sortWithinPartitions("key1", "key2", "h", "doc_id")
-    out = kept.where("rest is null").select(*names).union(rests.mapInArrow(packed, SCHEMA))
+    out = kept.where("rest is null and start is not null").select(*names).union(rests.mapInArrow(packed, SCHEMA))
     return out.withColumnRenamed("doc_id", id_col)
 
 

@@ -647,3 +647,21 @@ def test_empty_tables(spark, nasty):
     path = P.path("word_bpe_49k.json")
     for out in (ngram_join.jaccard_components(empty), token_files.token_digests(empty, path), lm_scoring.score(empty, F.lit(False)), byte_bpe.digests(empty, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), packing.pack(empty, path), sharding.shard(empty, [1.0]), substring_dedup.repeats(empty), substring_dedup.without_repeats(empty), quality.filter_quality(empty.drop("kept", "count"), spark.createDataFrame([], "doc_id long, quality int")), url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string"))):
         assert out.collect() == []
+
+
+def test_packing_weighs_terms_by_all_documents(spark, monkeypatch):
+    """The frequencies that keys are drawn by are those of every document, of however many tasks."""
+    import public_tokenizers as P
+
+    path, got = P.path("word_bpe_49k.json"), []
+    texts = [f"{'apple ' * (i % 3)}{'pear' if i % 2500 == 7 else 'and'} the {'river ' * 2100 if i == 11 else i % 50}" for i in range(5000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    exact = packing.idf_of
+    monkeypatch.setattr(packing, "idf_of", lambda *a: got.append(exact(*a)) or got[-1])
+    assert packing.pack(docs, path).agg(F.sum("length")).first()[0] == packing.pack(docs, path).where("start = 0").agg(F.sum("doc_tokens")).first()[0]
+    bpe = packing.WordBpe.load(path)
+    df = np.zeros(len(got[0]))
+    for x in bpe.encode(texts, 1):
+        df[np.unique(x)] += 1
+    assert df[1] == 5000 and (got[0] == got[1]).all()
+    np.testing.assert_allclose(got[0], np.log1p((5001 - df + 0.5) / (df + 0.5)))
