@@ -4,7 +4,8 @@ The filter holds unigrams and bigrams of training texts with their counts in ste
 digits is q items (n-gram, 1) to (n-gram, q), so membership is probed for growing q until it fails. Counts are gathered
 by shards of the n-grams' hashes; each shard makes its own segment of the filter from its exact counts, so segments are
 complete where they are made and every n-gram is in one. The filter grows with the n-grams. One that may be broadcast is;
-of a larger one the segments stay in the scratch folder, and the distinct n-grams of blocks of texts are dealt to them.
+a larger one is a file in the scratch folder, which tasks map into their memory, or, where that folder isn't a mounted
+one, the distinct n-grams of blocks of texts are dealt to the segments.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ FP = np.uint64((1 << 40) - 1)
 HASHES = 4
 #: Bits of a filter that is broadcast, at most: 128 MB. A larger one is asked where its segments are, with equal answers.
 MOST_BITS = 1 << 30
+#: Bits from which a filter is mapped from a file, where the scratch folder can be, also if it may be broadcast: 8 MB.
+MAPPED_BITS = 1 << 26
 #: Characters whose n-grams are asked for at once, about.
 PIECE = 1 << 20
 #: N-grams of a shard, about, at most. The number of shards follows from those of the texts alone.
@@ -91,9 +94,9 @@ def probe(data: np.ndarray, item: np.ndarray, first: np.ndarray, bits: np.ndarra
 
 @dataclass
 class Filter:
-    """What is broadcast: segments one after the other, where each begins (in bytes) and its bits."""
+    """What is broadcast: segments one after the other, or the file that has them, where each begins (in bytes) and its bits."""
 
-    data: bytes
+    data: bytes | str
     first: np.ndarray
     bits: np.ndarray
     shift: int  # n-gram hash >> shift is the shard
@@ -102,7 +105,8 @@ class Filter:
         """Digits of the counts of n-grams."""
         shard = (hashes >> np.uint64(self.shift)).astype(np.int64)
         item = (shard.astype(np.uint64) << np.uint64(40)) | (hashes & FP)
-        return probe(np.frombuffer(self.data, np.uint8), item, self.first[shard], self.bits[shard])
+        data = np.memmap(self.data, np.uint8, "r") if isinstance(self.data, str) else np.frombuffer(self.data, np.uint8)
+        return probe(data, item, self.first[shard], self.bits[shard])
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -215,6 +219,35 @@ def collected(segments: DataFrame, shards: int) -> Filter:
     return Filter(b"".join(parts), np.cumsum(size) - size, bits, 64 - (shards.bit_length() - 1))
 
 
+def folder(scratch: Scratch) -> str | None:
+    """The scratch folder as a path, if it is one of a mounted file system."""
+    at = scratch.spark._jvm.org.apache.hadoop.fs.Path(scratch.path)
+    return at.toUri().getPath() if at.getFileSystem(scratch.spark._jsc.hadoopConfiguration()).getScheme() == "file" else None
+
+
+def mapped(segments: DataFrame, shards: int, place: str) -> Filter:
+    """The whole filter in a file, which is written by the tasks that read its segments, each at its own place; tasks that
+    run again write the same. Nothing of it comes to the driver, and processes of a machine share the pages they map."""
+    bits, size = np.full(shards, 64, np.uint64), np.full(shards, 8)
+    for r in segments.select("shard", "bits").collect():
+        bits[r["shard"]], size[r["shard"]] = r["bits"], r["bits"] // 8
+    first, path = np.cumsum(size) - size, f"{place}/filter"
+    with open(path, "wb") as f:
+        f.truncate(int(size.sum()))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            with open(path, "r+b") as f:
+                for s, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    f.seek(int(first[s]))
+                    f.write(raw.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    with rows_a_batch(segments.sparkSession, 16):
+        segments.select("shard", "data").mapInArrow(put, "n long").agg(F.sum("n")).first()
+    return Filter(path, first, bits, 64 - (shards.bit_length() - 1))
+
+
 def asked(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams in the order of their hashes, hence by shard, and which of them each one is."""
     return np.unique(h, return_inverse=True)
@@ -275,7 +308,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     those of the filter, in the numerators the least and in c(v) the greatest of their number of binary digits, so
     probabilities sum to 1 at most where no probe errs. The context of the first word is the end of a text.
 
-    All n-grams are in the filter, which depends on the texts alone, not on their order, files or partitions. Up to most_bits of it are broadcast; a larger one is asked by shards, with equal scores.
+    All n-grams are in the filter, which depends on the texts alone, not on their order, files or partitions. Up to most_bits of it are broadcast; a larger one is mapped from a file or asked by shards, with equal scores.
     The unigram score takes the counts of frequent words (at most most_frequent of them, broadcast) at once and those of
     the others by a join. Null texts are empty: one token, the end; very long texts are scored whole. Rows whose held_out is null are held out. Equal rows are
     scored each. Without training rows all counts are 0. An empty table gives an empty result. Other columns are not read.
@@ -288,8 +321,12 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     some = counts.where(F.col("count") >= least).toArrow() if total else pa.table({"token": pa.array([], pa.int64()), "count": pa.array([], pa.int64())})
     frequent = some["token"].to_numpy().view(np.uint64)
     order = np.argsort(frequent)
-    local = segments.agg(F.coalesce(F.sum("bits"), F.lit(0))).first()[0] <= most_bits
-    bloom = collected(segments, shards) if local else None
+    bits, place = segments.agg(F.coalesce(F.sum("bits"), F.lit(0))).first()[0], folder(scratch)
+    if place and bits > min(most_bits, MAPPED_BITS):
+        bloom = mapped(segments, shards, place)
+    else:
+        bloom = collected(segments, shards) if bits <= most_bits else None
+    local = bloom is not None
     shared = spark.sparkContext.broadcast((bloom, frequent[order], some["count"].to_numpy()[order]))
     norm = total + 0.1 * (distinct + 1)
     kind = rows.schema["id"].dataType.simpleString()

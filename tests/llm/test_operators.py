@@ -665,3 +665,21 @@ def test_packing_weighs_terms_by_all_documents(spark, monkeypatch):
         df[np.unique(x)] += 1
     assert df[1] == 5000 and (got[0] == got[1]).all()
     np.testing.assert_allclose(got[0], np.log1p((5001 - df + 0.5) / (df + 0.5)))
+
+
+def test_lm_scores_by_a_mapped_filter_are_those_of_a_broadcast(spark, documents, nasty, monkeypatch):
+    """A filter that is too large for a broadcast is read where it lies; no n-gram is shuffled, unless the folder is remote."""
+    def never(*_):
+        raise AssertionError("n-grams were dealt to segments")
+
+    def by(most, docs):
+        return sorted(rows(lm_scoring.score(docs, F.col("doc_id") % 3 == 0, most_bits=most), "doc_id", "held_out", "n_tokens", "n_known", "score"), key=str)
+
+    for docs in (documents, nasty):
+        one, dealt = by(1 << 40, docs), lm_scoring.with_answers
+        monkeypatch.setattr(lm_scoring, "with_answers", never)
+        assert by(0, docs) == one
+        monkeypatch.setattr(lm_scoring, "with_answers", dealt)
+    with monkeypatch.context() as m:
+        m.setattr(lm_scoring, "folder", lambda _: None)
+        assert by(0, documents) == by(1 << 40, documents)
