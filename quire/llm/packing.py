@@ -91,13 +91,30 @@ def terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(ids, return_counts=True)
 
 
+def terms_of(rows: list[np.ndarray], most: int = 1 << 20) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The terms of each of many documents, of which those of about `most` ids are sorted together. Ids have 32 bits at most."""
+    ends, out, a = np.cumsum([0, *(len(r) for r in rows)]), [], 0
+    while a < len(rows):
+        z = min(max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1), a + (1 << 16))
+        kind, ids = rows[a].dtype, np.concatenate(rows[a:z])
+        wide, bits = (np.uint32, 16) if kind.itemsize == 2 else (np.uint64, 32)
+        x = np.repeat(np.arange(z - a, dtype=wide) << wide(bits), np.diff(ends[a : z + 1])) | ids.astype(wide)
+        x.sort()
+        at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True]))) if len(x) else np.zeros(1, np.int64)
+        cut = np.searchsorted(at[:-1], ends[a : z + 1] - ends[a]).tolist()
+        t, c = (x[at[:-1]] & wide((1 << bits) - 1)).astype(kind), np.diff(at)
+        out += [(t[i:j], c[i:j]) for i, j in pairwise(cut)]
+        a = z
+    return out
+
+
 def fill(rests: list[np.ndarray], window: int, found: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, from, to) over the ids of all rests, each full but the last ones, whose lengths are powers of two.
 
     found has the terms of the whole documents; without it the rests are whole. A seed's neighbours fill its window in the order of their scores; the last is cut, and its rest is the next seed.
     Where no neighbour is left the next free document follows.
     """
-    index, free = Bm25([terms(r) for r in rests] if found is None else found), np.array([len(r) > 0 for r in rests], bool)
+    index, free = Bm25(terms_of(rests) if found is None else found), np.array([len(r) > 0 for r in rests], bool)
     out: list[list[tuple[int, int, int]]] = []
     row: list[tuple[int, int, int]] = []
     room, seed, cut, nxt = window, -1, 0, 0
@@ -215,40 +232,46 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end: int = 1, shard: in
         for batch in batches:
             texts, ids, h = (c.to_pylist() for c in batch.columns)
             for p, q in pieces(texts):
-                for i, k, x in zip(ids[p:q], h[p:q], bpe.encode(texts[p:q], end), strict=True):
+                got = bpe.encode(texts[p:q], end)
+                for i, k, x, (t, c) in zip(ids[p:q], h[p:q], got, terms_of(got), strict=True):
                     full = len(x) // window * window
                     for a in range(0, full, window):
                         out.append((i, a, window, crc(x[a : a + window]), len(x), base + count, 0, *[None] * 4))
                         count += 1
-                    t, c = terms(x)
                     df[t] += 1
                     if full < len(x):
-                        whole = (t.tobytes(), c.astype("<u4").tobytes()) if full else (None, None)
-                        out.append((i, full, None, None, len(x), None, None, x[full:].tobytes(), *whole, k))
+                        more = (t.tobytes(), c.astype("<u4").tobytes()) if full else (None, None)
+                        out.append((i, full, None, None, len(x), None, None, x[full:].tobytes(), *more, k))
                 yield batch_of(out, coded)
                 out = []
         some = np.flatnonzero(df)
         if len(some):
             yield batch_of([(*[None] * 8, some.astype(bpe.dtype).tobytes(), df[some].astype("<i8").tobytes(), None)], coded)
 
+    def whole(rests: list[np.ndarray], stored: list[tuple[bytes | None, bytes | None]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The terms of whole documents: those stored, else those of the rest."""
+        own = iter(terms_of([r for r, (t, _) in zip(rests, stored, strict=True) if t is None]))
+        return [next(own) if t is None else (np.frombuffer(t, dtype), np.frombuffer(c, "<u4")) for t, c in stored]
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rests with the terms they are dealt by."""
         keys = Keys(WordBpe.load(path).vocabulary, idf)
         for batch in batches:
-            found = [keys.of(*(terms(np.frombuffer(r, dtype)) if t is None else (np.frombuffer(t, dtype), np.frombuffer(c, "<u4")))) for r, t, c in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
-            drawn = np.array(found, np.int32).reshape(-1, 2)
+            rest, t, c = (batch.column(k).to_pylist() for k in (2, 3, 4))
+            found = whole([np.frombuffer(r, dtype) for r in rest], list(zip(t, c, strict=True)))
+            drawn = np.array([keys.of(*x) for x in found], np.int32).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(drawn[:, 0]), pa.array(drawn[:, 1])], names=[*batch.schema.names, "key1", "key2"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_in_worker()
         base, count = (1 << 62) + (TaskContext.get().partitionId() << 36), 0
         held: list[tuple[int | None, int, np.ndarray]] = []
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        stored: list[tuple[bytes | None, bytes | None]] = []
 
         def close() -> pa.RecordBatch:
             nonlocal count
-            out = []
-            for seq in fill([r for _, _, r in held], window, found):
+            out, rests = [], [r for _, _, r in held]
+            for seq in fill(rests, window, whole(rests, stored)):
                 at = 0
                 for d, a, b in seq:
                     i, n, r = held[d]
@@ -256,13 +279,13 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end: int = 1, shard: in
                     at += b - a
                 count += 1
             held.clear()
-            found.clear()
+            stored.clear()
             return batch_of(out, piece)
 
         for batch in batches:
             for i, n, rest, t, c in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 held.append((i, n, np.frombuffer(rest, dtype)))
-                found.append(terms(held[-1][2]) if t is None else (np.frombuffer(t, dtype), np.frombuffer(c, "<u4")))
+                stored.append((t, c))
                 if len(held) == shard:
                     yield close()
         yield close()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Sequence
 from itertools import pairwise, repeat
 
@@ -14,10 +16,22 @@ from .common import keep_in_worker, without_gc
 #: 0 white space, 1 punctuation that may end a word, 2 letters and digits, 3 others.
 KIND = np.full(256, 3, np.uint8)
 KIND[[9, 10, 11, 12, 13, 32]] = 0
-KIND[np.frombuffer(b".,;:!?", np.uint8)] = 1
+KIND[np.frombuffer(rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~""", np.uint8)] = 1
 KIND[np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8)] = 2
 #: Special tokens are found in raw text, also within chunks; texts with this go to the library whole.
 MARK = "<|"
+#: Letters of ASCII and Latin-1 that a normalizer with the steps below leaves as they are, and punctuation after them: one or two pre-tokens.
+BARE = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
+STEPS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
+#: What byte-level vocabularies have for bytes above the blank that Latin-1 doesn't print.
+_OTHER = [b for b in range(256) if b < 33 or 127 <= b <= 160 or b == 173]
+BYTES = {b: 256 + i for i, b in enumerate(_OTHER) if b > 32}
 
 
 class Known:
@@ -58,7 +72,8 @@ class WordBpe:
     of its chunks between ASCII white space, one after the other; of a word with punctuation at its end, those of both.
     Chunks of letters, or of letters and then punctuation, are one or two pre-tokens, each ending with its only token
     that ends a word: many are encoded as one text, which is cut at these tokens; where their number isn't as expected,
-    and for other chunks, one by one. Tests compare with the
+    and for other chunks, one by one. In files with the normalizer and pre-tokenizer of STEPS the pre-tokens of chunks
+    that fit BARE are known, so the model alone encodes them. Tests compare with the
     library. Ids are kept as 2 bytes where the vocabulary allows, else as 4.
     """
 
@@ -66,9 +81,14 @@ class WordBpe:
 
     def __init__(self, path: str, most: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        steps = (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
+        self.bare = None
+        if None not in steps and tuple(json.loads(x.__getstate__()) for x in steps) == STEPS:
+            self.bare = Tokenizer(self.tokenizer.model)
+            self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.bits = max(1, (self.vocabulary - 1).bit_length())
         self.dtype = np.dtype("<u2" if self.bits <= 16 else "<u4")
@@ -87,29 +107,38 @@ class WordBpe:
 
     def _learn(self, chunks: list[bytes]) -> None:
         """Keep the ids of chunks that aren't known."""
-        plain, words, odd, white = [], [], [], []
+        ascii, latin, plain, odd = *(([], [], []) for _ in range(3)), []  # chunks, their words as a text, the number of these
         for c in chunks:
-            if c.isspace():
-                white.append(c)
-                continue
-            core = c.rstrip(self.TAIL)
-            if core.isalpha() or (core and not core.isascii() and core.decode().isalpha()):
-                plain.append(c)
-                words.append(1 + (len(core) < len(c)))
+            if self.bare and (m := BARE.fullmatch(c)):
+                to, word, tail = ascii if c.isascii() else latin, *m.groups()
+                text = word + b" " + tail if tail else c
             else:
-                odd.append(c)
-        for a in range(0, len(plain), 1000):
-            some, last = plain[a : a + 1000], np.cumsum(words[a : a + 1000]) - 1
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, self.dtype)
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) != last[-1] + 1 or cut[-1] != len(ids):
-                odd += some
-                continue
-            self.known.add(some, ids, np.diff(cut[last], prepend=0))
-        self.known.add(white, self.known.pool[:0], np.zeros(len(white), np.int64))
-        if odd:
-            found = self._raw([c.decode() for c in odd])
-            self.known.add(odd, np.concatenate(found), np.array([len(x) for x in found], np.int64))
+                to, word, text = plain, c.rstrip(self.TAIL), c
+                if not (word.isalpha() or (word and not word.isascii() and word.decode().isalpha())):
+                    odd.append(c)
+                    continue
+            to[0].append(c)
+            to[1].append(text)
+            to[2].append(1 + (len(word) < len(c)))
+        names, ids, sizes = [], [self.known.pool[:0]], [np.zeros(0, np.int64)]
+        for model, (some, texts, words) in ((self.bare, ascii), (self.bare, latin), (self.tokenizer, plain)):
+            for a in range(0, len(some), 1000):
+                z = a + 1000
+                text = b" ".join(texts[a:z])
+                text = text.decode("latin-1").translate(BYTES) if some is latin[0] else text.decode()
+                got = np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+                cut, last = np.flatnonzero(self.ends[got]) + 1, np.cumsum(words[a:z]) - 1
+                if len(cut) != last[-1] + 1 or cut[-1] != len(got):
+                    odd += some[a:z]
+                    continue
+                names += some[a:z]
+                ids.append(got)
+                sizes.append(np.diff(cut[last], prepend=0))
+        found = self._raw([c.decode() for c in odd]) if odd else []
+        names += odd
+        ids += found
+        sizes.append(np.array([len(x) for x in found], np.int64))
+        self.known.add(names, np.concatenate(ids), np.concatenate(sizes))
 
     def encode(self, texts: Sequence[str | None], end: int | None = None) -> list[np.ndarray]:
         """Ids of each text, null being empty, with the id `end` appended."""
@@ -137,27 +166,29 @@ class WordBpe:
 
 
 def split(texts: Sequence[bytes]) -> tuple[pa.Array, np.ndarray]:
-    """Chunks of all texts one after the other, white space and punctuation at the end of words being chunks too, with A-Z
-    in lower case, and which of them begins each text, and their number.
+    """Chunks of all texts one after the other, without white space, punctuation at the end of words being chunks too, with
+    A-Z in lower case, and which of them begins each text, and their number.
 
-    Punctuation is cut off where a letter or digit of ASCII is before it and white space after it.
+    Punctuation is cut off where a letter or digit of ASCII, or a letter of Latin-1, is before it and white space after it.
     """
-    raw = b" ".join([*texts, b""]).lower()
-    kind = KIND[np.frombuffer(raw, np.uint8)]
-    edge = np.empty(len(raw), bool)
-    edge[:1] = True
-    white = kind == 0
-    np.not_equal(white[1:], white[:-1], out=edge[1:])
+    raw = np.frombuffer(b" ".join([*texts, b""]).lower(), np.uint8)
+    kind = KIND[raw]
+    dark = kind != 0
+    edge = dark.copy()
+    edge[1:] &= ~dark[:-1]
     tail = np.r_[False, kind == 1, False]
     first, after = np.flatnonzero(tail[1:-1] & ~tail[:-2]), np.flatnonzero(tail[1:-1] & ~tail[2:]) + 1
     fits = (first > 0) & (after < len(raw))
     first, after = first[fits], after[fits]
-    edge[first[(kind[first - 1] == 2) & white[after]]] = True
+    first = first[~dark[after]]
+    last, lead = raw[first - 1], raw[np.maximum(first - 2, 0)]
+    edge[first[(kind[first - 1] == 2) | ((first > 1) & (lead == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))]] = True
     begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    edge[begin[:-1][begin[:-1] < len(raw)]] = True
-    at = np.r_[np.flatnonzero(edge), len(raw)].astype(np.int32)
-    chunks = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(raw)])
-    return chunks, np.searchsorted(at, begin)
+    start, before = np.flatnonzero(edge), np.zeros(len(raw) + 1, np.int32)
+    np.cumsum(dark, out=before[1:])
+    at = before[np.r_[start, len(raw)]]
+    chunks = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(raw[dark])])
+    return chunks, np.searchsorted(start, begin)
 
 
 def slices(names: pa.BinaryArray) -> list[bytes]:

@@ -165,6 +165,24 @@ def test_word_bpe_is_the_librarys():
     assert all((a == b).all() and len(a) == len(b) for a, b in zip(got, library_ids(texts), strict=True))
 
 
+def test_word_bpe_asks_the_model_alone_for_plain_words(monkeypatch):
+    rng, asked = random.Random(3), []
+    bpe = word_bpe.WordBpe(P.path("word_bpe_49k.json"))
+    texts = [" ".join("".join(rng.choice("abstréñß") for _ in range(rng.randint(1, 9))) + rng.choice(["", "", ".", "$$$", ",***", "'", ".%%%"]) for _ in range(50)) + " don't x's" for _ in range(60)]
+    monkeypatch.setattr(bpe, "_raw", lambda t, raw=bpe._raw: asked.extend(t) or raw(t))
+    got = bpe.encode(texts, 1)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(got, library_ids(texts), strict=True))
+    assert sorted(x for x in asked if re.search(r"\w", x)) == ["don't", "x's"]
+    signs = """ \n ab'sté1²ÄÜ÷×\u0301\u0338\u0130\u03a3\x85\xa0\x1c\x7f!"#$%&()*+,-./:;<=>?@[]^_`{|}~"""
+    odd = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(5000)]
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(bpe.encode(odd, 1), library_ids(odd), strict=True))
+
+
+def test_punctuation_at_the_end_is_a_chunk_of_its_own():
+    chunks, cut = word_bpe.split([b"Word$$$ word", b"", " é,*** é÷ a-b don't ".encode()])
+    assert chunks.to_pylist() == [b"word", b"$$$", b"word", "é".encode(), b",***", "é÷".encode(), b"a-b", b"don't"] and cut.tolist() == [0, 3, 3, 8]
+
+
 def test_token_files(spark, documents):
     docs = sorted(rows(documents, "doc_id", "text"))
     ids, at, want = library_ids([t for _, t in docs]), 0, {}
@@ -461,6 +479,17 @@ def test_neighbours_share_any_term_of_whole_documents():
     assert [d for s in packing.fill(rests, 2, whole) for d, _, _ in s] == [0, 2, 1]
 
 
+def test_terms_of_many_documents_are_those_of_each():
+    rng = np.random.default_rng(5)
+    for kind, top in (("<u2", 1 << 16), ("<u4", 1 << 32), ("<i8", 1 << 32)):
+        docs = [rng.choice(rng.integers(0, top, 50), n).astype(kind) for n in [0, 0, 7, 1, 300, 0, 5000, 12, 0]]
+        for most in (1, 310, 1 << 20):
+            for d, (t, c) in zip(docs, packing.terms_of(docs, most), strict=True):
+                want = np.unique(d, return_counts=True)
+                assert t.tolist() == want[0].tolist() and c.tolist() == want[1].tolist() and t.dtype == d.dtype
+    assert packing.terms_of([]) == []
+
+
 def test_packing_does_not_depend_on_files(spark, documents):
     path = P.path("word_bpe_49k.json")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "offset"]
